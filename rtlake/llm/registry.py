@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rtlake.llm import mixing
+from rtlake.llm import mixing, quality, toxicity
 
-QUERIES = {"op8_mixing": mixing.op8_mixing}
+QUERIES = {"op3_toxicity": toxicity.op3_toxicity, "op7_quality": quality.op7_quality, "op8_mixing": mixing.op8_mixing}
 ORACLES = {"op8_mixing": mixing.OP8_SQL}
