@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from rtlake.llm import mixing, quality, toxicity
+from rtlake.llm import counts, mixing, pieces, quality, toxicity
 
-QUERIES = {"op3_toxicity": toxicity.op3_toxicity, "op7_quality": quality.op7_quality, "op8_mixing": mixing.op8_mixing}
+QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_token_counts": counts.op5_token_counts,
+    "op7_quality": quality.op7_quality,
+    "op8_mixing": mixing.op8_mixing,
+}
 ORACLES = {"op8_mixing": mixing.OP8_SQL}

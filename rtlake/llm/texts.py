@@ -23,7 +23,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_CHARS
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, schema: str, body: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
+def map_texts(df: DataFrame, schema: str, body: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], limit: int = PIECE_CHARS) -> DataFrame:
     """``df`` through ``body``, which turns an iterator of pieces into dictionaries of columns. ``df`` needs a column ``text``."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -31,7 +31,7 @@ def map_texts(df: DataFrame, schema: str, body: Callable[[Iterator[pa.RecordBatc
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in body(p for b in batches for p in pieces(b)):
+        for columns in body(p for b in batches for p in pieces(b, limit=limit)):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in ((columns[f.name], f) for f in arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)
