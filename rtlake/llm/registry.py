@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from rtlake.llm import counts, mixing, pieces, quality, toxicity
+from rtlake.llm import counts, language, mixing, neighbours, pieces, quality, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op5_token_counts": counts.op5_token_counts,
     "op7_quality": quality.op7_quality,
     "op8_mixing": mixing.op8_mixing,
+    "op9_language_id": language.op9_language_id,
 }
 ORACLES = {"op8_mixing": mixing.OP8_SQL}
