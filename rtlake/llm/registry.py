@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rtlake.llm import counts, fingerprints, language, mixing, neighbours, pieces, quality, toxicity
+from rtlake.llm import counts, fingerprints, language, lines, mixing, neighbours, pieces, quality, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -10,8 +10,9 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_neighbours": neighbours.op4_neighbours,
     "op5_token_counts": counts.op5_token_counts,
+    "op6_line_dedup": lines.op6_line_dedup,
     "op7_quality": quality.op7_quality,
     "op8_mixing": mixing.op8_mixing,
     "op9_language_id": language.op9_language_id,
 }
-ORACLES = {"op8_mixing": mixing.OP8_SQL}
+ORACLES = {"op6_line_dedup": lines.OP6_SQL, "op8_mixing": mixing.OP8_SQL}
