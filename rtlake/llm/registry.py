@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rtlake.llm import counts, fingerprints, language, lines, mixing, neighbours, pieces, quality, toxicity
+from rtlake.llm import counts, fingerprints, language, lines, mixing, near, neighbours, pieces, quality, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
+    "op10_minhash": near.op10_minhash,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_neighbours": neighbours.op4_neighbours,
