@@ -19,15 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the session names in ``spark.checkpoint.dir``; a local one is made only where none is set."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rtlake-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared checkpoint folder and forgets its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; a local one is made only where that is unset.
     The context cleaner removes the files once nothing refers to them.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rtlake-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
