@@ -127,9 +127,9 @@ def fit(vectors: DataFrame, rows: int, part_rows: int = PART_ROWS, sample: int =
     parts = min(MOST_PARTS, -(-rows // part_rows))
     wanted = min(sample, max(2_000, SAMPLE_PER_PART * parts))
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).toArrow()
-    x = np.array(chosen["v"].combine_chunks().flatten()).reshape(len(chosen), -1)
-    if parts < 2 or len(x) < 4 * parts:
+    if parts < 2 or len(chosen) < 4 * parts:
         return 1, None
+    x = np.array(chosen["v"].combine_chunks().flatten()).reshape(len(chosen), -1)
     near = graph(x.astype(np.float32), min(DEGREE, len(x) - 1))
     return parts, learn(x, near, balanced_parts(x, near, parts), parts)
 

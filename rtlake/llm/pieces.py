@@ -12,12 +12,14 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rtlake.llm.common import table
-from rtlake.llm.texts import map_texts
+from rtlake.llm.texts import kept_by_worker, map_texts
 
 MARK = "▁"
 #: Kinds of piece and of model in the protobuf (fixed values of the format).
@@ -25,6 +27,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Threads of a batch, and characters of a batch.
 THREADS, BATCH_CHARS = 2, 1_000_000
+#: Words whose ids are remembered; words encoded in one run.
+CACHE, RUN = 600_000, 500
+_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _BYTE_TEXT = re.compile(r"<0x[0-9A-F]{2}>")
 
 
@@ -134,10 +139,57 @@ class Codec:
         import sentencepiece
 
         self.model, self.threads = parse(raw), threads
-        self.backend, self.original = backend(self.model), sentencepiece.SentencePieceProcessor(model_proto=raw)
+        self.backend, self.words, self._known, self._odd = backend(self.model), None, {}, set()
+        if self.backend.pre_tokenizer is not None:
+            from tokenizers import normalizers
+
+            self.words = backend(self.model)  # the same, for words of texts that are normal already
+            self.words.normalizer = normalizers.Sequence([])
+            self._marked = np.array([p.startswith(MARK) for p, *_ in self.model.pieces])
+        self.original = sentencepiece.SentencePieceProcessor(model_proto=raw)
+
+    def _by_word(self, texts: list[str], verify: bool) -> tuple[list[list[int]], list[bool] | None]:
+        """Ids, and whether the original library agrees on every word; each new word is encoded and compared once.
+
+        Words are independent, as no piece spans the start of one, so ids of a text are those of its words.
+        """
+        plain = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
+        normal = [(MARK + t.replace(" ", MARK) if t else "") if plain else self.backend.normalizer.normalize_str(t) for t in texts]
+        words = [_WORD.findall(t) for t in normal]
+        known, every = self._known, set().union(*words)
+        new = [w for w in every if w not in known]
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = list(every)
+        # Words with one marker are encoded in long runs: in the ids, a word begins where a piece begins with the marker.
+        single = [w for w in new if w.startswith(MARK) and w[1:2] != MARK]
+        runs = [single[i : i + RUN] for i in range(0, len(single), RUN)]
+        for run, x in zip(runs, self.words.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = x.ids
+            starts = np.flatnonzero(self._marked[ids]).tolist()
+            known.update(zip(run, (ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)), strict=True))
+        rest = [w for w in new if w not in known]
+        known.update(zip(rest, (x.ids for x in self.words.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        found = [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in words]
+        if not verify:
+            return found, None
+        if not plain:  # the original's own normaliser can't be fed words that are normal already
+            return found, self.parity(texts, found)
+        # A marker before a word is what the original puts before a text; further markers stand for blanks.
+        self._odd.update(w for w, ids in zip(new, self.original.encode([w[1:].replace(MARK, " ") for w in new], num_threads=self.threads), strict=True) if ids != known[w])
+        return found, [not self._odd or self._odd.isdisjoint(ws) for ws in words]
+
+    def encode_verified(self, texts: list[str], verify: bool = True) -> tuple[list[list[int]], list[bool] | list[None]]:
+        """Ids, and for each text whether the original library gives the same (nulls unless ``verify``)."""
+        if self.words and self.model.kind == BPE:
+            found, same = self._by_word(texts, verify)
+        else:
+            found = self.encode(texts)
+            same = self.parity(texts, found) if verify else None
+        return found, same if same is not None else [None] * len(texts)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        found = [x.ids for x in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self._by_word(texts, False)[0] if self.words and self.model.kind == BPE else [x.ids for x in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
         if self.model.kind == UNIGRAM and self.model.byte_fallback:  # a unigram lattice would read a spelt-out byte piece as that byte
             for i, t in enumerate(texts):
                 if _BYTE_TEXT.search(t):
@@ -162,20 +214,18 @@ def default_model() -> bytes:
 def encode(docs: DataFrame, model: bytes | None = None, threads: int = THREADS, verify: bool = True) -> DataFrame:
     """doc_id, token_ids, n_tokens, decoded, exact, parity: one row per row of ``docs``.
 
-    exact: whether decoding gives the text back. parity: whether the original library gives the same ids (null
-    unless ``verify``). Null text: as the empty text, no ids. Very long texts make batches of their own. The
+    exact: whether decoding gives the text back. parity: whether the original library gives the same ids, compared
+    once for each word a worker meets (null unless ``verify``). Null text: as the empty text, no ids. Very long texts make batches of their own. The
     model (bounded: one file) is read on the driver and broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model or default_model(), threads))
 
     def body(parts: Iterator) -> Iterator[dict]:
-        codec = None
+        codec = kept_by_worker(("codec", hash(shared.value)), lambda: Codec(*shared.value))
         for p in parts:
-            codec = codec or Codec(*shared.value)
             texts = [t or "" for t in p.column("text").to_pylist()]
-            ids = codec.encode(texts)
+            ids, same = codec.encode_verified(texts, verify)
             back = codec.decode(ids)
-            same = codec.parity(texts, ids) if verify else [None] * len(texts)
             yield {"doc_id": p.column("doc_id"), "token_ids": ids, "decoded": back, "exact": [a == b for a, b in zip(texts, back, strict=True)], "parity": same}
 
     schema = "doc_id long, token_ids array<int>, decoded string, exact boolean, parity boolean"

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,14 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_CHARS
         yield batch.slice(start)
 
 
+def kept_by_worker(key: Hashable, make: Callable[[], object]):
+    """``make()``, made once in each Python worker and kept for its later tasks."""
+    kept = sys.__dict__.setdefault("_rtlake_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def map_texts(df: DataFrame, schema: str, body: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], limit: int = PIECE_CHARS) -> DataFrame:
     """``df`` through ``body``, which turns an iterator of pieces into dictionaries of columns. ``df`` needs a column ``text``."""
     from pyspark.sql.types import StructType
