@@ -132,28 +132,28 @@ def content_hash(text: Column) -> Column:
 
 
 def boundary(text: Column, at: Column) -> Column:
-    """Whether a word begins at character ``at`` (from 1): at the start, after ``_`` or another mark, or where lower case turns to upper."""
+    """Whether a word begins at character ``at`` (from 1): at the start, after a mark of ``_-.:``, or at a capital after a small letter or digit."""
     here, before = F.substring(text, at, F.lit(1)), F.substring(text, at - 1, F.lit(1))
-    return (at == 1) | before.rlike("[^A-Za-z0-9]") | (here.rlike("[A-Z]") & before.rlike("[a-z]")) | (here.rlike("[0-9]") & before.rlike("[A-Za-z]"))
+    return (at == 1) | before.isin("_", "-", ".", ":") | (here.rlike("[A-Z]") & before.rlike("[a-z0-9]"))
 
 
 def fuzzy_score(name: Column, pattern: Column) -> Column:
-    """Greedy subsequence match, case-insensitive; null without one, 0 for an empty pattern.
+    """Greedy subsequence match, ASCII letters in either case; null without one, 0 for an empty pattern.
 
-    Each character scores 10; 15 more right after the last one, 12 more at a word's start, 3 more in the same case;
-    characters skipped since the last one and a tenth of the name's length are taken off (fixed values).
+    Each character scores 10; 15 more right after the last one, 12 more at a word's start, 3 more in the same case; the
+    characters skipped to reach it and, at the end, a tenth of the name's bytes are taken off (fixed values).
     """
-    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: i)
+    at = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
     start = F.struct(F.lit(0).alias("found"), F.lit(0).alias("last"), F.lit(0).alias("score"))
 
     def step(s: Column, i: Column) -> Column:
         c, p = F.substring(name, i, F.lit(1)), F.substring(pattern, s["found"] + 1, F.lit(1))
         hit = (s["found"] < F.length(pattern)) & (F.lower(c) == F.lower(p))
-        gain = 10 + F.when((s["found"] > 0) & (i == s["last"] + 1), 15).otherwise(0) + F.when(boundary(name, i), 12).otherwise(0) + F.when(c == p, 3).otherwise(0)
-        gap = F.when(s["found"] > 0, i - s["last"] - 1).otherwise(0)
+        run = F.when((s["found"] > 0) & (i == s["last"] + 1), 15).otherwise(0)
+        gain = run + F.when(boundary(name, i), 12).otherwise(0) + F.when(c == p, 3).otherwise(0) + 10 - (i - s["last"] - 1)
         return F.struct(
-            F.when(hit, s["found"] + 1).otherwise(s["found"]).alias("found"), F.when(hit, i).otherwise(s["last"]).alias("last"), F.when(hit, s["score"] + gain - gap).otherwise(s["score"]).alias("score")
+            F.when(hit, s["found"] + 1).otherwise(s["found"]).alias("found"), F.when(hit, i).otherwise(s["last"]).alias("last"), F.when(hit, s["score"] + gain).otherwise(s["score"]).alias("score")
         )
 
-    end = lambda s: F.when((s["found"] == F.length(pattern)), s["score"] - (F.length(name) / 10).cast("int"))
-    return F.when(F.length(pattern) == 0, 0).otherwise(F.aggregate(chars, start, step, end))
+    end = lambda s: F.when(s["found"] == F.length(pattern), s["score"] - (F.octet_length(name) / 10).cast("int"))
+    return F.when(F.length(pattern) == 0, 0).otherwise(F.aggregate(at, start, step, end))
