@@ -4,14 +4,15 @@ One hash function gives each document a set of word shingles; its k least values
 set are collapsed first. Then, over what remains:
 
 1. Inverted lists of a short sketch drop documents that share too few values with any other.
-2. For the rest, lists of the long sketch, rarest values first and only as many as a pair must share one of, give
-   candidates. Each list first pairs its members with its most central one alone; what that links is one component.
-   Then the lists that still hold several components give their pairs across components, if the places of the shared
-   value leave room for enough more. So a list within one component, however long, makes no pairs.
+2. For the rest, few documents of any corpus, the lists take whole sets, rarest values first and only as many as a pair
+   must share one of. In each list every member is paired with the most central member of another component alone, for
+   some rounds; each round's links join components, and lists within one component are done. So a group of copies, however
+   large, makes as many pairs as it has members. What then is left across components is paired if the places of the
+   shared value leave room for enough more.
 3. The union's sketch estimates each candidate; the exact Jaccard of the full sets confirms it.
 
-Where a set is no larger than a sketch, bounds are exact. Otherwise a pair at the threshold is missed only if its union
-sketch falls six standard deviations below its mean.
+The short sketch and the estimate lose a pair at the threshold only if it falls six standard deviations below its mean; all
+other bounds are exact.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from rtlake.llm.common import cut, small, table
 from rtlake.llm.texts import map_texts
 
-#: Sizes of the short and the long sketch.
-SHORT, LONG = 32, 256
+#: Sizes of the sketch whose lists find overlaps and of the one that estimates pairs; rounds of pairs with hubs.
+SHORT, LONG, HUB_ROUNDS = 32, 256, 3
 #: Of the contract: words of a shingle, least similarity in per cent.
 SHINGLE, PERCENT = 3, 85
 _BASE, _MIX1, _MIX2 = 0x9E3779B97F4A7C15 | 1, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -164,31 +165,40 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     alive = cut(posted.join(small(common), "value").groupBy("node", "n").count().filter(F.col("count") >= _needed(F.col("n"), SHORT, percent)).select("node", "n"))
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(small(alive.select("node").distinct()), "node")
     sets = cut(full_sets(texts, shingle).dropDuplicates(["node"]))
-    # 2. Lists of the long sketch.
-    posted = sets.select("node", F.size("values").alias("n"), F.explode(F.slice("values", 1, LONG)).alias("value"))
+    # 2. Lists over whole sets: a pair shares one of the rarest values, of which each set gives as many as it may miss and one more.
+    posted = sets.select("node", F.size("values").alias("n"), F.explode("values").alias("value"))
     often = posted.groupBy("value").agg(F.count(F.lit(1)).alias("often"))
     ranked = posted.join(often, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("by"), F.sum("often").alias("central"))
-    size = F.size("by")
-    prefix = F.slice("by", F.lit(1), size - _needed(F.col("n"), LONG, percent) + 1)
-    lists = ranked.select("node", "n", "central", size.alias("size"), F.posexplode(prefix).alias("place", "x")).filter("x.often > 1")
-    lists = cut(lists.select("node", "n", "central", "size", "place", F.col("x.value").alias("value")))
-    hubs = lists.groupBy("value").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"), "n")).alias("hub"))
+    prefix = F.slice("by", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
+    lists = ranked.select("node", "n", "central", F.posexplode(prefix).alias("place", "x")).filter("x.often > 1")
+    lists = cut(lists.select("node", "n", (F.col("central") / F.col("n")).alias("central"), "place", F.col("x.value").alias("value"), F.col("node").alias("component")))
     fits = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-    first = lists.join(hubs, "value").select(F.col("node").alias("a"), (-F.col("hub.minus")).alias("b"), F.col("n"), F.col("hub.n").alias("m"))
-    first = cut(verified(first.filter("a <> b").filter(fits(F.col("n"), F.col("m"))).select("a", "b").distinct(), sets, percent))
-    star = components(first)
-    # Lists that hold several components: pairs across them.
-    lists = lists.join(star, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = lists.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("value")
-    open_lists = cut(lists.join(mixed, "value"))
-    left = open_lists.select("value", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "size", "place", "component")])
-    right = open_lists.select("value", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "size", "place", "component")])
-    room = 1 + F.least(F.col("size_a") - F.col("place_a") - 1, F.col("size_b") - F.col("place_b") - 1)
-    exact = (F.col("n_a") <= LONG) & (F.col("n_b") <= LONG)
-    need = F.when(exact, F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))).otherwise(least_shared(percent / 100, LONG))
-    across = left.join(right, "value").filter("node_a < node_b AND component_a <> component_b").filter(fits(F.col("n_a"), F.col("n_b")) & (room >= need))
-    second = verified(across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets, percent)
-    final = components(star.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
+    links = tried = None
+    for _ in range(HUB_ROUNDS):
+        tops = lists.groupBy("value", "component").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"), "n", "component")).alias("top"))
+        best = tops.groupBy("value").agg(F.max("top").alias("best"))
+        other = tops.join(best, "value").filter("top.component <> best.component").groupBy("value").agg(F.max("top").alias("other"))
+        hub = F.when(F.col("component") == F.col("best.component"), F.col("other")).otherwise(F.col("best"))
+        star = lists.join(best.join(other, "value"), "value").withColumn("hub", hub).filter(fits(F.col("n"), F.col("hub.n")))
+        star = star.select(F.greatest(F.col("node"), -F.col("hub.minus")).alias("a"), F.least(F.col("node"), -F.col("hub.minus")).alias("b")).distinct()
+        star = cut(star if tried is None else star.join(tried, ["a", "b"], "left_anti"))
+        found = cut(verified(star, sets, percent))
+        links, tried = (found, star) if links is None else (links.union(found), tried.union(star))
+        if found.isEmpty():
+            break
+        named = components(links)
+        lists = lists.drop("component").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # Of lists within one component no pair can add anything.
+        several = lists.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("value")
+        lists = cut(lists.join(several, "value"))
+    # What the lists still hold across components: all pairs whose places leave room for enough shared values.
+    left = lists.select("value", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "component")])
+    right = lists.select("value", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "component")])
+    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    need = (F.col("n_a") + F.col("n_b")) * percent
+    across = left.join(right, "value").filter("node_a > node_b AND component_a <> component_b").filter(fits(F.col("n_a"), F.col("n_b")) & (room * (100 + percent) >= need))
+    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    final = components(links.union(verified(across, sets, percent)))
     # 3. Back to every row.
     named = nodes.join(final, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
     out = every.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
