@@ -41,18 +41,27 @@ def _halves(words: Column) -> Column:
     return let(F.size(words), keys)
 
 
-def _variants(words: Column, m: Column, head: Column) -> Column:
-    """Hashed variants for partners that share the first (``head``) or last half of the ``m`` words of the shorter line."""
+def _chained(words: Column) -> Column:
+    """Hashes of the first 0, 1, ... words: each is the last one's, with the next word mixed in."""
+    return F.aggregate(words, F.array(F.lit(42).cast("long")), lambda h, w: F.array_append(h, F.xxhash64(F.element_at(h, -1), w)))
 
-    def of(n: Column) -> Column:
-        h = F.floor(m / 2).cast("int")
-        low, high = F.when(head, h).otherwise(0), F.when(head, n).otherwise(h)  # the edit's place, from 0
-        key = lambda length, i, tail: F.xxhash64(length, i, F.slice(words, F.lit(1), i), F.slice(words, tail, n))
-        gone = F.transform(F.sequence(low, F.least(high, n - 1)), lambda i: key(n, i, i + 2))
-        gaps = F.transform(F.sequence(low, high), lambda i: key(n + 1, i, i + 1))
-        return F.when(m == n, F.concat(gone, gaps)).otherwise(gone)
 
-    return let(F.size(words), of)
+def _variants(words: Column, shared: Column) -> Column:
+    """Distinct hashed variants of a line for each of ``shared``: the words m of a shorter line, and whether its first half is shared."""
+
+    def of(n: Column, heads: Column, tails: Column) -> Column:
+        key = lambda length, i, tail: F.xxhash64(length, i, F.get(heads, i), F.get(tails, tail))
+
+        def one(s: Column) -> Column:
+            h = F.floor(s["m"] / 2).cast("int")
+            low, high = F.when(s["head"], h).otherwise(0), F.when(s["head"], n).otherwise(h)  # the edit's place, from 0
+            gone = F.transform(F.sequence(low, F.least(high, n - 1)), lambda i: key(n, i, n - i - 1))
+            gaps = F.transform(F.sequence(low, high), lambda i: key(n + 1, i, n - i))
+            return F.when(s["m"] == n, F.concat(gone, gaps)).otherwise(gone)
+
+        return F.array_distinct(F.flatten(F.transform(shared, one)))
+
+    return let(_chained(words), lambda heads: let(_chained(F.reverse(words)), lambda tails: of(F.size(heads) - 1, heads, tails)))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -65,14 +74,14 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, version (hash of the text), line (from 0), words: of lines with words."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    return rows.select("doc_id", "version", "line", words_of(F.col("raw")).alias("words")).filter(F.size("words") > 0)
+    """doc_id, version (hash of the text), line (from 0), raw (its text)."""
+    return docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """doc_id, version, kept (array of line numbers): of documents in which a line with words stays."""
-    hashed = _lines(docs).select(
+    worded = _lines(docs).select("doc_id", "version", "line", words_of(F.col("raw")).alias("words")).filter(F.size("words") > 0)
+    hashed = worded.select(
         "doc_id", "version", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("2"), "words").alias("h2"), _halves(F.col("words")).alias("halves")
     )
     place = F.struct("doc_id", "line", "version")
@@ -82,8 +91,8 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     near = near.join(small(keys), "key").groupBy("doc_id", "version", "line").agg(F.collect_set(F.struct("m", "head")).alias("shared"))
     at = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["version"] == b["version"]) & (a["line"] == b["line"])
     every, chosen = _lines(docs), small(near)
-    near = cut(every.join(chosen, at(every, chosen), "inner").select(every["*"], chosen["shared"]).dropDuplicates(["doc_id", "version", "line"]))
-    emitted = near.select(F.struct("doc_id", "line", "version").alias("place"), F.array_distinct(F.flatten(F.transform("shared", lambda s: _variants(F.col("words"), s["m"], s["head"])))).alias("keys"))
+    near = cut(every.join(chosen, at(every, chosen), "inner").select(every["*"], chosen["shared"]).dropDuplicates(["doc_id", "version", "line"]).withColumn("words", words_of(F.col("raw"))).drop("raw"))
+    emitted = near.select(F.struct("doc_id", "line", "version").alias("place"), _variants(F.col("words"), F.col("shared")).alias("keys"))
     emitted = emitted.select("place", F.explode("keys").alias("key"))
     first = cut(emitted.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key", "first"))
     pairs = emitted.join(small(first), "key").filter(F.col("first") < F.col("place")).select("place", "first").distinct()
@@ -100,7 +109,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Blank lines stay. Null text stays null. Null ids come first in order. Rows with one id and one text are one
     document and keep the same lines. Other columns pass through, whatever their names; the two new ones replace
-    columns of their names. Long lines: a line that shares a half with another costs the square of its words.
+    columns of their names.
     """
     key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("version"))
     kept = kept_lines(docs.select("doc_id", "text")).select(F.struct("doc_id", "version").alias("__key"), F.col("kept").alias("__kept"))
