@@ -74,7 +74,7 @@ def call_at(text: str, at: int) -> tuple[str, int, str | None] | None:
         elif c == "(":
             m = re.search(r"\.\s*([A-Za-z_][A-Za-z0-9_$]*)\s*\Z", plain[:i])
             if m and not re.search(r"[A-Za-z0-9_$)\]]\s*\Z", plain[: m.start()]):
-                connection = connection or m[1]  # a named connection: the call is further out
+                connection, commas = connection or m[1], 0  # a named connection: the call is further out
                 continue
             m = re.search(r"([`$]?[A-Za-z_$][A-Za-z0-9_$]*(?:(?:\.|::)[A-Za-z_$][A-Za-z0-9_$]*)*)\s*\Z", plain[:i])
             return (m[1], commas, connection) if m else None

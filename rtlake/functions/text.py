@@ -108,9 +108,8 @@ def offset_of(text: Column, line: Column, char: Column) -> Column:
 
 def cut_bytes(text: Column, most: int) -> Column:
     """At most ``most`` UTF-8 bytes, never half a character; marked where something was cut."""
-    raw = F.encode(text, "UTF-8")
-    part = F.regexp_replace(F.decode(F.substring(raw, 1, most), "UTF-8"), "�+$", "")
-    return F.when(F.octet_length(text) > most, F.concat(part, F.lit("..."))).otherwise(text)
+    fits = F.filter(F.sequence(F.lit(0), F.least(F.length(text), F.lit(most))), lambda k: F.octet_length(F.substring(text, F.lit(1), k)) <= most)
+    return F.when(F.octet_length(text) > most, F.concat(F.substring(text, F.lit(1), F.array_max(fits)), F.lit("..."))).otherwise(text)
 
 
 def rank_text(place: Column, width: int = 5) -> Column:

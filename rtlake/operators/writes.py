@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 def replace_by_key(table: DataFrame, rows: DataFrame, keys: Sequence[str], touched: DataFrame | None = None) -> DataFrame:
     """Replaces all rows of the keys in ``touched`` (those of ``rows`` if not given); keys touched without rows vanish."""
     gone = (touched if touched is not None else rows).select(*keys).distinct()
-    return table.join(gone, list(keys), "left_anti").unionByName(rows)
+    return table.join(gone, list(keys), "left_anti").select(*table.columns).unionByName(rows)
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Rows of ``rows`` replace those of equal keys; columns in ``keep`` retain the old value where there is one."""
     old = table.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in keep])
     merged = rows.join(old, list(keys), "left").withColumns({c: F.coalesce(f"__old_{c}", c) for c in keep})
-    return table.join(rows.select(*keys), list(keys), "left_anti").unionByName(merged.select(*table.columns))
+    return table.join(rows.select(*keys), list(keys), "left_anti").select(*table.columns).unionByName(merged.select(*table.columns))
 
 
 def insert_missing(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -27,7 +27,7 @@ def insert_missing(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> Da
 
 
 def delete(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return table.join(gone.select(*keys).distinct(), list(keys), "left_anti")
+    return table.join(gone.select(*keys).distinct(), list(keys), "left_anti").select(*table.columns)
 
 
 def cascade(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:

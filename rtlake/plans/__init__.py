@@ -1,6 +1,6 @@
 """Queries bound to the driver's tables, and the jobs that build and refresh an index."""
 
-from rtlake.plans import relational, scalars
+from rtlake.plans import relational, sample, scalars
 from rtlake.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "relational", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "relational", "sample", "scalars"]

@@ -393,7 +393,9 @@ class Parser:
         self.until(";")
 
     def variables(self, scope: str, access: str, kind: str = "Variable") -> None:
-        parts = _split(self.until(";"))
+        tokens = self.until(";")
+        parts = _split(tokens)
+        self.scan(_halves(tokens, "=")[1])
         if self.here.text == ";":
             self.next()
         left, _ = _halves(parts[0], "=") if parts else ([], [])
@@ -435,7 +437,8 @@ class Parser:
         if not self.name_here():
             if self.here.text == ";" and len(path) > 1:
                 self.call(path, [])
-            self.until(";", "end") if self.here.text in ("=", "<", "+", "-", "*", "/", "|", "&", "^") else None
+            if self.here.text in ("=", "<", "+", "-", "*", "/", "|", "&", "^"):
+                self.scan(self.until(";", "end"))
             return
         after = self.at + 1
         while after < len(self.tokens) and self.tokens[after].text == "[":
@@ -467,9 +470,28 @@ class Parser:
             named = len(part) > 1 and part[0].text == "." and re.match(r"[A-Za-z_]", part[1].text)
             args.append({"kind": "named" if named else "positional" if part else "elided", "name": part[1].text if named else ""})
         self.out.calls.append({"callee": path[-1].text, "qualifier": "::".join(p.text for p in path[:-1]), "args": args, "line": path[0].line, "col": path[0].col, "file": self.file})
-        for i, t in enumerate(inside):  # calls within arguments
-            if re.fullmatch(r"[A-Za-z_][\w$]*", t.text) and i + 1 < len(inside) and inside[i + 1].text == "(" and (i == 0 or inside[i - 1].text not in (".", "::")):
-                self.out.calls.append({"callee": t.text, "qualifier": "", "args": [], "line": t.line, "col": t.col, "file": self.file})
+        self.scan(inside)
+
+    def scan(self, tokens: list[Token]) -> None:
+        """Records the calls in an expression; inner ones by way of their call's arguments."""
+        i = 0
+        while i < len(tokens):
+            t = tokens[i]
+            named = re.fullmatch(r"[A-Za-z_][\w$]*", t.text) and t.text not in STATEMENTS and i + 1 < len(tokens) and tokens[i + 1].text == "("
+            if not named or (i and tokens[i - 1].text == "." and (i < 2 or tokens[i - 2].text in ",(")):
+                i += 1
+                continue
+            begin = i
+            while begin >= 2 and tokens[begin - 1].text in ("::", ".") and re.match(r"[A-Za-z_]", tokens[begin - 2].text):
+                begin -= 2
+            depth, end = 0, i + 1
+            while end < len(tokens):
+                depth += (tokens[end].text in "([{") - (tokens[end].text in ")]}")
+                end += 1
+                if not depth:
+                    break
+            self.call([x for x in tokens[begin : i + 1] if x.text not in ("::", ".")], tokens[i + 2 : end - 1])
+            i = end
 
     def statement(self, scope: str, label: Token | None = None) -> None:
         t = self.next()
@@ -503,7 +525,7 @@ class Parser:
                 self.statement(inner)
         elif t.text in ("if", "case", "casex", "casez"):
             if self.here.text == "(":
-                self.skip("(")
+                self.scan(self.skip("("))
             self.conditional += 1
             if self.here.text == "begin":
                 self.statement(scope)
@@ -518,12 +540,12 @@ class Parser:
                 self.until("{", ";")
                 self.skip("{") if self.here.text == "{" else None
             else:
-                self.until(";")
+                self.scan(self.until(";"))
         elif self.here.text in ("(", "@", "#"):
             while self.here.text in ("@", "#", "*"):
                 self.next()
             if self.here.text == "(":
-                self.skip("(")
+                self.scan(self.skip("("))
 
     def type_text(self, tokens: list[Token], scope: str) -> str:
         """A type's text: qualifiers and parameter lists dropped, containers in front."""
