@@ -162,13 +162,13 @@ def hover(index: Index, file: str, line: int, col: int, name: str, qualifier: st
     return found.select("kind", "name", F.replace("detail", F.lit("\x1f"), F.lit(" = ")).alias("detail"), T.doc_markdown(F.col("doc")).alias("doc"), T.display_scope(F.col("scope")).alias("scope"), "exact")
 
 
-def completion(index: Index, file: str, line: int, col: int, pattern: str = "", receiver_type: str | None = None, most: int = 1_000) -> DataFrame:
-    """Candidates at a position: of a name and kind the nearest, scored, best first, with a rank text."""
+def completion(index: Index, file: str, line: int, col: int, pattern: str = "", receiver_type: str | None = None, most: int | None = None) -> DataFrame:
+    """Candidates at a position: of a name and kind the nearest, scored, best first, with a rank text; all of them, or the best ``most``."""
     rows = members(index, receiver_type).withColumns({"arm": F.lit(0), "level": F.col("depth")}) if receiver_type else visible(index, file, line, col)
     rows = rows.filter(~F.col("kind").isin(*HIDDEN))
     first = lookup.first_wins(rows, ["name", "kind"], "arm", "level", is_forward(F.col("kind"), F.col("detail")).cast("int"), "file", "line", "col")
     scored = first.withColumn("score", T.fuzzy_score(F.col("name"), F.lit(pattern))).filter("score IS NOT NULL")
-    kept = lookup.top(scored, most, F.desc("score"), "name")
+    kept = lookup.top(scored, most, F.desc("score"), "name") if most else scored
     return lookup.ranked(kept, F.desc("score"), "name").select("name", "kind", "detail", "score", "rank_text", "file", "line")
 
 

@@ -108,3 +108,12 @@ def test_open_documents(spark, tmp_path):
     disk = spark.createDataFrame([("/a", "old"), ("/d", "disk")], "path string, text string")
     opened = spark.createDataFrame([("/a", 3, "three", True)], "path string, version int, text string, open boolean")
     assert sorted(map(tuple, schedule.effective_text(disk, opened).collect())) == [("/a", "three"), ("/d", "disk")]
+
+
+def test_builtins(spark):
+    from rtlake.functions import builtins
+
+    assert ("push_back", "Method") in [tuple(r) for r in builtins.methods(spark, "queue").collect()]
+    assert builtins.methods(spark, "none").count() == 0
+    names = {r["name"] for r in builtins.keywords(spark, builtins.CLASS).collect()}
+    assert "extends" in names and "always_ff" not in names
