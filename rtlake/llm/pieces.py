@@ -12,7 +12,6 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +26,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Threads of a batch, and characters of a batch.
 THREADS, BATCH_CHARS = 2, 1_000_000
-#: Words whose ids are remembered; words encoded in one run.
-CACHE, RUN = 600_000, 500
+#: Words whose ids are remembered; words encoded in one run; words compared at once.
+CACHE, RUN, COMPARED = 300_000, 500, 10_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _BYTE_TEXT = re.compile(r"<0x[0-9A-F]{2}>")
 
@@ -148,7 +147,7 @@ class Codec:
             self._marked = np.array([p.startswith(MARK) for p, *_ in self.model.pieces])
         self.original = sentencepiece.SentencePieceProcessor(model_proto=raw)
 
-    def _by_word(self, texts: list[str], verify: bool) -> tuple[list[list[int]], list[bool] | None]:
+    def _by_word(self, texts: list[str], verify: bool) -> tuple[list[np.ndarray], list[bool] | None]:
         """Ids, and whether the original library agrees on every word; each new word is encoded and compared once.
 
         Words are independent, as no piece spans the start of one, so ids of a text are those of its words.
@@ -165,21 +164,24 @@ class Codec:
         single = [w for w in new if w.startswith(MARK) and w[1:2] != MARK]
         runs = [single[i : i + RUN] for i in range(0, len(single), RUN)]
         for run, x in zip(runs, self.words.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = x.ids
+            ids = np.array(x.ids, np.int32)
             starts = np.flatnonzero(self._marked[ids]).tolist()
-            known.update(zip(run, (ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)), strict=True))
+            raw = ids.tobytes()
+            known.update(zip(run, (raw[4 * a : 4 * b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)), strict=True))
         rest = [w for w in new if w not in known]
-        known.update(zip(rest, (x.ids for x in self.words.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-        found = [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in words]
+        known.update(zip(rest, (_raw(x.ids) for x in self.words.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        found = [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for ws in words]
         if not verify:
             return found, None
         if not plain:  # the original's own normaliser can't be fed words that are normal already
-            return found, self.parity(texts, found)
+            return found, self.parity(texts, [x.tolist() for x in found])
         # A marker before a word is what the original puts before a text; further markers stand for blanks.
-        self._odd.update(w for w, ids in zip(new, self.original.encode([w[1:].replace(MARK, " ") for w in new], num_threads=self.threads), strict=True) if ids != known[w])
+        for at in range(0, len(new), COMPARED):
+            part = new[at : at + COMPARED]
+            self._odd.update(w for w, ids in zip(part, self.original.encode([w[1:].replace(MARK, " ") for w in part], num_threads=self.threads), strict=True) if _raw(ids) != known[w])
         return found, [not self._odd or self._odd.isdisjoint(ws) for ws in words]
 
-    def encode_verified(self, texts: list[str], verify: bool = True) -> tuple[list[list[int]], list[bool] | list[None]]:
+    def encode_verified(self, texts: list[str], verify: bool = True) -> tuple[list, list[bool] | list[None]]:
         """Ids, and for each text whether the original library gives the same (nulls unless ``verify``)."""
         if self.words and self.model.kind == BPE:
             found, same = self._by_word(texts, verify)
@@ -189,14 +191,15 @@ class Codec:
         return found, same if same is not None else [None] * len(texts)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        found = self._by_word(texts, False)[0] if self.words and self.model.kind == BPE else [x.ids for x in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [x.tolist() for x in self._by_word(texts, False)[0]] if self.words and self.model.kind == BPE else [x.ids for x in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
         if self.model.kind == UNIGRAM and self.model.byte_fallback:  # a unigram lattice would read a spelt-out byte piece as that byte
             for i, t in enumerate(texts):
                 if _BYTE_TEXT.search(t):
                     found[i] = self.original.encode(t)
         return found
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
+    def decode(self, ids: list) -> list[str]:
+        ids = [x.tolist() if isinstance(x, np.ndarray) else x for x in ids]
         return self.backend.decode_batch(ids, skip_special_tokens=False)
 
     def parity(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
@@ -204,6 +207,10 @@ class Codec:
         return [a == b for a, b in zip(self.original.encode(texts, num_threads=self.threads), ids, strict=True)]
 
 
+def _raw(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 def default_model() -> bytes:
     import public_tokenizers
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Characters of text that are held as Python strings at once; one longer text makes a piece of its own.
-PIECE_CHARS = 4_000_000
+PIECE_CHARS = 1_000_000
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_CHARS) -> Iterator[pa.RecordBatch]:
