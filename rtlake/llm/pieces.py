@@ -161,7 +161,7 @@ class Codec:
             known.clear()
             new = list(every)
         # Words with one marker are encoded in long runs: in the ids, a word begins where a piece begins with the marker.
-        single = [w for w in new if w.startswith(MARK) and w[1:2] != MARK]
+        single = [w for w in new if w.startswith(MARK) and w[1:2] not in ("", MARK)]
         runs = [single[i : i + RUN] for i in range(0, len(single), RUN)]
         for run, x in zip(runs, self.words.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(x.ids, np.int32)
@@ -178,9 +178,16 @@ class Codec:
         # A marker before a word is what the original puts before a text; further markers stand for blanks.
         for at in range(0, len(new), COMPARED):
             part = new[at : at + COMPARED]
-            self._odd.update(w for w, ids in zip(part, self.original.encode([w[1:].replace(MARK, " ") for w in part], num_threads=self.threads), strict=True) if _raw(ids) != known[w])
+            self._odd.update(w for w, ids in zip(part, self._original_words(part), strict=True) if _raw(ids) != known[w])
         return found, [not self._odd or self._odd.isdisjoint(ws) for ws in words]
 
+    def _original_words(self, words: list[str]) -> list[list[int]]:
+        """The original library's ids of normal words. An empty text gets no marker, so a lone one is asked for behind a letter."""
+        found = self.original.encode([w[1:].replace(MARK, " ") for w in words], num_threads=self.threads)
+        if MARK in words:
+            found[words.index(MARK)] = self.original.encode("x ")[len(self.original.encode("x")) :]
+        return found
+
     def encode_verified(self, texts: list[str], verify: bool = True) -> tuple[list, list[bool] | list[None]]:
         """Ids, and for each text whether the original library gives the same (nulls unless ``verify``)."""
         if self.words and self.model.kind == BPE:

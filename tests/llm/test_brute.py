@@ -50,6 +50,14 @@ def test_unigram_model_is_rebuilt():
     assert made.decode(ids) == texts
 
 
+def test_pieces_blanks_at_the_end(codec):
+    """A lone marker is a word, which must not run into the next new one."""
+    texts = ["new words here ", " ", "zyx ", " wvu  tsr", "zqx\n ", "  "]
+    fresh = pieces.Codec(pieces.default_model())
+    ids, same = fresh.encode_verified(texts)
+    assert all(same) and all(codec.parity(texts, [x.tolist() for x in ids]))
+
+
 def test_pieces_on_documents(spark):
     rows = pieces.encode(read(spark, "documents"))
     assert rows.filter("NOT exact OR NOT parity").count() == 0
