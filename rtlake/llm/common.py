@@ -36,8 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks ``df`` for broadcast if a count shows that it has at most ``rows`` rows; else leaves the join to shuffle."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, ready: bool = False) -> DataFrame:
+    """Marks ``df`` for broadcast if a count shows that it has at most ``rows`` rows; else leaves the join to shuffle.
+
+    It is materialised first, so that the count and the join don't both compute it, unless it is ``ready``.
+    """
+    df = df if ready else cut(df)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -78,7 +78,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     for level, bits in enumerate(at):
         above = bits - LEVELS[level]
         cells = (
-            base.join(small(edge), "key")
+            base.join(small(edge, ready=True), "key")
             .filter(F.shiftright("hash", BITS - above) == F.col("prefix") if above else F.lit(True))
             .groupBy("key", F.shiftright("hash", BITS - bits).alias("cell"))
             .agg(F.sum("size").alias("cell_size"), F.first("left").alias("left"))
