@@ -16,4 +16,4 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_language_id": language.op9_language_id,
 }
-ORACLES = {"op6_line_dedup": lines.OP6_SQL, "op8_mixing": mixing.OP8_SQL}
+ORACLES = {"op10_minhash": near.OP10_SQL, "op6_line_dedup": lines.OP6_SQL, "op8_mixing": mixing.OP8_SQL}
