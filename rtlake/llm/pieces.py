@@ -25,9 +25,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Threads of a batch, and characters of a batch.
-THREADS, BATCH_CHARS = 2, 1_000_000
+THREADS, BATCH_CHARS = 2, 250_000
 #: Words whose ids are remembered; words encoded in one run; words compared at once.
-CACHE, RUN, COMPARED = 300_000, 500, 10_000
+CACHE, RUN, COMPARED = 100_000, 500, 10_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _BYTE_TEXT = re.compile(r"<0x[0-9A-F]{2}>")
 
@@ -138,12 +138,12 @@ class Codec:
         import sentencepiece
 
         self.model, self.threads = parse(raw), threads
-        self.backend, self.words, self._known, self._odd = backend(self.model), None, {}, set()
-        if self.backend.pre_tokenizer is not None:
+        self.backend, self._known, self._odd = backend(self.model), {}, set()
+        self.by_word = self.model.kind == BPE and self.backend.pre_tokenizer is not None
+        if self.by_word:  # texts are made normal and split first, so what reaches the backend is normal already
             from tokenizers import normalizers
 
-            self.words = backend(self.model)  # the same, for words of texts that are normal already
-            self.words.normalizer = normalizers.Sequence([])
+            self._normalizer, self.backend.normalizer = self.backend.normalizer, normalizers.Sequence([])
             self._marked = np.array([p.startswith(MARK) for p, *_ in self.model.pieces])
         self.original = sentencepiece.SentencePieceProcessor(model_proto=raw)
 
@@ -153,7 +153,7 @@ class Codec:
         Words are independent, as no piece spans the start of one, so ids of a text are those of its words.
         """
         plain = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
-        normal = [(MARK + t.replace(" ", MARK) if t else "") if plain else self.backend.normalizer.normalize_str(t) for t in texts]
+        normal = [(MARK + t.replace(" ", MARK) if t else "") if plain else self._normalizer.normalize_str(t) for t in texts]
         words = [_WORD.findall(t) for t in normal]
         known, every = self._known, set().union(*words)
         new = [w for w in every if w not in known]
@@ -163,13 +163,13 @@ class Codec:
         # Words with one marker are encoded in long runs: in the ids, a word begins where a piece begins with the marker.
         single = [w for w in new if w.startswith(MARK) and w[1:2] not in ("", MARK)]
         runs = [single[i : i + RUN] for i in range(0, len(single), RUN)]
-        for run, x in zip(runs, self.words.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+        for run, x in zip(runs, self.backend.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(x.ids, np.int32)
             starts = np.flatnonzero(self._marked[ids]).tolist()
             raw = ids.tobytes()
             known.update(zip(run, (raw[4 * a : 4 * b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)), strict=True))
         rest = [w for w in new if w not in known]
-        known.update(zip(rest, (_raw(x.ids) for x in self.words.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        known.update(zip(rest, (_raw(x.ids) for x in self.backend.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
         found = [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for ws in words]
         if not verify:
             return found, None
@@ -190,7 +190,7 @@ class Codec:
 
     def encode_verified(self, texts: list[str], verify: bool = True) -> tuple[list, list[bool] | list[None]]:
         """Ids, and for each text whether the original library gives the same (nulls unless ``verify``)."""
-        if self.words and self.model.kind == BPE:
+        if self.by_word:
             found, same = self._by_word(texts, verify)
         else:
             found = self.encode(texts)
@@ -198,7 +198,7 @@ class Codec:
         return found, same if same is not None else [None] * len(texts)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        found = [x.tolist() for x in self._by_word(texts, False)[0]] if self.words and self.model.kind == BPE else [x.ids for x in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [x.tolist() for x in self._by_word(texts, False)[0]] if self.by_word else [x.ids for x in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
         if self.model.kind == UNIGRAM and self.model.byte_fallback:  # a unigram lattice would read a spelt-out byte piece as that byte
             for i, t in enumerate(texts):
                 if _BYTE_TEXT.search(t):

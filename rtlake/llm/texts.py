@@ -8,6 +8,9 @@ from collections.abc import Callable, Hashable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Setting of the session for the bytes of an Arrow batch between the JVM and a Python worker, its default, and what
+#: stands for the default here: two workers of an executor and their JVM hold several batches each at once.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(4 << 20))
 #: Characters of text that are held as Python strings at once; one longer text makes a piece of its own.
 PIECE_CHARS = 1_000_000
 
@@ -43,4 +46,7 @@ def map_texts(df: DataFrame, schema: str, body: Callable[[Iterator[pa.RecordBatc
         for columns in body(p for b in batches for p in pieces(b, limit=limit)):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in ((columns[f.name], f) for f in arrow)], schema=arrow)
 
+    conf, (key, default, size) = df.sparkSession.conf, BATCH_BYTES
+    if conf.get(key) == default:
+        conf.set(key, size)
     return df.mapInArrow(run, schema)
