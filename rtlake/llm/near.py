@@ -77,8 +77,14 @@ def least_shared(share: float, size: int) -> int:
 
 
 def _needed(n: Column, size: int, percent: int) -> Column:
-    """How many of its sketch's values a set of ``n`` shares with any partner at least."""
-    return F.when(n <= size, F.ceil(n * percent / 100)).otherwise(least_shared(percent / 100, size)).cast("int")
+    """How many of its sketch's values a set of ``n`` finds in the sketch of any partner at least (of thresholds above 50 %).
+
+    Of a partner of more than ``size`` values those beyond the sketch may be shared and don't count: fewest are left by
+    the largest partner.
+    """
+    most = F.floor(n * 100 / percent)
+    beyond = F.ceil((n + most) * percent / (100 + percent)) - F.greatest(most - size, F.lit(0))
+    return F.when(n <= size, F.least(F.ceil(n * percent / 100), beyond)).otherwise(least_shared(percent / 100, size)).cast("int")
 
 
 def sketches(docs: DataFrame, shingle: int, size: int = SHORT) -> DataFrame:

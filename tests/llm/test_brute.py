@@ -175,6 +175,21 @@ def test_near_against_brute_force(spark, shingle, percent):
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("shingle, percent, n", [(3, 85, 37), (5, 80, 40)])
+def test_near_partner_beyond_its_sketch(spark, shingle, percent, n):
+    """A set of 32 within a larger one, whose other values are all in its sketch."""
+    for seed in range(1000):
+        words = [f"s{seed}w{i}" for i in range(n + shingle - 1)]
+        inner, outer = " ".join(words[: 32 + shingle - 1]), " ".join(words)
+        a, b = near.shingle_set(inner, shingle), near.shingle_set(outer, shingle)
+        if (len(a), len(b), len(np.intersect1d(a, b[:32]))) == (32, n, 64 - n):
+            break
+    else:
+        raise AssertionError("no such sets")
+    rows = near.linked(spark.createDataFrame([(1, outer), (2, inner)], "doc_id long, text string"), shingle, percent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {1: 1, 2: 1}
+
+
 def test_components(spark):
     rng, edges = random.Random(1), [(i, i + 1) for i in range(100, 160)]
     edges += [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
