@@ -165,16 +165,21 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     every = cut(sketches(docs, shingle))
     some = every.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = cut(some.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "low")).alias("x")).select("h1", "h2", "n", F.col("x.doc_id").alias("node"), "x.low"))
+    # Rows that repeat an id with other texts: a node then has several sets, and their nodes are linked by the id.
+    identity = F.struct("h1", "h2", "n")
+    repeated = every.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(identity).alias("lo"), F.max(identity).alias("hi"))
+    repeated = small(repeated.filter("lo <> hi").select("doc_id"))
+    same = cut(some.join(repeated, "doc_id", "left_semi").join(nodes, ["h1", "h2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     # 1. Which documents share enough values of the short sketch with any others.
-    posted = nodes.select("node", "n", F.explode("low").alias("value"))
+    posted = nodes.select("node", "h1", "n", F.explode("low").alias("value"))
     common = posted.groupBy("value").count().filter("count > 1").select("value")
-    alive = cut(posted.join(small(common), "value").groupBy("node", "n").count().filter(F.col("count") >= _needed(F.col("n"), SHORT, percent)).select("node", "n"))
+    alive = cut(posted.join(small(common), "value").groupBy("node", "h1", "n").count().filter(F.col("count") >= _needed(F.col("n"), SHORT, percent)).select("node", "n"))
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(small(alive.select("node").distinct()), "node")
-    sets = cut(full_sets(texts, shingle).dropDuplicates(["node"]))
+    sets = cut(full_sets(texts, shingle).filter(F.size("values") > 0).withColumn("own", F.xxhash64("values")).dropDuplicates(["node", "own"]))
     # 2. Lists over whole sets: a pair shares one of the rarest values, of which each set gives as many as it may miss and one more.
-    posted = sets.select("node", F.size("values").alias("n"), F.explode("values").alias("value"))
+    posted = sets.select("node", "own", F.size("values").alias("n"), F.explode("values").alias("value"))
     often = posted.groupBy("value").agg(F.count(F.lit(1)).alias("often"))
-    ranked = posted.join(often, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("by"), F.sum("often").alias("central"))
+    ranked = posted.join(often, "value").groupBy("node", "own", "n").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("by"), F.sum("often").alias("central"))
     prefix = F.slice("by", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
     lists = ranked.select("node", "n", "central", F.posexplode(prefix).alias("place", "x")).filter("x.often > 1")
     lists = cut(lists.select("node", "n", (F.col("central") / F.col("n")).alias("central"), "place", F.col("x.value").alias("value"), F.col("node").alias("component")))
@@ -204,11 +209,14 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     need = (F.col("n_a") + F.col("n_b")) * percent
     across = left.join(right, "value").filter("node_a > node_b AND component_a <> component_b").filter(fits(F.col("n_a"), F.col("n_b")) & (room * (100 + percent) >= need))
     across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    final = components(links.union(verified(across, sets, percent)))
+    final = cut(components(links.union(verified(across, sets, percent)).union(same)))
     # 3. Back to every row.
     named = nodes.join(final, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
     out = every.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    # A text without words has no set; where its id has other texts, it goes with them.
+    ids = small(final.join(repeated, F.col("node") == F.col("doc_id"), "left_semi").select(F.col("node").alias("doc_id"), F.col("component").alias("other")))
+    out = out.join(ids, "doc_id", "left").withColumn("component", F.coalesce("component", "other", "doc_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

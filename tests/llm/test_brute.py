@@ -190,6 +190,14 @@ def test_near_partner_beyond_its_sketch(spark, shingle, percent, n):
     assert {r["doc_id"]: r["component_id"] for r in rows} == {1: 1, 2: 1}
 
 
+def test_near_rows_that_repeat_an_id(spark):
+    """Rows with one id are one document: each of its texts links, and a text without words goes with the others."""
+    x, y, z, v = (" ".join(f"{c}{i}" for i in range(100)) for c in "xyzv")
+    rows = [(1, x), (1, y), (2, f"{x} more"), (3, f"{y} more"), (3, ""), (5, z), (6, z), (6, v), (7, f"{v} more"), (8, ""), (8, "")]
+    got = near.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (5, 5), (6, 5), (6, 5), (7, 5), (8, 8), (8, 8)]
+
+
 def test_components(spark):
     rng, edges = random.Random(1), [(i, i + 1) for i in range(100, 160)]
     edges += [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
