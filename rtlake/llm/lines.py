@@ -92,14 +92,14 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     # Their words: only documents that hold such lines are split again.
     holders = small(near.select(F.col("doc_id").alias("holder"), F.col("version").alias("its")).distinct())
     held = docs.join(holders, docs["doc_id"].eqNullSafe(F.col("holder")) & (F.xxhash64(docs["text"]) == F.col("its")), "left_semi")
-    every, chosen = _lines(held), small(near, ready=True)
+    every, chosen = _lines(held), small(near)
     at = every["doc_id"].eqNullSafe(chosen["doc_id"]) & (every["version"] == chosen["version"]) & (every["line"] == chosen["line"])
     near = every.join(chosen, at, "inner").select(every["*"], chosen["shared"]).dropDuplicates(["doc_id", "version", "line"])
     near = cut(near.withColumn("words", words_of(F.col("raw"))).drop("raw"))
     emitted = near.select(F.struct("doc_id", "line", "version").alias("place"), _variants(F.col("words"), F.col("shared")).alias("keys"))
     emitted = emitted.select("place", F.explode("keys").alias("key"))
     first = cut(emitted.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key", "first"))
-    pairs = emitted.join(small(first, ready=True), "key").filter(F.col("first") < F.col("place")).select("place", "first").distinct()
+    pairs = emitted.join(small(first), "key").filter(F.col("first") < F.col("place")).select("place", "first").distinct()
     own = near.select(F.struct("doc_id", "line", "version").alias("p"), "words")
     pairs = pairs.join(own.withColumnRenamed("words", "a"), F.col("place").eqNullSafe(F.col("p"))).drop("p")
     pairs = pairs.join(own.withColumnRenamed("words", "b"), F.col("first").eqNullSafe(F.col("p"))).drop("p")

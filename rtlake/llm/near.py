@@ -7,8 +7,9 @@ set are collapsed first. Then, over what remains:
 2. For the rest, few documents of any corpus, the lists take whole sets, rarest values first and only as many as a pair
    must share one of. In each list every member is paired with the most central member of another component alone, for
    some rounds; each round's links join components, and lists within one component are done. So a group of copies, however
-   large, makes as many pairs as it has members. What then is left across components is paired if the places of the
-   shared value leave room for enough more.
+   large, makes as many pairs as it has members. In lists that still span components, members then meet those up to so
+   many places after them in the list, round by round, until every list lies in one component or is through. Of these
+   only pairs of two components count whose places of the shared value leave room for enough more.
 3. The union's sketch estimates each candidate; the exact Jaccard of the full sets confirms it.
 
 The short sketch and the estimate lose a pair at the threshold only if it falls six standard deviations below its mean; all
@@ -19,16 +20,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rtlake.llm.common import cut, small, table
+from rtlake.llm.common import PART_BYTES, cut, release, small, table
 from rtlake.llm.texts import map_texts
 
-#: Sizes of the sketch whose lists find overlaps and of the one that estimates pairs; rounds of pairs with hubs.
-SHORT, LONG, HUB_ROUNDS = 32, 256, 3
+#: Sizes of the sketch whose lists find overlaps and of the one that estimates pairs.
+SHORT, LONG = 32, 256
+#: Rounds of pairs with hubs; places of a list that the first round after them covers, doubled each round up to the most;
+#: edges that a worker joins to components at once.
+HUB_ROUNDS, PLACES, MOST_PLACES, JOINED = 3, 16, 256, 500_000
 #: Of the contract: words of a shingle, least similarity in per cent.
 SHINGLE, PERCENT = 3, 85
 _BASE, _MIX1, _MIX2 = 0x9E3779B97F4A7C15 | 1, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -110,28 +115,85 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return map_texts(docs.select("node", "text"), "node long, values array<long>", body)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b) edges -> node, component (its least node), by alternating large and small stars until nothing changes."""
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+def _least_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (a, b) that their component has a smaller one than, with the least."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
     while True:
+        u, v = label[x], label[y]
+        open_ = u != v
+        if not open_.any():
+            break
+        x, y, u, v = x[open_], y[open_], u[open_], v[open_]
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components: of each piece of at most ``JOINED`` edges, each node with the least it reaches there."""
+
+    def body(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def joined(held: list) -> pa.RecordBatch:
+            a, b = (np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("a", "b"))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _least_of(a, b)], names=["a", "b"])
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= JOINED:
+                yield joined(held)
+                held, rows = [], 0
+        if held:
+            yield joined(held)
+
+    return edges.select("a", "b").mapInArrow(body, "a long, b long")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node has edges to one smaller node at most, and to none if a larger one has an edge to it."""
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", F.lit(None).cast("long")))
+    ends = ends.groupBy("node").agg(F.min("to").alias("lo"), F.max("to").alias("hi"), F.max(F.col("to").isNull()).alias("centre"))
+    return ends.filter("lo <> hi OR lo IS NOT NULL AND centre").isEmpty()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b) edges -> node, component (its least node; nodes that are the least aren't listed), stored.
+
+    Pieces of the edges are joined within a task; what goes across is joined by alternating large and small stars
+    until all components are stars.
+    """
+    edges = cut(_contracted(edges))
+    while not _are_stars(edges):
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         ties = large.join(low, "a")
-        small_star = ties.filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b"))).distinct()
-        edges = cut(small_star)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+        star = ties.filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b"))).distinct()
+        before, edges = edges, cut(_contracted(star), edges)
+        release(before)
+    out = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), edges)
+    release(edges)
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: first by the union's sketch, then exactly."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("values").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("values").alias("y")), "b")
+    """The stored pairs (a, b) whose sets are similar enough: first by the union's sketch, then exactly.
+
+    Few pairs are sent to the sets, so that only sets in pairs move; many meet them by shuffles.
+    """
+    ends = pairs if pairs.stored.size > sets.stored.size else small(pairs)
+    left = sets.select(F.col("node").alias("a"), F.col("values").alias("x")).join(ends, "a")
+    right = sets.select(F.col("node").alias("b"), F.col("values").alias("y"))
+    right = right if ends is pairs else right.join(ends.select("b").distinct(), "b", "left_semi")
+    both = left.join(right, "b")
     share = least_shared(percent / 100, LONG)
 
     def body(batches: Iterator) -> Iterator:
@@ -156,6 +218,42 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(body, "a long, b long")
 
 
+def _fits(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def _with_hubs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b: each member of a list with the most central member of another component than its own."""
+    few = lists.stored.parts
+    tops = lists.groupBy("value", "component").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"), "n", "component")).alias("top")).coalesce(few)
+    best = tops.groupBy("value").agg(F.max("top").alias("best"))
+    other = tops.join(best, "value").filter("top.component <> best.component").groupBy("value").agg(F.max("top").alias("other"), F.max("best").alias("best")).coalesce(few)
+    hub = F.when(F.col("component") == F.col("best.component"), F.col("other")).otherwise(F.col("best"))
+    star = lists.join(other, "value").withColumn("hub", hub).filter(_fits(F.col("n"), F.col("hub.n"), percent))
+    return star.select(F.greatest(F.col("node"), -F.col("hub.minus")).alias("a"), F.least(F.col("node"), -F.col("hub.minus")).alias("b")).coalesce(few).distinct()
+
+
+def _with_next(lists: DataFrame, done: int, places: int, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of two components: each member of a list with those it may be linked with among ``places`` after the ``done`` next ones."""
+    w = Window.partitionBy("value").orderBy("n", "node").rowsBetween(done + 1, done + places)
+    after = F.collect_list(F.struct("node", "n", "place", "component")).over(w)
+    room = lambda x: F.least(F.col("n") - F.col("place"), x["n"] - x["place"]) * (100 + percent) >= (F.col("n") + x["n"]) * percent
+    some = F.filter("after", lambda x: (x["component"] != F.col("component")) & _fits(F.col("n"), x["n"], percent) & room(x))
+    pairs = lists.filter(F.col("members") > done).withColumn("after", after).withColumn("some", some).select("node", F.explode(F.transform("some", lambda x: x["node"])).alias("other"))
+    return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).coalesce(lists.stored.parts).distinct()
+
+
+def _joined(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """``lists`` under the components that ``links`` make, without lists within one component: of these no pair can add anything."""
+    few, named = lists.stored.parts, components(links)
+    named_lists = lists.drop("component").join(small(named), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = named_lists.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("value", "members")
+    out = cut(named_lists.drop("members").join(several.coalesce(few), "value"), lists)
+    release(named)
+    return out
+
+
 def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id long, text).
 
@@ -164,62 +262,64 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     """
     every = cut(sketches(docs, shingle))
     some = every.filter("n > 0 AND doc_id IS NOT NULL")
-    nodes = cut(some.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "low")).alias("x")).select("h1", "h2", "n", F.col("x.doc_id").alias("node"), "x.low"))
+    nodes = cut(some.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "low")).alias("x")).select("h1", "h2", "n", F.col("x.doc_id").alias("node"), "x.low"), every)
     # Rows that repeat an id with other texts: a node then has several sets, and their nodes are linked by the id.
     identity = F.struct("h1", "h2", "n")
     repeated = every.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(identity).alias("lo"), F.max(identity).alias("hi"))
-    repeated = small(repeated.filter("lo <> hi").select("doc_id"))
-    same = cut(some.join(repeated, "doc_id", "left_semi").join(nodes, ["h1", "h2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    repeated = small(cut(repeated.filter("lo <> hi").select("doc_id"), every))
+    same = cut(some.join(repeated, "doc_id", "left_semi").join(nodes, ["h1", "h2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b"), every)
     # 1. Which documents share enough values of the short sketch with any others.
     posted = nodes.select("node", "h1", "n", F.explode("low").alias("value"))
-    common = posted.groupBy("value").count().filter("count > 1").select("value")
-    alive = cut(posted.join(small(common), "value").groupBy("node", "h1", "n").count().filter(F.col("count") >= _needed(F.col("n"), SHORT, percent)).select("node", "n"))
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(small(alive.select("node").distinct()), "node")
-    sets = cut(full_sets(texts, shingle).filter(F.size("values") > 0).withColumn("own", F.xxhash64("values")).dropDuplicates(["node", "own"]))
+    common = small(cut(posted.groupBy("value").count().filter("count > 1").select("value"), every))
+    alive = cut(posted.join(common, "value").groupBy("node", "h1", "n").count().filter(F.col("count") >= _needed(F.col("n"), SHORT, percent)).select("node", "n"), every)
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(small(cut(alive.select("node").distinct(), alive)), "node")
+    sets = full_sets(texts, shingle).filter(F.size("values") > 0).withColumn("own", F.xxhash64("values"))
+    sets = cut(sets.dropDuplicates(["node", "own"]))
     # 2. Lists over whole sets: a pair shares one of the rarest values, of which each set gives as many as it may miss and one more.
     posted = sets.select("node", "own", F.size("values").alias("n"), F.explode("values").alias("value"))
     often = posted.groupBy("value").agg(F.count(F.lit(1)).alias("often"))
     ranked = posted.join(often, "value").groupBy("node", "own", "n").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("by"), F.sum("often").alias("central"))
     prefix = F.slice("by", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
     lists = ranked.select("node", "n", "central", F.posexplode(prefix).alias("place", "x")).filter("x.often > 1")
-    lists = cut(lists.select("node", "n", (F.col("central") / F.col("n")).alias("central"), "place", F.col("x.value").alias("value"), F.col("node").alias("component")))
-    fits = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-    links = tried = None
-    for _ in range(HUB_ROUNDS):
-        tops = lists.groupBy("value", "component").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"), "n", "component")).alias("top"))
-        best = tops.groupBy("value").agg(F.max("top").alias("best"))
-        other = tops.join(best, "value").filter("top.component <> best.component").groupBy("value").agg(F.max("top").alias("other"))
-        hub = F.when(F.col("component") == F.col("best.component"), F.col("other")).otherwise(F.col("best"))
-        star = lists.join(best.join(other, "value"), "value").withColumn("hub", hub).filter(fits(F.col("n"), F.col("hub.n")))
-        star = star.select(F.greatest(F.col("node"), -F.col("hub.minus")).alias("a"), F.least(F.col("node"), -F.col("hub.minus")).alias("b")).distinct()
-        star = cut(star if tried is None else star.join(tried, ["a", "b"], "left_anti"))
-        found = cut(verified(star, sets, percent))
-        links, tried = (found, star) if links is None else (links.union(found), tried.union(star))
-        if found.isEmpty():
-            break
-        named = components(links)
-        lists = lists.drop("component").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # Of lists within one component no pair can add anything.
-        several = lists.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("value")
-        lists = cut(lists.join(several, "value"))
-    # What the lists still hold across components: all pairs whose places leave room for enough shared values.
-    left = lists.select("value", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "component")])
-    right = lists.select("value", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "component")])
-    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    need = (F.col("n_a") + F.col("n_b")) * percent
-    across = left.join(right, "value").filter("node_a > node_b AND component_a <> component_b").filter(fits(F.col("n_a"), F.col("n_b")) & (room * (100 + percent) >= need))
-    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    final = cut(components(links.union(verified(across, sets, percent)).union(same)))
+    lists = cut(lists.select("node", "n", (F.col("central") / F.col("n")).alias("central"), "place", F.col("x.value").alias("value"), F.col("node").alias("component"), F.lit(2).cast("long").alias("members")), sets)
+    links, tried, turn, done, places = [same], [], 0, 0, PLACES
+    while not (lists if turn < HUB_ROUNDS else lists.filter(F.col("members") > done)).isEmpty():
+        hubs = turn < HUB_ROUNDS
+        pairs = _with_hubs(lists, percent) if hubs else _with_next(lists, done, places, percent)
+        for earlier in tried:
+            pairs = pairs.join(small(earlier), ["a", "b"], "left_anti")
+        pairs = cut(pairs, lists)
+        if not hubs:
+            done, places = done + places, min(2 * places, MOST_PLACES)
+        if pairs.isEmpty():
+            turn = HUB_ROUNDS
+            continue
+        tried.append(pairs)
+        found = cut(verified(pairs, sets, percent), pairs)
+        turn = turn + 1 if hubs else HUB_ROUNDS
+        if found.isEmpty():  # hubs that no one is linked with would come again
+            turn = HUB_ROUNDS
+            continue
+        links.append(found)
+        before, lists = lists, _joined(lists, _union(links))
+        release(before)
+    final = components(_union(links))
+    release(sets)
     # 3. Back to every row.
     named = nodes.join(final, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
     out = every.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
     # A text without words has no set; where its id has other texts, it goes with them.
-    ids = small(final.join(repeated, F.col("node") == F.col("doc_id"), "left_semi").select(F.col("node").alias("doc_id"), F.col("component").alias("other")))
+    ids = small(cut(final.join(repeated, F.col("node") == F.col("doc_id"), "left_semi").select(F.col("node").alias("doc_id"), F.col("component").alias("other")), final))
     out = out.join(ids, "doc_id", "left").withColumn("component", F.coalesce("component", "other", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    """Edges (a, b) of stored frames, in few tasks if they are small."""
+    return reduce(DataFrame.union, frames).coalesce(max(1, sum(f.stored.parts if f.stored.size > PART_BYTES else 0 for f in frames)))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))
 

@@ -239,3 +239,31 @@ def test_sql(spark, name):
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({registry.ORACLES[name]})").fetchall()
     plain = lambda row: tuple(f"{v:.9g}" if isinstance(v, float) else v for v in row)
     assert sorted(map(plain, want), key=repr) == sorted((plain(tuple(r)) for r in got.select(*columns).collect()), key=repr)
+
+
+def test_near_lists_across_components(spark, monkeypatch):
+    """Lists that hubs don't settle: families just below the threshold share rare shingles; pairs come from places after."""
+    monkeypatch.setattr(near, "HUB_ROUNDS", 1)
+    monkeypatch.setattr(near, "PLACES", 2)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for family in range(9):
+        words = [*base[: 100 + 2 * family], *[f"f{family}x{i}" for i in range(30 - 2 * family)]]
+        rows += [(10 * family + k, " ".join([*words[:-1], f"end{k}"])) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: set(near.shingle_set(t, 3).tolist()) for i, t in rows}
+    least = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    assert {r.doc_id: r.component_id for r in near.linked(docs).collect()} == least
+
+
+def test_components_across_pieces(spark, monkeypatch):
+    """Chains whose edges lie in many pieces."""
+    monkeypatch.setattr(near, "JOINED", 3)
+    edges = [(i + 1, i) for i in range(100)] + [(201 + 2 * i, 200) for i in range(50)]
+    got = near.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
+    assert {r.node: r.component for r in got} == {a: 0 if a <= 100 else 200 for a, _ in edges}
