@@ -7,9 +7,8 @@ set are collapsed first. Then, over what remains:
 2. For the rest, few documents of any corpus, the lists take whole sets, rarest values first and only as many as a pair
    must share one of. In each list every member is paired with the most central member of another component alone, for
    some rounds; each round's links join components, and lists within one component are done. So a group of copies, however
-   large, makes as many pairs as it has members. In lists that still span components, members then meet those up to so
-   many places after them in the list, round by round, until every list lies in one component or is through. Of these
-   only pairs of two components count whose places of the shared value leave room for enough more.
+   large, makes as many pairs as it has members. In lists that still span components, the lengths of two sets and the
+   places of the shared value tell whether they leave room for enough more: only such pairs of two components count.
 3. The union's sketch estimates each candidate; the exact Jaccard of the full sets confirms it.
 
 The short sketch and the estimate lose a pair at the threshold only if it falls six standard deviations below its mean; all
@@ -23,7 +22,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rtlake.llm.common import PART_BYTES, cut, release, small, table
@@ -31,9 +30,8 @@ from rtlake.llm.texts import map_texts
 
 #: Sizes of the sketch whose lists find overlaps and of the one that estimates pairs.
 SHORT, LONG = 32, 256
-#: Rounds of pairs with hubs; places of a list that the first round after them covers, doubled each round up to the most;
-#: edges that a worker joins to components at once.
-HUB_ROUNDS, PLACES, MOST_PLACES, JOINED = 3, 16, 256, 500_000
+#: Rounds of pairs with hubs; edges that a worker joins to components at once.
+HUB_ROUNDS, JOINED = 3, 500_000
 #: Of the contract: words of a shingle, least similarity in per cent.
 SHINGLE, PERCENT = 3, 85
 _BASE, _MIX1, _MIX2 = 0x9E3779B97F4A7C15 | 1, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -160,7 +158,7 @@ def _are_stars(edges: DataFrame) -> bool:
     """Whether each node has edges to one smaller node at most, and to none if a larger one has an edge to it."""
     ends = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", F.lit(None).cast("long")))
     ends = ends.groupBy("node").agg(F.min("to").alias("lo"), F.max("to").alias("hi"), F.max(F.col("to").isNull()).alias("centre"))
-    return ends.filter("lo <> hi OR lo IS NOT NULL AND centre").isEmpty()
+    return ends.coalesce(edges.stored.parts).filter("lo <> hi OR lo IS NOT NULL AND centre").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -234,22 +232,27 @@ def _with_hubs(lists: DataFrame, percent: int) -> DataFrame:
     return star.select(F.greatest(F.col("node"), -F.col("hub.minus")).alias("a"), F.least(F.col("node"), -F.col("hub.minus")).alias("b")).coalesce(few).distinct()
 
 
-def _with_next(lists: DataFrame, done: int, places: int, percent: int) -> DataFrame:
-    """Pairs (a, b), a > b, of two components: each member of a list with those it may be linked with among ``places`` after the ``done`` next ones."""
-    w = Window.partitionBy("value").orderBy("n", "node").rowsBetween(done + 1, done + places)
-    after = F.collect_list(F.struct("node", "n", "place", "component")).over(w)
-    room = lambda x: F.least(F.col("n") - F.col("place"), x["n"] - x["place"]) * (100 + percent) >= (F.col("n") + x["n"]) * percent
-    some = F.filter("after", lambda x: (x["component"] != F.col("component")) & _fits(F.col("n"), x["n"], percent) & room(x))
-    pairs = lists.filter(F.col("members") > done).withColumn("after", after).withColumn("some", some).select("node", F.explode(F.transform("some", lambda x: x["node"])).alias("other"))
-    return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).coalesce(lists.stored.parts).distinct()
+def _with_others(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of two components in one list whose lengths and places leave room for enough shared values.
+
+    With so many values from the shared one's place on, a set can be linked with one of at most ``reach`` values; a pair
+    counts if each is within the other's reach. Lists are split by classes of length that a link spans two of at most.
+    """
+    reach = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n")
+    sized = lists.withColumns({"reach": reach, "class": F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")})
+    less = sized.filter("reach >= n").select("value", "class", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "reach", "component")])
+    more = sized.withColumn("class", F.explode(F.array("class", F.col("class") - 1))).select("value", "class", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "reach", "component")])
+    order = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b"))
+    pairs = less.join(more, ["value", "class"]).filter((F.col("component_a") != F.col("component_b")) & order & (F.col("n_b") <= F.col("reach_a")) & (F.col("n_a") <= F.col("reach_b")))
+    return pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).coalesce(lists.stored.parts).distinct()
 
 
 def _joined(lists: DataFrame, links: DataFrame) -> DataFrame:
     """``lists`` under the components that ``links`` make, without lists within one component: of these no pair can add anything."""
     few, named = lists.stored.parts, components(links)
     named_lists = lists.drop("component").join(small(named), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = named_lists.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("value", "members")
-    out = cut(named_lists.drop("members").join(several.coalesce(few), "value"), lists)
+    several = named_lists.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("value")
+    out = cut(named_lists.join(several.coalesce(few), "value"), lists)
     release(named)
     return out
 
@@ -281,28 +284,22 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     ranked = posted.join(often, "value").groupBy("node", "own", "n").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("by"), F.sum("often").alias("central"))
     prefix = F.slice("by", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
     lists = ranked.select("node", "n", "central", F.posexplode(prefix).alias("place", "x")).filter("x.often > 1")
-    lists = cut(lists.select("node", "n", (F.col("central") / F.col("n")).alias("central"), "place", F.col("x.value").alias("value"), F.col("node").alias("component"), F.lit(2).cast("long").alias("members")), sets)
-    links, tried, turn, done, places = [same], [], 0, 0, PLACES
-    while not (lists if turn < HUB_ROUNDS else lists.filter(F.col("members") > done)).isEmpty():
-        hubs = turn < HUB_ROUNDS
-        pairs = _with_hubs(lists, percent) if hubs else _with_next(lists, done, places, percent)
+    lists = cut(lists.select("node", "n", (F.col("central") / F.col("n")).alias("central"), "place", F.col("x.value").alias("value"), F.col("node").alias("component")), sets)
+    links, tried = [same], []
+    left = HUB_ROUNDS
+    while left >= 0:
+        last, left = left == 0, left - 1
+        pairs = _with_others(lists, percent) if last else _with_hubs(lists, percent)
         for earlier in tried:
             pairs = pairs.join(small(earlier), ["a", "b"], "left_anti")
         pairs = cut(pairs, lists)
-        if not hubs:
-            done, places = done + places, min(2 * places, MOST_PLACES)
-        if pairs.isEmpty():
-            turn = HUB_ROUNDS
-            continue
         tried.append(pairs)
-        found = cut(verified(pairs, sets, percent), pairs)
-        turn = turn + 1 if hubs else HUB_ROUNDS
-        if found.isEmpty():  # hubs that no one is linked with would come again
-            turn = HUB_ROUNDS
-            continue
-        links.append(found)
-        before, lists = lists, _joined(lists, _union(links))
-        release(before)
+        links.append(cut(verified(pairs, sets, percent), sets))
+        if links[-1].isEmpty():  # the same hubs would come again
+            left = min(left, 0)
+        elif not last:
+            before, lists = lists, _joined(lists, _union(links))
+            release(before)
     final = components(_union(links))
     release(sets)
     # 3. Back to every row.
