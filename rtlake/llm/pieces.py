@@ -12,8 +12,11 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +28,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Threads of a batch, and characters of a batch.
-THREADS, BATCH_CHARS = 2, 250_000
-#: Words whose ids are remembered; words encoded in one run; words compared at once.
-CACHE, RUN, COMPARED = 100_000, 500, 10_000
-_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+THREADS, BATCH_CHARS = 2, 400_000
+#: Words whose ids are remembered; words encoded in one run.
+CACHE, RUN = 100_000, 500
 _BYTE_TEXT = re.compile(r"<0x[0-9A-F]{2}>")
 
 
@@ -138,75 +140,92 @@ class Codec:
         import sentencepiece
 
         self.model, self.threads = parse(raw), threads
-        self.backend, self._known, self._odd = backend(self.model), {}, set()
+        self.backend = backend(self.model)
         self.by_word = self.model.kind == BPE and self.backend.pre_tokenizer is not None
         if self.by_word:  # texts are made normal and split first, so what reaches the backend is normal already
             from tokenizers import normalizers
 
             self._normalizer, self.backend.normalizer = self.backend.normalizer, normalizers.Sequence([])
             self._marked = np.array([p.startswith(MARK) for p, *_ in self.model.pieces])
+            # A character that is in no piece, and falls back to a byte, merges with nothing: lines are apart as well.
+            self._lines = self.model.byte_fallback and not any("\n" in p for p, *_ in self.model.pieces)
+            #: Words whose ids are known, as rows; the place and number of each row's ids in one array.
+            self._rows, self._ids = {}, np.zeros(0, np.int32)
+            self._starts, self._lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=raw)
 
-    def _by_word(self, texts: list[str], verify: bool) -> tuple[list[np.ndarray], list[bool] | None]:
-        """Ids, and whether the original library agrees on every word; each new word is encoded and compared once.
+    def _learn(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Encodes words (blanks stand for markers): the words in another order, each one's number of ids, and all ids in a row."""
+        # Words with one marker are encoded in long runs: in the ids, a word begins where a piece begins with the marker.
+        single = [w for w in words if w[0] == " " and w[1:2] not in ("", " ")]
+        rest = [w for w in words if not (w[0] == " " and w[1:2] not in ("", " "))]
+        runs = ["".join(single[i : i + RUN]).replace(" ", MARK) for i in range(0, len(single), RUN)]
+        run_ids = [x.ids for x in self.backend.encode_batch_fast(runs, add_special_tokens=False)]
+        rest_ids = [x.ids for x in self.backend.encode_batch_fast([w.replace(" ", MARK) for w in rest], add_special_tokens=False)]
+        first = np.fromiter(chain.from_iterable(run_ids), np.int32)
+        begins = np.flatnonzero(self._marked[first])
+        lengths = np.concatenate([np.diff(begins, append=len(first)), np.fromiter(map(len, rest_ids), np.int64)]).astype(np.int64)
+        if len(lengths) != len(words):
+            raise ValueError("a piece with a marker lies within a word")
+        return single + rest, lengths, np.concatenate([first, np.fromiter(chain.from_iterable(rest_ids), np.int32)])
+
+    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin; each new word is encoded once.
 
         Words are independent, as no piece spans the start of one, so ids of a text are those of its words.
         """
-        plain = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
-        normal = [(MARK + t.replace(" ", MARK) if t else "") if plain else self._normalizer.normalize_str(t) for t in texts]
-        words = [_WORD.findall(t) for t in normal]
-        known, every = self._known, set().union(*words)
-        new = [w for w in every if w not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(every)
-        # Words with one marker are encoded in long runs: in the ids, a word begins where a piece begins with the marker.
-        single = [w for w in new if w.startswith(MARK) and w[1:2] not in ("", MARK)]
-        runs = [single[i : i + RUN] for i in range(0, len(single), RUN)]
-        for run, x in zip(runs, self.backend.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(x.ids, np.int32)
-            starts = np.flatnonzero(self._marked[ids]).tolist()
-            raw = ids.tobytes()
-            known.update(zip(run, (raw[4 * a : 4 * b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)), strict=True))
-        rest = [w for w in new if w not in known]
-        known.update(zip(rest, (_raw(x.ids) for x in self.backend.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-        found = [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for ws in words]
-        if not verify:
-            return found, None
-        if not plain:  # the original's own normaliser can't be fed words that are normal already
-            return found, self.parity(texts, [x.tolist() for x in found])
-        # A marker before a word is what the original puts before a text; further markers stand for blanks.
-        for at in range(0, len(new), COMPARED):
-            part = new[at : at + COMPARED]
-            self._odd.update(w for w, ids in zip(part, self._original_words(part), strict=True) if _raw(ids) != known[w])
-        return found, [not self._odd or self._odd.isdisjoint(ws) for ws in words]
-
-    def _original_words(self, words: list[str]) -> list[list[int]]:
-        """The original library's ids of normal words. An empty text gets no marker, so a lone one is asked for behind a letter."""
-        found = self.original.encode([w[1:].replace(MARK, " ") for w in words], num_threads=self.threads)
-        if MARK in words:
-            found[words.index(MARK)] = self.original.encode("x ")[len(self.original.encode("x")) :]
-        return found
-
-    def encode_verified(self, texts: list[str], verify: bool = True) -> tuple[list, list[bool] | list[None]]:
-        """Ids, and for each text whether the original library gives the same (nulls unless ``verify``)."""
-        if self.by_word:
-            found, same = self._by_word(texts, verify)
+        if self.model.charsmap or self.model.squeeze or not self.model.dummy_prefix:
+            normal = pa.array([self._normalizer.normalize_str(t).replace(MARK, " ") for t in texts.to_pylist()], pa.string())
         else:
-            found = self.encode(texts)
-            same = self.parity(texts, found) if verify else None
-        return found, same if same is not None else [None] * len(texts)
+            texts = pa.compute.replace_substring(texts, MARK, " ")
+            normal = pa.compute.if_else(pa.compute.equal(texts, ""), "", pa.compute.binary_join_element_wise("", texts, " "))
+        offsets = np.frombuffer(normal.buffers()[1], np.int32)[normal.offset : normal.offset + len(normal) + 1]
+        raw = np.frombuffer(normal.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        blank = np.concatenate([[False], raw == 32])
+        starts = blank[1:] & ~blank[:-1]
+        if self._lines:
+            line = np.concatenate([[False], raw == 10])
+            starts |= line[1:] != line[:-1]
+        starts[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+        starts = np.flatnonzero(starts)
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw)).astype(np.int32)), pa.py_buffer(raw.tobytes())).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found, new = self._rows, [w for w in distinct if w not in self._rows]
+        all_ids, all_starts, all_lengths = self._ids, self._starts, self._lengths
+        if new:
+            new, lengths, ids = self._learn(new)
+            all_starts = np.concatenate([all_starts, len(all_ids) + np.cumsum(lengths) - lengths])
+            all_ids, all_lengths, n = np.concatenate([all_ids, ids]), np.concatenate([all_lengths, lengths]), len(found)
+            if n + len(new) <= CACHE:  # what comes first is common; once full, other words are encoded batch by batch
+                self._rows.update(zip(new, range(n, n + len(new)), strict=True))
+                self._ids, self._starts, self._lengths = all_ids, all_starts, all_lengths
+            else:
+                other = dict(zip(new, range(n, n + len(new)), strict=True))
+                found = {w: self._rows[w] if w in self._rows else other[w] for w in distinct}
+        rows = np.fromiter(map(found.__getitem__, distinct), np.int64)[words.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
+        lengths = all_lengths[rows]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = all_ids[np.repeat(all_starts[rows] - ends[:-1], lengths) + np.arange(ends[-1])]
+        return ids, ends[np.searchsorted(starts, offsets)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        found = [x.tolist() for x in self._by_word(texts, False)[0]] if self.by_word else [x.ids for x in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
+        return self.encode_array(pa.array(texts, pa.string())).to_pylist()
+
+    def encode_array(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of texts (none of them null) as list<int32>."""
+        if self.by_word:
+            ids, offsets = self._by_word(texts)
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+        texts = texts.to_pylist()
+        found = [x.ids for x in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
         if self.model.kind == UNIGRAM and self.model.byte_fallback:  # a unigram lattice would read a spelt-out byte piece as that byte
             for i, t in enumerate(texts):
                 if _BYTE_TEXT.search(t):
                     found[i] = self.original.encode(t)
-        return found
+        return pa.array(found, pa.list_(pa.int32()))
 
     def decode(self, ids: list) -> list[str]:
-        ids = [x.tolist() if isinstance(x, np.ndarray) else x for x in ids]
         return self.backend.decode_batch(ids, skip_special_tokens=False)
 
     def parity(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
@@ -214,10 +233,6 @@ class Codec:
         return [a == b for a, b in zip(self.original.encode(texts, num_threads=self.threads), ids, strict=True)]
 
 
-def _raw(ids: list[int]) -> bytes:
-    return np.array(ids, np.int32).tobytes()
-
-
 def default_model() -> bytes:
     import public_tokenizers
 
@@ -225,27 +240,32 @@ def default_model() -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes | None = None, threads: int = THREADS, verify: bool = True) -> DataFrame:
-    """doc_id, token_ids, n_tokens, decoded, exact, parity: one row per row of ``docs``.
+def encode(docs: DataFrame, model: bytes | None = None, threads: int = THREADS, verify: bool = True, decoded: bool = True) -> DataFrame:
+    """doc_id, token_ids, n_tokens, exact, parity, and unless told otherwise decoded: one row per row of ``docs``.
 
-    exact: whether decoding gives the text back. parity: whether the original library gives the same ids, compared
-    once for each word a worker meets (null unless ``verify``). Null text: as the empty text, no ids. Very long texts make batches of their own. The
-    model (bounded: one file) is read on the driver and broadcast.
+    exact: whether decoding gives the text back. parity: whether the original library gives the same ids for the whole
+    text (null unless ``verify``). Null text: as the empty text, no ids. Rows that repeat are encoded alike. Very long
+    texts make batches of their own. Empty table: no rows. Other columns, whatever their names, aren't read. The model
+    (bounded: one file) is read on the driver and broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model or default_model(), threads))
 
     def body(parts: Iterator) -> Iterator[dict]:
         codec = kept_by_worker(("codec", hash(shared.value)), lambda: Codec(*shared.value))
         for p in parts:
-            texts = [t or "" for t in p.column("text").to_pylist()]
-            ids, same = codec.encode_verified(texts, verify)
-            back = codec.decode(ids)
-            yield {"doc_id": p.column("doc_id"), "token_ids": ids, "decoded": back, "exact": [a == b for a, b in zip(texts, back, strict=True)], "parity": same}
-
-    schema = "doc_id long, token_ids array<int>, decoded string, exact boolean, parity boolean"
+            column = pa.compute.fill_null(p.column("text"), "")
+            ids, texts = codec.encode_array(column), column.to_numpy(zero_copy_only=False).tolist()
+            flat, ends = ids.values.to_numpy().tolist(), ids.offsets.to_pylist()
+            rows = [flat[a:b] for a, b in pairwise(ends)]
+            back = codec.decode(rows)
+            out = {"doc_id": p.column("doc_id"), "token_ids": ids, "exact": [a == b for a, b in zip(texts, back, strict=True)]}
+            yield out | {"decoded": back, "parity": codec.parity(texts, rows) if verify else [None] * len(texts)}
+
+    schema = "doc_id long, token_ids array<int>, exact boolean, parity boolean" + ", decoded string" * decoded
     out = map_texts(docs.select("doc_id", "text"), schema, body, BATCH_CHARS)
     return out.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "token_ids", "exact", "parity")
+    """Ids of every whole text of ``documents``, whether they decode to it, and whether the original library gives the same."""
+    return encode(table(spark, sf_dir, "documents"), decoded=False).select("doc_id", "n_tokens", "token_ids", "exact", "parity")
