@@ -14,6 +14,8 @@ that variant is verified on the words, and the later one goes. No pairs within a
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,24 +23,43 @@ from rtlake.llm.common import WORD, cut, let, small, table
 
 #: Words from which lines may differ by an edit: one of five keeps a similarity of 0.8.
 LEAST = 5
+#: Halves of a line that near ones may share: each column's key, in the order of their bits.
+HALVES = ("head", "tail", "less_head", "less_tail")
 
 
 def words_of(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
 
 
-def _halves(words: Column) -> Column:
-    """Keys of the halves of a line, for partners at most as long (m = n - 1) and at least as long (m = n) as it."""
+def _halves(words: Column, n: Column) -> dict[str, Column]:
+    """Keys of a line's halves, for partners at most as long (m = n - 1) and at least as long (m = n); null for short lines."""
+
+    def key(name: str, m: Column, head: bool) -> Column:
+        h = F.floor(m / 2).cast("int")
+        return F.xxhash64(F.lit(name), m, F.slice(words, F.lit(1), h) if head else F.slice(words, -h, h))
+
+    return {
+        "head": F.when(n >= LEAST, key("p", n, True)), "tail": F.when(n >= LEAST, key("s", n, False)),
+        "less_head": F.when(n > LEAST, key("p", n - 1, True)), "less_tail": F.when(n > LEAST, key("s", n - 1, False)),
+    }
+
 
-    def keys(n: Column) -> Column:
-        def pair(m: Column) -> list[Column]:
-            h = F.floor(m / 2).cast("int")
-            return [F.struct(F.xxhash64(F.lit("p"), m, F.slice(words, F.lit(1), h)).alias("key"), m.alias("m"), F.lit(True).alias("head")), F.struct(F.xxhash64(F.lit("s"), m, F.slice(words, -h, h)).alias("key"), m.alias("m"), F.lit(False).alias("head"))]
+def _keyed() -> Column:
+    """The columns of ``_halves`` as an array of key and bit."""
+    return F.filter(F.array(*[F.struct(F.col(name).alias("key"), F.lit(1 << i).alias("bit")) for i, name in enumerate(HALVES)]), lambda x: x["key"].isNotNull())
 
-        none = F.array().cast("array<struct<key: long, m: int, head: boolean>>")
-        return F.when(n > LEAST, F.array(*pair(n), *pair(n - 1))).when(n == LEAST, F.array(*pair(n))).otherwise(none)
 
-    return let(F.size(words), keys)
+def _shared(n: Column) -> Column:
+    """The halves of a line of ``n`` words whose bits are set in ``shared``: m, and whether it is the first half."""
+    every = [F.struct((n - i // 2).alias("m"), F.lit(i % 2 == 0).alias("head"), F.lit(1 << i).alias("bit")) for i in range(len(HALVES))]
+    return F.filter(F.array(*every), lambda x: F.col("shared").bitwiseAND(x["bit"]) > 0)
+
+
+def _place(doc_id: Column, line: Column, version: Column) -> Column:
+    """One number in the order of doc_id (null first) and line; among rows with one id, by a hash of the text. Flat, so that hash aggregates keep it."""
+    doc = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(Decimal(-(10**19))))
+    rest = line.cast("long") * 100_000_000 + F.pmod(version, F.lit(100_000_000))
+    return (doc * F.lit(Decimal(10**18)) + rest.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def _chained(words: Column) -> Column:
@@ -80,32 +101,34 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """doc_id, version, kept (array of line numbers): of documents in which a line with words stays."""
-    worded = _lines(docs).select("doc_id", "version", "line", words_of(F.col("raw")).alias("words")).filter(F.size("words") > 0)
+    worded = _lines(docs).filter(F.col("raw").rlike(WORD)).select("doc_id", "version", "line", words_of(F.col("raw")).alias("words"))
+    n = F.size("words")
     hashed = worded.select(
-        "doc_id", "version", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("2"), "words").alias("h2"), _halves(F.col("words")).alias("halves")
-    )
-    place = F.struct("doc_id", "line", "version")
-    distinct = cut(hashed.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("place"), "halves")).alias("x")).select("h1", "h2", "x.place.*", "x.halves"))
-    keys = distinct.select(F.explode("halves").alias("half")).select("half.key").groupBy("key").count().filter(F.col("count") > 1).select("key")
-    near = distinct.select("doc_id", "version", "line", F.explode("halves").alias("half")).select("doc_id", "version", "line", "half.*")
-    near = cut(near.join(small(keys), "key").groupBy("doc_id", "version", "line").agg(F.collect_set(F.struct("m", "head")).alias("shared")))
+        "doc_id", "version", _place(F.col("doc_id"), F.col("line"), F.col("version")).alias("place"),
+        F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("2"), "words").alias("h2"), *[c.alias(name) for name, c in _halves(F.col("words"), n).items()],
+    )
+    same = [F.first(c).alias(c) for c in HALVES]  # functions of the words
+    distinct = hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min_by("doc_id", "place").alias("doc_id"), F.min_by("version", "place").alias("version"), *same).drop("h1", "h2")
+    distinct = cut(distinct)
+    halved = distinct.select("place", "doc_id", "version", F.explode(_keyed()).alias("half")).select("place", "doc_id", "version", "half.*")
+    keys = halved.groupBy("key").count().filter("count > 1").select("key")
+    near = cut(halved.join(small(keys), "key").groupBy("place", "doc_id", "version").agg(F.bit_or("bit").alias("shared")))
     # Their words: only documents that hold such lines are split again.
     holders = small(near.select(F.col("doc_id").alias("holder"), F.col("version").alias("its")).distinct())
     held = docs.join(holders, docs["doc_id"].eqNullSafe(F.col("holder")) & (F.xxhash64(docs["text"]) == F.col("its")), "left_semi")
-    every, chosen = _lines(held), small(near)
-    at = every["doc_id"].eqNullSafe(chosen["doc_id"]) & (every["version"] == chosen["version"]) & (every["line"] == chosen["line"])
-    near = every.join(chosen, at, "inner").select(every["*"], chosen["shared"]).dropDuplicates(["doc_id", "version", "line"])
-    near = cut(near.withColumn("words", words_of(F.col("raw"))).drop("raw"))
-    emitted = near.select(F.struct("doc_id", "line", "version").alias("place"), _variants(F.col("words"), F.col("shared")).alias("keys"))
-    emitted = emitted.select("place", F.explode("keys").alias("key"))
-    first = cut(emitted.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key", "first"))
+    every = _lines(held).select(_place(F.col("doc_id"), F.col("line"), F.col("version")).alias("place"), "version", "raw")
+    near = every.join(small(near).select("place", "version", "shared"), ["place", "version"]).dropDuplicates(["place", "version"])
+    near = cut(near.select("place", words_of(F.col("raw")).alias("words"), "shared"))
+    emitted = near.select("place", F.explode(_variants(F.col("words"), _shared(F.size("words")))).alias("key"))
+    first = emitted.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
     pairs = emitted.join(small(first), "key").filter(F.col("first") < F.col("place")).select("place", "first").distinct()
-    own = near.select(F.struct("doc_id", "line", "version").alias("p"), "words")
-    pairs = pairs.join(own.withColumnRenamed("words", "a"), F.col("place").eqNullSafe(F.col("p"))).drop("p")
-    pairs = pairs.join(own.withColumnRenamed("words", "b"), F.col("first").eqNullSafe(F.col("p"))).drop("p")
+    own = near.select(F.col("place").alias("p"), "words")
+    pairs = pairs.join(own.withColumnRenamed("words", "a"), F.col("place") == F.col("p")).drop("p")
+    pairs = pairs.join(own.withColumnRenamed("words", "b"), F.col("first") == F.col("p")).drop("p")
     gone = pairs.filter(_one_edit(F.col("a"), F.col("b"))).select(F.col("place").alias("gone")).distinct()
-    stay = distinct.select(F.struct("doc_id", "line", "version").alias("place")).join(gone, F.col("place").eqNullSafe(F.col("gone")), "left_anti")
-    return stay.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.version").alias("version")).agg(F.sort_array(F.collect_list("place.line")).alias("kept"))
+    stay = distinct.select("place", "doc_id", "version").join(gone, F.col("place") == F.col("gone"), "left_anti")
+    line = F.expr("CAST(CAST(pmod(place, 1000000000000000000BD) AS BIGINT) DIV 100000000 AS INT)")
+    return stay.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(line)).alias("kept"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -122,12 +145,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     blank = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD), -1).otherwise(i)), lambda i: i >= 0)
     stay = lambda lines: F.sort_array(F.concat(F.coalesce(F.col("__kept"), F.array().cast("array<int>")), blank(lines)))
     built = let(F.split("text", "\n"), lambda lines: let(stay(lines), lambda s: F.struct(F.array_join(F.transform(s, lambda i: F.get(lines, i)), "\n").alias("text"), F.size(lines).alias("n"), F.size(s).alias("k"))))
-    out = rows.withColumn("__built", F.when(F.col("text").isNotNull(), built))
+    whole = F.when(F.size("__kept") == F.size(F.split("text", "\n")), F.struct(F.col("text"), F.size("__kept").alias("n"), F.size("__kept").alias("k"))).otherwise(built)
+    out = rows.withColumn("__built", F.when(F.col("text").isNotNull(), whole))
     new = {"text": F.col("__built.text"), "n_lines": F.col("__built.n").cast("long"), "n_kept": F.col("__built.k").cast("long")}
     return out.withColumns(new).drop("__own", "__key", "__kept", "__built")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` without lines that repeat an earlier one or are one word's edit from it.
+
+    Edits are of words: a character edit in one word of a line is caught, in two words it isn't; lines under five words
+    go only if they are repeated exactly.
+    """
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
