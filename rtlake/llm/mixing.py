@@ -11,8 +11,6 @@ floor(target / size) times and the rest by threshold.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,20 +59,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Documents -> doc_id, source, size, source_size, target, copies (long), taken (long): one row per row of ``docs``.
+def _key(source: Column) -> Column:
+    """A source as a key that isn't null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
 
-    Null text: size 0. Null source: a source of its own, last in order. Null id: hashed as the empty text.
-    Rows with one id share a hash and so a decision. Empty table: no rows. Other columns are not read.
+
+def thresholds(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """(source, size, hash) of documents -> key, source_size, target, whole, threshold, stored: one row per source.
+
+    A source's documents are taken ``whole`` times, and once more if the hash's first bits are at most ``threshold``.
     """
     at = [sum(LEVELS[: i + 1]) for i in range(len(LEVELS))]
-    base = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("hash")))
     plan = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.least(F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)), F.lit(most)).cast("long")
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, whole).otherwise(0).cast("long"))
-    plan = cut(plan.withColumns({"key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")), "left": F.col("target") - F.col("whole") * F.col("source_size"), "prefix": F.lit(0).cast("long")}))
-    base = base.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    edge = plan.select("key", "left", "prefix")  # the cell in which the budget ends, and what of it is left there
+    plan = cut(plan.withColumns({"key": _key(F.col("source")), "left": F.col("target") - F.col("whole") * F.col("source_size"), "prefix": F.lit(0).cast("long")}))
+    base = base.withColumn("key", _key(F.col("source")))
+    edge = cut(plan.select("key", "left", "prefix"))  # the cell in which the budget ends, and what of it is left there
     for level, bits in enumerate(at):
         above = bits - LEVELS[level]
         cells = (
@@ -87,23 +88,46 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
         first = cells.filter(F.col("upto") > F.col("left")).groupBy("key").agg(F.min(F.struct("cell", "cell_size", "upto", "left")).alias("f"))
         edge = cut(first.select("key", (F.col("f.left") - F.col("f.upto") + F.col("f.cell_size")).alias("left"), F.col("f.cell").alias("prefix"), F.col("f.cell_size").alias("cell_size")))
     below = edge.select("key", F.when(2 * F.col("left") >= F.col("cell_size"), F.col("prefix")).otherwise(F.col("prefix") - 1).alias("threshold"))
-    plan = plan.select("key", "source_size", "target", "whole").join(below, "key", "left")
-    taken = F.col("whole") + F.coalesce((F.shiftright("hash", BITS - at[-1]) <= F.col("threshold")).cast("long"), F.lit(0))
-    return base.join(small(plan), "key").select("doc_id", "source", "size", "source_size", "target", taken.alias("copies"), (F.col("size") * taken).alias("taken"))
+    return cut(plan.select("key", "source_size", "target", "whole").join(below, "key", "left"))
+
+
+def _copies(doc_hash: Column, most: int) -> Column:
+    """How often a document is taken, from the columns of ``thresholds``; rows without words in a source at its cap are held to ``most`` too."""
+    once = (F.shiftright(doc_hash, BITS - sum(LEVELS)) <= F.col("threshold")).cast("long")
+    return F.least(F.col("whole") + F.coalesce(once, F.lit(0)), F.lit(most).cast("long"))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", words(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("hash"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """Documents -> doc_id, source, size, source_size, target, copies (long, at most ``most``), taken (long): one row per row of ``docs``.
+
+    Null text: size 0. Null source: a source of its own, last in order. Null id: hashed as the empty text.
+    Rows with one id share a hash and so a decision. Empty table: no rows. Other columns are not read.
+    """
+    base = cut(_sized(docs))
+    both = base.withColumn("key", _key(F.col("source"))).join(small(thresholds(base, weights, most)), "key")
+    both = both.withColumn("copies", _copies(F.col("hash"), most))
+    return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: rows of ``docs`` with all their columns, each as often as ``mix`` takes it.
 
-    The decision is joined by the id's hash class, so rows that share an id are decided alike and stay as many as they were.
+    The decision follows from a row's source and id alone, so texts stay where they are: only thresholds are sent.
     """
-    copies = mix(docs, weights, most).groupBy("doc_id", "source").agg(F.max("copies").alias("mix_copies"))
-    key = [docs["doc_id"].eqNullSafe(copies["doc_id"]), docs["source"].eqNullSafe(copies["source"])]
-    both = docs.join(copies.filter(F.col("mix_copies") > 0), reduce(lambda a, b: a & b, key))
-    return both.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies")).alias("mix_nth")).drop("mix_nth")
+    plan = thresholds(cut(_sized(docs)), weights, most)
+    plan = small(cut(plan.select(*[F.col(c).alias(f"__mix_{c}") for c in plan.columns])))
+    once = F.coalesce((F.shiftright(hash60(docs["doc_id"]), BITS - sum(LEVELS)) <= F.col("__mix_threshold")).cast("long"), F.lit(0))
+    copies = F.least(F.col("__mix_whole") + once, F.lit(most).cast("long"))
+    both = docs.join(plan, _key(docs["source"]) == F.col("__mix_key")).withColumn("__mix_copies", copies).filter(F.col("__mix_copies") > 0)
+    return both.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "__mix_copies")).alias("__mix_nth")).drop("__mix_nth")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all ``documents``: how many words of each are taken."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
