@@ -30,7 +30,7 @@ BLOCK, QUERY_BLOCK = 4_096, 1_024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part.
+    """(row, vec_id, v array<double>) of the vectors that take part, stored; ``row`` tells rows that repeat an id apart.
 
     Left out: null ids and vectors, vectors with null or non-finite components, zero vectors, and vectors of another
     length than most have (of equally common lengths the larger counts).
@@ -39,7 +39,7 @@ def usable(vectors: DataFrame) -> DataFrame:
         F.col("vec_id").isNotNull() & F.forall("v", lambda x: F.coalesce((x == x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("v", lambda x: x != 0)
     )
     length = whole.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return whole.filter(F.size("v") == (length["n"] if length else 0))
+    return cut(whole.filter(F.size("v") == (length["n"] if length else 0)).withColumn("row", F.monotonically_increasing_id()))
 
 
 def graph(x: np.ndarray, degree: int) -> np.ndarray:
@@ -137,8 +137,8 @@ def fit(vectors: DataFrame, rows: int, part_rows: int = PART_ROWS, sample: int =
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, part_rows: int = PART_ROWS, sample: int = SAMPLE, mass: float = MASS) -> DataFrame:
     """The ``k`` nearest found of each query: query_id, rank, vec_id, score.
 
-    ``vectors`` and ``queries``: (vec_id long, v array<double>) as ``usable`` gives them. A query's own row is no
-    candidate. Ties go to the smaller id. Every part is searched where there are hardly more candidates than asked for.
+    ``vectors`` and ``queries``: rows as ``usable`` gives them. A query's own row is no candidate; other rows with its
+    id are, and each row is a query of its own, with ranks of its own. Ties go to the smaller id. Every part is searched where there are hardly more candidates than asked for.
     """
     spark, rows = vectors.sparkSession, vectors.count()
     parts, network = fit(vectors, rows, part_rows, sample)
@@ -151,9 +151,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, part_rows: int =
         for b in batches:
             x = matrix(b.column("v"))
             own = probabilities(shared.value, x).argmax(1) if shared.value is not None else np.zeros(len(x))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(own, pa.int32())], names=["vec_id", "v", "part"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), b.column("v"), pa.array(own, pa.int32())], names=["row", "vec_id", "v", "part"])
 
-    index = cut(vectors.select("vec_id", "v").mapInArrow(place, "vec_id long, v array<double>, part int"))
+    index = cut(vectors.select("row", "vec_id", "v").mapInArrow(place, "row long, vec_id long, v array<double>, part int"))
     held = np.zeros(parts, np.int64)
     for r in index.groupBy("part").count().collect():
         held[r["part"]] = r["count"]
@@ -170,9 +170,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, part_rows: int =
                 sums, counts = np.cumsum(np.take_along_axis(p, order, 1), 1), np.cumsum(held[order], 1)
                 need = np.maximum((sums < mass).sum(1), (counts < 4 * k + 1).sum(1)) + 1
                 to = [o[: min(parts, max(LEAST_PROBES, n))].tolist() for o, n in zip(order, need.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(to, pa.list_(pa.int32()))], names=["query_id", "v", "parts"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), b.column("v"), pa.array(to, pa.list_(pa.int32()))], names=["query", "query_id", "v", "parts"])
 
-    routed = cut(queries.select("vec_id", "v").mapInArrow(route, "query_id long, v array<double>, parts array<int>").withColumn("part", F.explode("parts")).drop("parts"))
+    routed = cut(queries.select("row", "vec_id", "v").mapInArrow(route, "query long, query_id long, v array<double>, parts array<int>").withColumn("part", F.explode("parts")).drop("parts"))
     asked = np.zeros(parts, np.int64)
     for r in routed.groupBy("part").count().collect():
         asked[r["part"]] = r["count"]
@@ -180,34 +180,37 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, part_rows: int =
     of = lambda sizes: F.element_at(F.array(*[F.lit(int(n)) for n in sizes]), F.col("part") + 1)
     spread = lambda key, sizes: F.pmod(F.xxhash64(key), of(sizes)).cast("int")
     every = lambda sizes: F.explode(F.sequence(F.lit(0), of(sizes) - 1))
-    left = routed.withColumn("turn", spread("query_id", turns)).withColumn("block", every(blocks))
-    right = index.withColumn("block", spread("vec_id", blocks)).withColumn("turn", every(turns))
+    left = routed.withColumn("turn", spread("query", turns)).withColumn("block", every(blocks))
+    right = index.withColumn("block", spread("row", blocks)).withColumn("turn", every(turns))
 
     def rank(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query": [], "query_id": [], "vec_id": [], "score": []}
         if len(q) and len(c):
             x, ids = np.stack(c["v"].to_numpy()), c["vec_id"].to_numpy()
+            rows = c["row"].to_numpy()
             for a in range(0, len(q), 256):
-                y, own = np.stack(q["v"].to_numpy()[a : a + 256]), q["query_id"].to_numpy()[a : a + 256]
+                y, own, named = np.stack(q["v"].to_numpy()[a : a + 256]), q["query"].to_numpy()[a : a + 256], q["query_id"].to_numpy()[a : a + 256]
                 s = y @ x.T
-                s[own[:, None] == ids[None, :]] = -np.inf
+                s[own[:, None] == rows[None, :]] = -np.inf
                 edge = np.partition(s, -k, axis=1)[:, -k] if len(x) > k else np.full(len(y), -np.inf)
                 for i in range(len(y)):
                     # The product's rounding may depend on a row's place: what is near the edge is summed again in one fixed order.
                     near = np.flatnonzero((s[i] >= edge[i] - 1e-9 * max(1.0, abs(edge[i]) if np.isfinite(edge[i]) else 1.0)) & (s[i] > -np.inf))
                     exact = (x[near] * y[i]).sum(1)
                     top = np.lexsort((ids[near], -exact))[:k]
-                    out["query_id"].append(np.full(len(top), own[i]))
+                    out["query"].append(np.full(len(top), own[i]))
+                    out["query_id"].append(np.full(len(top), named[i]))
                     out["vec_id"].append(ids[near][top])
                     out["score"].append(exact[top])
         return pd.DataFrame({n: np.concatenate(v) if v else np.zeros(0, np.int64 if n != "score" else np.float64) for n, v in out.items()})
 
     keys = ("part", "block", "turn")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rank, "query long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of each row of ``embeddings`` whose id is divisible by 20."""
     vectors = usable(table(spark, sf_dir, "embeddings"))
     return search(vectors, vectors.filter(F.col("vec_id") % QUERY_EVERY == 0))
