@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from rtlake.llm.common import WORD, let, table
 
-SHINGLE, FLOOR = 5, 128
+SHINGLE, FLOOR = 5, 64
 #: One in so many hashes is kept.
-SCALE = 16
+SCALE = 2
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 LIMIT = _LOW + (1 << 64) // SCALE
 
@@ -119,4 +119,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all ``documents`` and of their edited texts, and how alike they are."""
     return fingerprints(table(spark, sf_dir, "documents"))
