@@ -1,7 +1,7 @@
 """Toxicity: a character n-gram linear classifier whose features are scaled by naive Bayes log-count ratios.
 
-A text is lower-cased, all but letters and digits become blanks, and its UTF-8 bytes give hashed n-grams of
-``ORDERS``; each counts once. Feature j is worth r_j, its log-count ratio between the labels in the training
+A text is lower-cased, all but letters and digits become blanks, and its characters (code points) give hashed n-grams
+of ``ORDERS``; each counts once. Feature j is worth r_j, its log-count ratio between the labels in the training
 sample, and a logistic regression with an L2 penalty is fitted on the scaled features. A score is one look-up
 table added up over the distinct n-grams of the whole text.
 
@@ -27,18 +27,38 @@ SAMPLE, LEAST, SURE, PENALTY, ROUNDS = 4_000, 3, 2.5, 1.0, 120
 _BLANK = re.compile(r"[\W_]+")
 
 
-def codes(text: str | None) -> np.ndarray:
-    """Distinct hashed n-grams (int32, any order) of a whole text; each order has ``2**BITS`` codes of its own."""
-    raw = np.frombuffer(f" {_BLANK.sub(' ', (text or '').lower())} ".encode(), np.uint8).astype(np.uint64)
-    found = []
+def _points(text: str | None) -> np.ndarray:
+    """Code points of a text, lower-cased, with one blank for all else than letters and digits, and one at each end."""
+    return np.frombuffer(f" {_BLANK.sub(' ', (text or '').lower())} ".encode("utf-32-le", "replace"), np.uint32)
+
+
+def _hashes(points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each order, its length and the hashed n-grams from each place of ``points``; each order has ``2**BITS`` codes of its own."""
+    raw = points.astype(np.uint64) + np.uint64(1)
     for k, n in enumerate(ORDERS):
-        if len(raw) >= n:
-            h = np.zeros(len(raw) - n + 1, np.uint64)
-            for i in range(n):
-                h = h * np.uint64(257) + raw[i : len(raw) - n + 1 + i]
-            h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
-            found.append(np.unique(h.astype(np.int32)) + (k << BITS))
-    return np.concatenate(found) if found else np.zeros(0, np.int32)
+        h = np.zeros(max(0, len(raw) - n + 1), np.uint64)
+        for i in range(n if len(h) else 0):
+            h = h * np.uint64(0x100000001B3) + raw[i : len(raw) - n + 1 + i]
+        yield n, ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32) + (k << BITS)
+
+
+def codes(text: str | None) -> np.ndarray:
+    """Distinct hashed n-grams (int32, any order) of a whole text."""
+    return np.unique(np.concatenate([h for _, h in _hashes(_points(text))]))
+
+
+def margins(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
+    """For each text, the weights of its distinct n-grams added up. Only n-grams that weigh anything are told apart."""
+    points = [_points(t) for t in texts]
+    ends = np.cumsum([len(p) for p in points])
+    found, some = [], weights != 0
+    for n, h in _hashes(np.concatenate(points) if points else np.zeros(0, np.uint32)):
+        at = np.flatnonzero(some[h])
+        text = np.searchsorted(ends, at, "right")
+        inside = at + n <= ends[text]  # not across two texts
+        found.append(text[inside].astype(np.int64) << 32 | h[at[inside]])
+    each = np.unique(np.concatenate(found))
+    return np.bincount(each >> 32, weights[each & 0xFFFFFFFF].astype(np.float64), len(texts))
 
 
 def fit(rows: list[tuple[int, np.ndarray]]) -> tuple[float, np.ndarray]:
@@ -64,7 +84,7 @@ def fit(rows: list[tuple[int, np.ndarray]]) -> tuple[float, np.ndarray]:
     starts = np.concatenate([[0], ends[:-1]])
     some = ends > starts
 
-    def margins(w: np.ndarray, b: float) -> np.ndarray:
+    def added(w: np.ndarray, b: float) -> np.ndarray:
         out = np.full(len(y), b)
         if some.any():
             out[some] += np.add.reduceat((w * r)[flat].astype(np.float32), starts[some], dtype=np.float64)
@@ -74,7 +94,7 @@ def fit(rows: list[tuple[int, np.ndarray]]) -> tuple[float, np.ndarray]:
     lengths = ends - starts
     w, b, mw, mb, vw, vb = np.zeros(len(kept)), prior, np.zeros(len(kept)), 0.0, np.zeros(len(kept)), 0.0
     for t in range(1, ROUNDS + 1):
-        g = 1 / (1 + np.exp(-np.clip(margins(w, b), -30, 30))) - y
+        g = 1 / (1 + np.exp(-np.clip(added(w, b), -30, 30))) - y
         gw = np.bincount(flat, np.repeat(g.astype(np.float32), lengths), len(kept)) * r / len(y) + PENALTY * w / len(y)
         gb = g.mean()
         mw, vw = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw**2
@@ -110,7 +130,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray], threshold: float = 0
     def body(parts: Iterator) -> Iterator[dict]:
         bias, weights = shared.value
         for p in parts:
-            z = np.array([bias + weights[codes(t)].sum(dtype=np.float64) for t in p.column("text").to_pylist()])
+            z = bias + margins(p.column("text").to_pylist(), weights)
             yield {"doc_id": p.column("doc_id"), "score": 1 / (1 + np.exp(-np.clip(z, -500, 500)))}
 
     scored = map_texts(docs.select("doc_id", "text"), "doc_id long, score double", body)
@@ -118,5 +138,6 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray], threshold: float = 0
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of ``documents``."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
