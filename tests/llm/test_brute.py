@@ -51,11 +51,20 @@ def test_unigram_model_is_rebuilt():
 
 
 def test_pieces_blanks_at_the_end(codec):
-    """A lone marker is a word, which must not run into the next new one."""
-    texts = ["new words here ", " ", "zyx ", " wvu  tsr", "zqx\n ", "  "]
+    """A lone marker is a word, which must not run into the next new one; lines are apart; blanks and markers are one."""
+    texts = ["new words here ", " ", "zyx ", " wvu  tsr", "zqx\n ", "  ", "", "\n\nqpo\n", "x▁y \n▁z", "\n"]
     fresh = pieces.Codec(pieces.default_model())
-    ids, same = fresh.encode_verified(texts)
-    assert all(same) and all(codec.parity(texts, [x.tolist() for x in ids]))
+    ids = fresh.encode(texts)
+    assert all(codec.parity(texts, ids)) and fresh.encode(texts) == ids and fresh.encode([]) == []
+
+
+def test_pieces_beyond_the_cache(codec, monkeypatch):
+    """Words that are no longer remembered are encoded batch by batch."""
+    monkeypatch.setattr(pieces, "CACHE", 4)
+    fresh = pieces.Codec(pieces.default_model())
+    for texts in (["a bc", "de"], ["fg hi jk a", "bc lm fg"], ["a no", "pq fg"]):
+        assert all(codec.parity(texts, fresh.encode(texts)))
+    assert len(fresh._rows) <= 4
 
 
 def test_pieces_on_documents(spark):
@@ -93,6 +102,67 @@ def test_fingerprints_estimate_containment(spark):
     assert np.mean(errors) < 0.03
 
 
+def test_fingerprints_row_by_row(spark):
+    """Every column against a plain loop: hashes, edited texts, likeness."""
+    xxhash = pytest.importorskip("xxhash")
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(n)) for _ in range(n))) for i, n in enumerate((1, 3, 40, 200, 700))] + [(9, ""), (12, "é漢 X")]
+
+    def words_hash(words):
+        h = 42
+        for w in words:
+            h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+        return h - (1 << 64) if h >> 63 else h
+
+    def sketch(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+        every = sorted({words_hash(words[i : i + 5]) for i in range(max(1, len(words) - 4))}) if words else []
+        low = [h for h in every if h <= fingerprints.LIMIT]
+        if len(low) >= fingerprints.FLOOR:
+            return fingerprints.LIMIT, low
+        return ((1 << 63) - 1, every) if len(every) <= fingerprints.FLOOR else (max(fingerprints.LIMIT, every[fingerprints.FLOOR - 1]), every[: fingerprints.FLOOR])
+
+    def like(a, b):
+        if a[1] == b[1]:
+            return 1.0
+        x, y = ({h for h in s[1] if h <= min(a[0], b[0])} for s in (a, b))
+        return len(x & y) / min(len(x), len(y)) if x and y else 0.0
+
+    order = sorted(docs, reverse=True)
+    following = {order[i][0]: order[(i + 1) % len(order)][1] for i in range(len(order))}
+    import hashlib
+
+    for r in fingerprints.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        text, after = dict(docs)[r["doc_id"]], following[r["doc_id"]]
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["near_edited"], r["near_next"]) == pytest.approx((like(sketch(text), sketch(edited)), like(sketch(text), sketch(after))))
+
+
+def test_toxicity_row_by_row():
+    """Scores of whole texts in one batch against one text after the other, n-gram by n-gram."""
+    rng = np.random.default_rng(5)
+    weights = np.where(rng.random(2 << toxicity.BITS) < 0.3, rng.normal(size=2 << toxicity.BITS), 0).astype(np.float32)
+    texts = ["", None, "a", "You ARE  a très_bad — дурак дурак дурак", "漢字漢字漢字漢字漢字", "x" * 500, "abc def " * 90]
+
+    def plain(text):
+        points, total = [ord(c) + 1 for c in " " + re.sub(r"[\W_]+", " ", (text or "").lower()) + " "], 0.0
+        for k, n in enumerate(toxicity.ORDERS):
+            grams = {tuple(points[i : i + n]) for i in range(len(points) - n + 1)}
+            seen = set()
+            for g in grams:
+                h = 0
+                for p in g:
+                    h = (h * 0x100000001B3 + p) % (1 << 64)
+                seen.add((h * 0x9E3779B97F4A7C15 % (1 << 64) >> (64 - toxicity.BITS)) + (k << toxicity.BITS))
+            total += sum(float(weights[c]) for c in seen)
+        return total
+
+    assert toxicity.margins(texts, weights).tolist() == pytest.approx([plain(t) for t in texts])
+    assert all(sorted(toxicity.codes(t).tolist()) == sorted(set(toxicity.codes(t).tolist())) for t in texts)
+
+
 def test_sketches_merge(spark):
     rng = random.Random(3)
     long = " ".join(f"w{rng.random()}" for _ in range(9000))
@@ -242,9 +312,8 @@ def test_sql(spark, name):
 
 
 def test_near_lists_across_components(spark, monkeypatch):
-    """Lists that hubs don't settle: families just below the threshold share rare shingles; pairs come from places after."""
+    """Lists that hubs don't settle: families just below the threshold share rare shingles."""
     monkeypatch.setattr(near, "HUB_ROUNDS", 1)
-    monkeypatch.setattr(near, "PLACES", 2)
     base = [f"w{i}" for i in range(120)]
     rows = []
     for family in range(9):

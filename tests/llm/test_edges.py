@@ -51,6 +51,17 @@ def test_mixing(docs, empty):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_mixing_takes_three_copies_at_most(spark):
+    """A source at its cap has its rows without words three times as well."""
+    rows = [(i, "w " * 400, "a") for i in range(8)] + [(100, "w", "b"), (101, None, "b"), (102, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = (1, 1000)
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, weights).collect()}
+    assert copies[100] == 3 and copies[101] <= 3 and copies[102] <= 3
+    counts_ = {r["doc_id"]: r["count"] for r in mixing.mixed(docs, weights).groupBy("doc_id").count().collect()}
+    assert counts_ == {i: n for i, n in copies.items() if n}
+
+
 def test_fingerprints(docs, empty):
     rows = fingerprints.fingerprints(docs).collect()
     assert len(rows) == len(ROWS)
@@ -132,10 +143,33 @@ def test_neighbours(spark):
     assert top == [(1, 29), (2, 40), (3, 28), (4, 27), (5, 26)]  # equal vectors: the smaller id first
     none = neighbours.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert neighbours.search(none, none).collect() == []
+    twice = neighbours.usable(spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 1.0]), (2, [2.0, 1.0]), (2, [2.0, 1.0])], "vec_id long, embedding array<float>"))
+    found = neighbours.search(twice, twice.filter("vec_id = 20")).collect()  # each row is a query and a candidate of its own
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found) == [(1, 2, 2.0), (1, 2, 3.0), (2, 2, 2.0), (2, 2, 3.0), (3, 20, 1.0), (3, 20, 1.0)]
     few = vectors.filter("vec_id < 4")
     assert neighbours.search(few, few.filter("vec_id = 0")).count() == 3
 
 
+def test_pipeline_run(spark):
+    """All stages over a whole table: what stays is there, no two rows with one text but those the mix repeats, and only the last folder is left."""
+    import os
+
+    import corpus_pipeline
+    from rtlake.llm.common import checkpoint_folder
+
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    had = set(os.listdir(folder))
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    (made,) = [x for x in set(os.listdir(folder)) - had if x.startswith("pipeline-")]
+    assert os.listdir(f"{folder}/{made}") == [str(len(corpus_pipeline.STAGES) - 1)]
+    ids = {r["doc_id"] for r in rows}
+    assert 20 < len(ids) <= 200 and all(r["exact"] and r["parity"] for r in rows)
+    tokens = {}
+    for r in rows:
+        tokens.setdefault(tuple(r["token_ids"]), set()).add(r["doc_id"])
+    assert all(len(x) == 1 for t, x in tokens.items() if len(t) > 40)
+
+
 def test_stages(docs, empty, spark):
     import corpus_pipeline
 
