@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rtlake.llm import language, lines, mixing, near, pieces
-from rtlake.llm.common import checkpoint_folder, small
+from rtlake.llm.common import checkpoint_folder, remove, small
 
 #: Near duplicates: words of a shingle, least similarity in per cent.
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
@@ -44,13 +44,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix does."""
+    """Takes each document as often as the mix does: three times at most, and not at all beyond its source's target.
+
+    Null texts and texts without words count no words and go with their id's hash; null sources are one source; rows
+    that repeat an id are decided alike.
+    """
     return mixing.mixed(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, token_ids, exact, parity of every row."""
-    return pieces.encode(docs).select("doc_id", "n_tokens", "token_ids", "exact", "parity")
+    """doc_id, n_tokens, token_ids, exact, parity of every row. Null and empty texts have no ids."""
+    return pieces.encode(docs, decoded=False).select("doc_id", "n_tokens", "token_ids", "exact", "parity")
 
 
 STAGES = [
@@ -65,9 +69,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written as Parquet in the shared folder and read again."""
+    """All stages over ``documents``; what each returns is written as Parquet in the shared folder and read again.
+
+    A stage's folder goes once the next one's is written; the last stays, as the result is read from it.
+    """
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
