@@ -30,7 +30,7 @@ UNIGRAM, BPE = 1, 2
 #: Threads of a batch, and characters of a batch.
 THREADS, BATCH_CHARS = 2, 400_000
 #: Words whose ids are remembered; words encoded in one run.
-CACHE, RUN = 100_000, 500
+CACHE, RUN = 250_000, 500
 _BYTE_TEXT = re.compile(r"<0x[0-9A-F]{2}>")
 
 
