@@ -20,6 +20,7 @@ ERROR = "line int, col int, message string, file string"
 _TOKEN = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*"|`?[A-Za-z_][\w$]*|\$[A-Za-z_][\w$]*|\\\S+|[0-9][\w.\']*|\'[bodhBODH][\w]*|::|\(\*|\*\)|[^\w\s]', re.S)
 UNITS = {"module": ("Module", "endmodule"), "macromodule": ("Module", "endmodule"), "interface": ("Interface", "endinterface"), "program": ("Program", "endprogram"), "package": ("Package", "endpackage"), "checker": ("Checker", "endchecker")}
 BLOCKS = {"covergroup": ("Covergroup", "endgroup"), "property": ("Property", "endproperty"), "sequence": ("Sequence", "endsequence"), "clocking": ("Clocking", "endclocking")}
+DIRECTIONS = ("input", "output", "inout", "ref")
 QUALIFIERS = {"static", "automatic", "virtual", "local", "protected", "pure", "extern", "const", "rand", "randc", "var", "default", "global", "ref", "input", "output", "inout", "forkjoin", "context"}
 NETS = {"wire", "tri", "tri0", "tri1", "wand", "wor", "triand", "trior", "trireg", "supply0", "supply1", "uwire"}
 BASIC = {"logic", "bit", "reg", "byte", "shortint", "int", "longint", "integer", "time", "real", "realtime", "shortreal", "string", "event", "chandle", "void", "genvar", "signed", "unsigned"}
@@ -59,7 +60,7 @@ class Parser:
                     self.comments[line + k] = (line, m[0])
             elif m[0] not in ("(*", "*)"):
                 self.tokens.append(t)
-        self.at, self.conditional = 0, 0
+        self.at, self.conditional, self.direction, self.directions = 0, 0, "", {}
 
     @property
     def here(self) -> Token:
@@ -174,6 +175,7 @@ class Parser:
             if words[-1] in ("import", "export"):
                 break
         t, access = self.here.text, next((w for w in words if w in ("local", "protected")), "")
+        self.direction = next((w for w in words if w in DIRECTIONS), "")
         if t == "interface" and self.peek() == "class":
             self.next()
             t = "class"
@@ -227,8 +229,19 @@ class Parser:
         self.next()
         if not prototype:
             self.items(inner, (end,), kind)
+            self._join_ports(inner)
             self.close(row, end)
 
+    def _join_ports(self, scope: str) -> None:
+        """Ports that a header only names are declared in the body: one row a port, at the header's place, with what the body says."""
+        bare = {r["name"]: r for r in self.out.rows if r["scope"] == scope and r["kind"] == "Port" and not r["detail"]}
+        for r in [r for r in self.out.rows if r["scope"] == scope and r["kind"] in ("Variable", "Net") and r["name"] in bare]:
+            port = bare[r["name"]]
+            said = self.directions.get((r["line"], r["col"]), "")
+            port["detail"] = " ".join(x for x in (port["detail"] or said, r["detail"]) if x)
+            port["doc"] = port["doc"] or r["doc"]
+            self.out.rows.remove(r)
+
     def klass(self, scope: str) -> None:
         self.next()
         while self.here.text in ("static", "automatic"):
@@ -240,7 +253,8 @@ class Parser:
             self.parameters(inner, self.skip("("))
         if self.here.text == "extends":
             self.next()
-            row["detail"] = self.type_text(self.until(";", "implements"), scope)
+            parents = _split(self.until(";", "implements"))  # an interface class may have several; the first is kept
+            row["detail"] = self.type_text(parents[0], scope) if parents else ""
         self.until(";")
         self.next()
         self.items(inner, ("endclass",), "Class")
@@ -402,10 +416,13 @@ class Parser:
         name = _declarator(left)
         if name is None:
             return
+        direction, self.direction = self.direction, ""
         before = left[: left.index(name)]
         shown = self.type_text(before, scope)
         for part in [left[left.index(name) :], *parts[1:]]:
             if part and re.match(r"[A-Za-z_\\]", part[0].text):
+                if direction:
+                    self.directions[part[0].line, part[0].col] = direction
                 self.row(kind, part[0], scope, _containers(_halves(part, "=")[0][1:]) + shown, access)
         self.members(scope, [t for t in before if t.text not in QUALIFIERS], name.text)
 
@@ -435,7 +452,7 @@ class Parser:
         while self.here.text == "[":
             self.skip("[")
         if not self.name_here():
-            if self.here.text == ";" and len(path) > 1:
+            if self.here.text == ";":  # a statement that calls without parentheses
                 self.call(path, [])
             if self.here.text in ("=", "<", "+", "-", "*", "/", "|", "&", "^"):
                 self.scan(self.until(";", "end"))

@@ -69,6 +69,11 @@ def substituted(body: str, values: dict[str, str]) -> str:
     return "".join(out)
 
 
+def _without_comments(text: str) -> str:
+    """Without line comments; what looks like one within a string is text."""
+    return re.sub(r'("(?:[^"\\\n]|\\.)*")|//[^\n]*', lambda m: m[1] or "", text)
+
+
 @dataclass
 class Preprocessor:
     """Runs over one unit. ``files``: texts by path; nothing is read from disk."""
@@ -175,7 +180,7 @@ class Preprocessor:
                 return self._error(path, at + 1, m.end(), "`define with an open parameter list")
             params = [(n.strip(), d.strip() if eq else None) for n, eq, d in (p.partition("=") for p in found[0])]
             rest = rest[found[1] :]
-        body = re.sub(r"(?m)(?<!:)//.*$", "", rest).strip()
+        body = _without_comments(rest).strip()
         self.macros[m[1]] = Macro(body, params)
         above, k = [], at - 1
         while k >= 0 and lines[k].lstrip().startswith(("//", "*", "/*")):
@@ -186,7 +191,7 @@ class Preprocessor:
         )
 
     def _include(self, rest: str, raw: str, path: str, line: int) -> None:
-        name, _ = self.expanded(rest.split("//")[0].strip(), path, line)
+        name, _ = self.expanded(_without_comments(rest).strip(), path, line)
         m = re.match(r'"([^"]+)"|<([^>]+)>', name.strip())
         target = self.resolve(m[1] or m[2], path) if m else ""
         if m and not any(d["name"] == (m[1] or m[2]) and d["from_file"] == path for d in self.out["directives"]):

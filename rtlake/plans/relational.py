@@ -132,21 +132,21 @@ def fingerprint(t: Tables) -> DataFrame:
     return sets.digest(t.documents.select("source", "doc_id", T.content_hash(F.col("text")).alias("hash")), ["source"], [F.col("doc_id"), F.col("hash")], ["doc_id"], "fingerprint")
 
 
-@query("plan_hit_miss", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'remove' WHEN l.doc_id IS NULL OR d.v <> l.v THEN 'compile' ELSE 'keep' END AS action FROM (SELECT doc_id, n_chars % 2 AS v FROM documents WHERE doc_id % 7 <> 0) d FULL JOIN (SELECT doc_id, quality AS v FROM labels) l ON d.doc_id = l.doc_id")
+@query("plan_hit_miss", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'remove' WHEN l.doc_id IS NULL OR d.v <> l.v THEN 'compile' ELSE 'keep' END AS action FROM (SELECT doc_id, n_chars % 2 AS v FROM documents) d FULL JOIN (SELECT doc_id, quality AS v FROM labels) l ON d.doc_id = l.doc_id")
 def plan_hit_miss(t: Tables) -> DataFrame:
-    now = t.documents.filter("doc_id % 7 <> 0").select("doc_id", (F.col("n_chars") % 2).alias("v"))
+    now = t.documents.select("doc_id", (F.col("n_chars") % 2).alias("v"))
     return sets.plan(now, t.labels.select("doc_id", F.col("quality").cast("long").alias("v")), "doc_id", "v")
 
 
 @query(
     "staleness",
     """WITH x AS (SELECT coalesce(d.doc_id, l.doc_id) AS id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN l.doc_id IS NULL THEN 'unknown' WHEN d.v <> l.v THEN 'changed' END AS s
-               FROM (SELECT doc_id, n_chars % 2 AS v FROM documents WHERE doc_id % 7 <> 0) d FULL JOIN (SELECT doc_id, quality AS v FROM labels) l ON d.doc_id = l.doc_id)
+               FROM (SELECT doc_id, n_chars % 2 AS v FROM documents) d FULL JOIN (SELECT doc_id, quality AS v FROM labels) l ON d.doc_id = l.doc_id)
        SELECT count(*) FILTER (WHERE s = 'changed') AS n_changed, count(*) FILTER (WHERE s = 'missing') AS n_missing, count(*) FILTER (WHERE s = 'unknown') AS n_unknown,
               (SELECT string_agg(i, ', ' ORDER BY i) FROM (SELECT CAST(id AS VARCHAR) AS i FROM x WHERE s IS NOT NULL ORDER BY id LIMIT 3)) AS examples FROM x""",
 )
 def staleness(t: Tables) -> DataFrame:
-    now = t.documents.filter("doc_id % 7 <> 0").select("doc_id", (F.col("n_chars") % 2).alias("v"))
+    now = t.documents.select("doc_id", (F.col("n_chars") % 2).alias("v"))
     return sets.stale(now, t.labels.select("doc_id", F.col("quality").cast("long").alias("v")), "doc_id", "v")
 
 
@@ -232,12 +232,12 @@ def visible_set(t: Tables) -> DataFrame:
 @query(
     "closure_walk",
     """WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 0),
-       w(root, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 97 = 5 UNION SELECT w.root, e.dst FROM w JOIN e ON w.node = e.src)
+       w(root, node) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT w.root, e.dst FROM w JOIN e ON w.node = e.src)
        SELECT DISTINCT root, node FROM w""",
 )
 def closure_walk(t: Tables) -> DataFrame:
     edges = t.part.filter("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"))
-    return closure.reach(edges, t.part.filter("p_partkey % 97 = 5").select(F.col("p_partkey").alias("root"))).select("root", "node")
+    return closure.reach(edges, t.part.select(F.col("p_partkey").alias("root"))).select("root", "node")
 
 
 @query(
@@ -269,11 +269,11 @@ def export_closure(t: Tables) -> DataFrame:
 @query(
     "occurrences_family",
     r"""SELECT d.doc_id, w.word, count(*) AS n FROM documents d, (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_$]*')) AS word FROM documents) w
-        WHERE d.doc_id = w.doc_id AND d.source = 'src3' AND w.word IN ('the', 'and', 'of') GROUP BY d.doc_id, w.word""",
+        WHERE d.doc_id = w.doc_id AND w.word IN ('the', 'and', 'of') GROUP BY d.doc_id, w.word""",
 )
 def occurrences_family(t: Tables) -> DataFrame:
     family = t.spark.createDataFrame([("the",), ("and",), ("of",)], "word string")
-    found = t.documents.filter("source = 'src3'").select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
+    found = t.documents.select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
     return found.join(F.broadcast(family), "word", "left_semi").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -299,11 +299,11 @@ def debounce_session(t: Tables) -> DataFrame:
 
 @query(
     "run_order",
-    "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, event_id) AS turn FROM events WHERE event_id % 10 = 0",
+    "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, event_id) AS turn FROM events",
 )
 def run_order(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
-    jobs = t.events.filter("event_id % 10 = 0").withColumn("rank", kind)
+    jobs = t.events.withColumn("rank", kind)
     return jobs.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("rank", "event_id")).cast("long").alias("turn"))
 
 

@@ -77,14 +77,14 @@ def offset_to_line(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", place["line"].cast("long").alias("line"), place["char"].cast("long").alias("char"))
 
 
-@query("line_to_offset", "SELECT doc_id, CASE WHEN len(l) > 2 THEN len(l[1]) + len(l[2]) + 2 + least(4, len(l[3])) END AS at FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+@query("line_to_offset", "SELECT doc_id, CASE WHEN len(l) > 2 THEN len(l[1]) + len(l[2]) + 2 + least(4, len(l[3])) END AS place FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
 def line_to_offset(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.offset_of(F.col("text"), F.lit(2), F.lit(4)).cast("long").alias("at"))
+    return t.documents.select("doc_id", T.offset_of(F.col("text"), F.lit(2), F.lit(4)).cast("long").alias("place"))
 
 
-@query("word_before", "SELECT doc_id, regexp_extract(left(text, 40), '([A-Za-z_$][A-Za-z0-9_$]*)$', 1) AS word FROM documents WHERE NOT contains(left(text, 40), chr(10))")
+@query("word_before", "SELECT doc_id, regexp_extract(left(text, CAST(n_chars // 2 AS BIGINT)), '([A-Za-z_$][A-Za-z0-9_$]*)$', 1) AS word FROM documents")
 def word_before(t: Tables) -> DataFrame:
-    return t.documents.filter(~F.contains(F.left("text", F.lit(40)), F.lit("\n"))).select("doc_id", T.word_before(F.col("text"), F.lit(40)).alias("word"))
+    return t.documents.select("doc_id", T.word_before(F.col("text"), F.expr("CAST(n_chars div 2 AS INT)")).alias("word"))
 
 
 @query("trim_blank", r"SELECT conv_id, turn, regexp_replace(regexp_replace(chr(9) || ' ' || role || ' x ' || chr(9), '^[ \t]+', ''), '[ \t]+$', '') AS trimmed FROM conversations")

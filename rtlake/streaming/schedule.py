@@ -78,3 +78,39 @@ def load_order(files: DataFrame, open_docs: DataFrame, includes: DataFrame) -> D
 def ingest(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of change events from JSON files that arrive in ``folder``."""
     return spark.readStream.schema(CHANGES).json(folder)
+
+
+def cancelled(pending: DataFrame, cancels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pending work (keys, at) without what a later cancel of its key (keys, at) took back."""
+    last = cancels.groupBy(*keys).agg(F.max("at").alias("__cancelled"))
+    return pending.join(last, list(keys), "left").filter(F.col("__cancelled").isNull() | (F.col("__cancelled") < F.col("at"))).drop("__cancelled")
+
+
+# Sources of problems that lie in other files than the one compiled.
+CROSS_FILE = ("reference", "call", "import", "library")
+
+
+def shown(problems: DataFrame, indexing: bool) -> DataFrame:
+    """Problems to show; while a project is indexed, those that depend on other files are held back."""
+    return problems.filter(~F.col("source").isin(*CROSS_FILE)) if indexing else problems
+
+
+def saved(files: DataFrame, includes: DataFrame) -> DataFrame:
+    """(path) of units to compile after files (path) were saved: these, and all that include them (includer, included), at any depth."""
+    from rtlake.operators import closure
+
+    edges = includes.select(F.col("included").alias("src"), F.col("includer").alias("dst"))
+    return closure.reach(edges, files.select(F.col("path").alias("root"))).select(F.col("node").alias("path")).distinct()
+
+
+class Snapshot:
+    """Tables of the last commit: they are read again only when the generation moved. ``generation()`` tells it, ``load(g)`` reads one."""
+
+    def __init__(self, generation, load):
+        self._generation, self._load, self._at, self._tables = generation, load, None, None
+
+    def tables(self):
+        now = self._generation()
+        if now != self._at:
+            self._tables, self._at = self._load(now), now
+        return self._tables

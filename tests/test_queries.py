@@ -29,4 +29,4 @@ def test_query(spark, con, name):
     columns = sorted(got.columns)
     rows = sorted(plain(tuple(r)) for r in got.select(*columns).collect())
     if name in plans.ORACLES:
-        assert rows == sorted(map(plain, con.sql(f"SELECT {', '.join(columns)} FROM ({plans.ORACLES[name]})").fetchall()))
+        assert rows == sorted(map(plain, con.sql(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({plans.ORACLES[name]})").fetchall()))
