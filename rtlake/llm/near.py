@@ -318,6 +318,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates among all ``documents``: three-word shingles, 85 per cent."""
     return linked(table(spark, sf_dir, "documents"))
 
 

@@ -159,5 +159,6 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of ``documents``."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
