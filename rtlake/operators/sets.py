@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +25,53 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.exceptAll(before).withColumn("change", F.lit("added")).unionByName(before.exceptAll(after).withColumn("change", F.lit("removed")))
 
 
+def _framed(parts: Sequence[Column]) -> Column:
+    return F.concat(*[F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")) for p in parts])
+
+
 def digest(df: DataFrame, keys: Sequence[str], parts: Sequence[Column], order: Sequence[str], name: str = "digest") -> DataFrame:
     """SHA-256 for each key over its rows' fields in ``order``; every field carries its length, so no two row lists share a text.
 
     A key's rows meet in one task as a short text each: keys are files, whose rows are bounded.
     """
-    text = F.concat(*[F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")) for p in parts])
+    text = _framed(parts)
     rows = F.sort_array(F.collect_list(F.struct(*order, text.alias("__text"))))
     return df.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["__text"]), ""), 256).alias(name))
 
 
+def streamed_digest(df: DataFrame, keys: Sequence[str], parts: Sequence[Column], order: Sequence[str], name: str = "digest") -> DataFrame:
+    """``digest`` for keys with any number of rows: one exchange brings them in order, and they are hashed one after another, never held at once.
+
+    A hash of an ordered list can't be split, so a key is one task's work, of bounded memory; the sort spills.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StringType, StructType
+
+    out = StructType([*df.select(*keys).schema.fields]).add(name, StringType())
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(key: tuple, state) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, state.hexdigest()), schema, strict=True)], schema=schema)
+
+        key, state = None, None
+        for b in batches:
+            own = zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True)
+            for k, text in zip(own, b.column("__text").to_pylist(), strict=True):
+                if k != key:
+                    if state is not None:
+                        yield row(key, state)
+                    key, state = k, hashlib.sha256()
+                if text is not None:
+                    state.update(text.encode())
+        if state is not None:
+            yield row(key, state)
+
+    rows = df.select(*keys, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], _framed(parts).alias("__text"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *[f"__o{i}" for i in range(len(order))], "__text")
+    return rows.select(*keys, "__text").mapInArrow(run, out)
+
+
 def plan(now: DataFrame, stored: DataFrame, key: str, version: str) -> DataFrame:
     """What to do with each key: compile (new or changed), keep (same version) or remove (gone)."""
     both = now.select(key, F.col(version).alias("__now")).join(stored.select(key, F.col(version).alias("__then")), key, "full")

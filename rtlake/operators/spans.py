@@ -25,6 +25,21 @@ def innermost(points: DataFrame, spans: DataFrame, keys: Sequence[str], inside:
     return best.select(*ids, *[F.col(f"__s.{c}").alias(c) for c in take])
 
 
+def latest_holding(points: DataFrame, rows: DataFrame, keys: Sequence[str], at: str, since: str, until: str, ids: Sequence[str], take: Sequence[str]) -> DataFrame:
+    """For each point the latest span that began before it, if it still holds it (``at`` <= ``until``); points in none drop out.
+
+    For spans whose ends never fall in the order of (``since``, ``take``), so that none holds a point beyond the end of
+    the latest. Points and spans are merged and read once in order, never paired.
+    """
+    from pyspark.sql import Window
+
+    left = points.select(*keys, F.col(at).alias("__t"), F.lit(0).alias("__side"), F.struct(*ids).alias("__id"), F.lit(None).alias("__row"))
+    right = rows.select(*keys, F.col(since).alias("__t"), F.lit(1).alias("__side"), F.lit(None).alias("__id"), F.struct(*take, F.col(until).alias("__until")).alias("__row"))
+    upto = Window.partitionBy(*keys).orderBy("__t", "__side", F.col("__row")).rowsBetween(Window.unboundedPreceding, 0)
+    found = left.unionByName(right).withColumn("__hit", F.last("__row", True).over(upto)).filter("__side = 0 AND __t <= __hit.__until")
+    return found.select(*[F.col(f"__id.{c}").alias(c) for c in ids], *[F.col(f"__hit.{c}").alias(c) for c in take])
+
+
 def closest_before(points: DataFrame, rows: DataFrame, keys: Sequence[str], at: str, since: str, ids: Sequence[str], take: Sequence[str]) -> DataFrame:
     """As-of lookup: for each point the last row at or before it, else the earliest row; null where the key has none.
 

@@ -129,7 +129,7 @@ def digest_per_key(t: Tables) -> DataFrame:
 
 @query("fingerprint", "SELECT source, sha256(string_agg(length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR) || '64:' || sha256(text), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
 def fingerprint(t: Tables) -> DataFrame:
-    return sets.digest(t.documents.select("source", "doc_id", T.content_hash(F.col("text")).alias("hash")), ["source"], [F.col("doc_id"), F.col("hash")], ["doc_id"], "fingerprint")
+    return sets.streamed_digest(t.documents.select("source", "doc_id", T.content_hash(F.col("text")).alias("hash")), ["source"], [F.col("doc_id"), F.col("hash")], ["doc_id"], "fingerprint")
 
 
 @query("plan_hit_miss", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'remove' WHEN l.doc_id IS NULL OR d.v <> l.v THEN 'compile' ELSE 'keep' END AS action FROM (SELECT doc_id, n_chars % 2 AS v FROM documents) d FULL JOIN (SELECT doc_id, quality AS v FROM labels) l ON d.doc_id = l.doc_id")
@@ -172,8 +172,7 @@ def scope_innermost(t: Tables) -> DataFrame:
     far = F.to_timestamp_ntz(F.lit("2100-01-01 00:00:00"))
     s = t.events.select("user_id", F.col("event_id").alias("span_id"), F.col("ts").alias("b"), F.coalesce(later, far).alias("e"))
     p = t.events.select("user_id", "event_id", "ts")
-    inside = (F.col("b") < F.col("ts")) & (F.col("ts") <= F.col("e"))
-    return spans.innermost(p, s, ["user_id"], inside, [F.col("b"), F.col("span_id")], ["span_id"], ["event_id"])
+    return spans.latest_holding(p, s, ["user_id"], "ts", "b", "e", ["event_id"], ["span_id"])
 
 
 @query(

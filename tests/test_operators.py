@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rtlake.functions import text as T
-from rtlake.operators import closure, lookup, spans, writes
+from rtlake.operators import closure, lookup, sets, spans, writes
 from rtlake.streaming import schedule
 
 
@@ -117,3 +117,19 @@ def test_builtins(spark):
     assert builtins.methods(spark, "none").count() == 0
     names = {r["name"] for r in builtins.keywords(spark, builtins.CLASS).collect()}
     assert "extends" in names and "always_ff" not in names
+
+
+def test_streamed_digest(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, None), ("a", 10, "yy"), (None, 1, ""), ("b", None, "z"), (None, 1, "q")], "k string, n int, t string")
+    args = (["k"], [F.col("n"), F.col("t")], ["n"])
+    assert sorted(map(str, sets.streamed_digest(rows, *args).collect())) == sorted(map(str, sets.digest(rows, *args).collect()))
+    assert sets.streamed_digest(rows.limit(0), *args).count() == 0
+
+
+def test_latest_holding(spark):
+    rows = spark.createDataFrame([(1, 10, 0, 5), (1, 11, 3, 8), (1, 12, 3, 9), (2, 13, 0, 9)], "k int, s int, b int, e int")
+    points = spark.createDataFrame([(1, 100, 0), (1, 101, 3), (1, 102, 4), (1, 103, 10), (2, 104, 9), (3, 105, 1)], "k int, p int, at int")
+    found = spans.latest_holding(points, rows, ["k"], "at", "b", "e", ["p"], ["s"])
+    assert sorted(map(tuple, found.collect())) == [(101, 10), (102, 12), (104, 13)]
+    inside = (F.col("b") < F.col("at")) & (F.col("at") <= F.col("e"))
+    assert sorted(map(tuple, spans.innermost(points, rows, ["k"], inside, [F.col("b"), F.col("s")], ["s"], ["p"]).collect())) == sorted(map(tuple, found.collect()))
