@@ -114,17 +114,46 @@ def build(files: DataFrame, units: DataFrame, config: Config, folder: str | None
     return write(out, folder) if folder else out
 
 
+def _store(spark: SparkSession, path: str):
+    """A path of Hadoop's and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, folder: str, ready: bool = True) -> list[int]:
+    """Numbers of the versions in a folder, in order: those that are whole, or all."""
+    at, store = _store(spark, folder)
+    found = [s.getPath().getName() for s in store.listStatus(at)] if store.exists(at) else []
+    numbers = sorted(int(n[1:]) for n in found if re.fullmatch(r"v\d+", n))
+    return [n for n in numbers if not ready or store.exists(_store(spark, f"{folder}/v{n}/_READY")[0])]
+
+
 def write(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
-    """Writes the tables as Parquet; symbols are ranged by name, so that name lookups skip most row groups."""
+    """Writes the tables as Parquet; symbols are ranged by name, so that name lookups skip most row groups.
+
+    They make a new version, which counts once its last table is there, so no reader sees a part of one. The version before
+    it stays for those who read it; older ones go. One writer at a time.
+    """
     spark = next(iter(tables.values())).sparkSession
+    version = max(versions(spark, folder, ready=False), default=0) + 1
     for name, df in tables.items():
         df = df.repartitionByRange("name").sortWithinPartitions("name") if name == "symbols" else df
-        df.write.mode("overwrite").option("parquet.bloom.filter.enabled#name", name == "symbols").parquet(f"{folder}/{name}")
+        df.write.option("parquet.bloom.filter.enabled#name", name == "symbols").parquet(f"{folder}/v{version}/{name}")
+    mark, store = _store(spark, f"{folder}/v{version}/_READY")
+    store.create(mark).close()
+    whole = versions(spark, folder)[-2:]
+    for n in versions(spark, folder, ready=False):
+        if n not in whole:
+            store.delete(_store(spark, f"{folder}/v{n}")[0], True)
     return read(spark, folder, tables)
 
 
 def read(spark: SparkSession, folder: str, names: Sequence[str] = (*TABLES, "files", "units")) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+    """The tables of the last whole version."""
+    whole = versions(spark, folder)
+    if not whole:
+        raise FileNotFoundError(f"no index in {folder}")
+    return {n: spark.read.parquet(f"{folder}/v{whole[-1]}/{n}") for n in names}
 
 
 def fingerprints(units: DataFrame, sites: DataFrame, files: DataFrame, config: Config) -> DataFrame:

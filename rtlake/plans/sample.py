@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rtlake.functions.code import blanked
-from rtlake.plans import index, preprocess, requests
+from rtlake.plans import index, preprocess, requests, signatures
 from rtlake.plans.registry import Tables, query
 
 FILES = {
@@ -77,6 +77,29 @@ def source_signature(t: Tables) -> DataFrame:
     return requests.signature(built(t), "next").select("name", "label")
 
 
+#: Lines as typed after the tree's text, the cursor at their end.
+TYPED = ("initial $fatal(\"no\", ", "initial for (i = f(1, 2); ", "assert property (", "x = `PAD(", "walk(); next(1, ", "bus c (.clk(", "x = y + (")
+
+
+@query(
+    "source_help",
+    rows(
+        "typed, label, active",
+        "'initial $fatal(\"no\", ', '$fatal([finish_number], format, args...)', 2", "'initial for (i = f(1, 2); ', 'for (initialization; condition; step)', 1",
+        "'assert property (', 'assert property (property_spec)', 0", "'x = `PAD(', '`PAD(x)', 0", "'walk(); next(1, ', 'next(int step, int by)', 1", "'bus c (.clk(', 'bus(input logic clk)', 0", "'x = y + (', NULL, NULL",
+    ),
+)
+def source_help(t: Tables) -> DataFrame:
+    """Help in open parentheses: of a system task, a construct, an assertion, a macro, a routine, a unit, and none."""
+    index_ = {n: t.spark.createDataFrame(x.toArrow(), x.schema) for n, x in built(t).items() if n in ("symbols", "macros")}  # four files: questions then read no more than them
+    found = []
+    for typed in TYPED:
+        text = FILES["/s/top.sv"] + typed
+        h = signatures.help_at(index_, "/s/top.sv", text, len(text))
+        found.append((typed, h and h.label, h and h.active))
+    return t.spark.createDataFrame(found, "typed string, label string, active int")
+
+
 @query("source_blanked", rows("n_chars, n_kept", f"{len(FILES['/s/top.sv'])}, {len(FILES['/s/top.sv']) - len('// OFF at first') - len(chr(34) + 'cfg.svh' + chr(34))}"))
 def source_blanked(t: Tables) -> DataFrame:
     """Comments and strings blanked: the length stays, and what is blanked is the comment and the string."""

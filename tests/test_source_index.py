@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rtlake.functions import code
-from rtlake.plans import index, requests
+from rtlake.functions.builtins import system_tasks
+from rtlake.plans import index, requests, signatures
 from rtlake.plans.declare import declared
 from rtlake.plans.preprocess import Preprocessor
 from rtlake.sources import filelist
@@ -147,3 +148,48 @@ def test_filelist():
     with pytest.raises(ValueError):
         filelist.parse_manifest("m.json", '{"files": [1]}')
     assert filelist.discover("/a/b", {"/a/rtlake.f"}.__contains__) == "/a/rtlake.f"
+
+
+def test_help():
+    tasks = system_tasks()
+    assert tasks["$fdisplayh"] == ["fd", "args..."] and tasks["$exit"] == [] and "$test$plusargs" in tasks and "$clog2h" not in tasks
+
+    def at(text):
+        return signatures.help_at({}, "/p/x.sv", text, len(text))
+
+    assert at("foreach (a[") == signatures.Help("foreach (array[index, ...])", ("array", "index, ..."), 1)
+    assert at("foreach (a").active == 0 and at("for (i = 0; i < 3; i++; ").active is None
+    assert at("cover property (").label == "cover property (property_spec)" and at("cover (").label == "cover (expression)"
+    assert at("randomize(a, ") == signatures.Help("randomize([variable, ...])", ("[variable, ...]",), 0)
+    assert at("x = (") is None and at("no parenthesis") is None and at('"(" ') is None and at("f(1) ") is None
+
+
+def test_system_task_slots():
+    help_ = signatures.system_task
+    assert help_("$display", "(1, 2, 3", 0, 2).active == 0  # one parameter takes them all
+    assert help_("$fatal", "(1, 2", 0, 1).active == 1 and help_("$fatal", '( "s"', 0, 0).active == 1
+    assert help_("$clog2", "(1, 2", 0, 1).active is None and help_("$time", "(", 0, 0).active is None and help_("$none", "(", 0, 0) is None
+    assert help_("$assertoff", "(0, a, b", 0, 2).active == 1
+
+
+def test_help_by_names(built):
+    def at(text, file="/p/top.sv"):
+        return signatures.help_at(built, file, text, len(text))
+
+    assert at("x = get(1, ") == signatures.Help("get(input int a, input int b)", ("input int a", "input int b"), 1)
+    assert at("x = get(.b(").active == 1
+    assert at("x = `MAX(1, ").active == 1 and at("x = `WIDTH(") is None and at("x = `get(") is None
+    assert at("x = nothing(") is None
+
+
+def test_versions(spark, tmp_path):
+    folder, one = str(tmp_path / "index"), spark.range(3).selectExpr("CAST(id AS STRING) AS name")
+    for n in (1, 2, 3):
+        kept = index.write({"symbols": one.limit(n), "units": one}, folder)
+    assert kept["symbols"].count() == 3 and index.versions(spark, folder) == [2, 3]
+    one.write.parquet(f"{folder}/v4/symbols")  # a writer that was lost
+    assert index.read(spark, folder, ["symbols"])["symbols"].count() == 3
+    again = index.write({"symbols": index.read(spark, folder, ["symbols"])["symbols"], "units": one}, folder)
+    assert again["symbols"].count() == 3 and index.versions(spark, folder) == [3, 5] and index.versions(spark, folder, ready=False) == [3, 5]
+    with pytest.raises(FileNotFoundError):
+        index.read(spark, str(tmp_path / "none"))
