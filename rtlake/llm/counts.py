@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from rtlake.llm.common import table
 from rtlake.llm.texts import map_texts
 
-#: Pre-tokens of a new leaf; code points behind its end that a match may depend on; entries of the count cache.
-LEAF, CONTEXT, CACHE = 64, 3, 300_000
+#: Pre-tokens of a new leaf; how many times as many a leaf may hold before all are dealt again; code points behind its
+#: end that a match may depend on; entries of the count cache.
+LEAF, GROWTH, CONTEXT, CACHE = 64, 4, 3, 300_000
 TREE = "tree struct<leaves: array<int>, lengths: array<int>, tokens: array<int>, chars: array<long>, sums: array<long>>"
 
 
@@ -45,6 +46,10 @@ class Counter:
         return n
 
 
+def _dealt(lengths: list[int], tokens: list[int]) -> list[tuple[list[int], list[int]]]:
+    return [(lengths[i : i + LEAF], tokens[i : i + LEAF]) for i in range(0, len(lengths), LEAF)]
+
+
 class Tree:
     """A text's pre-tokens in leaves under a complete binary tree of sums; node i has children 2i and 2i + 1."""
 
@@ -61,7 +66,7 @@ class Tree:
     def of(cls, text: str, counter: Counter) -> Tree:
         pieces = counter.split.findall(text)
         lengths, tokens = [*map(len, pieces)], [*map(counter.count, pieces)]
-        return cls([(lengths[i : i + LEAF], tokens[i : i + LEAF]) for i in range(0, len(pieces), LEAF)])
+        return cls(_dealt(lengths, tokens))
 
     def _add_up(self, i: int) -> None:
         self.chars[i], self.sums[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.sums[2 * i] + self.sums[2 * i + 1]
@@ -130,6 +135,9 @@ class Tree:
             part = (out_lengths[k * each : (k + 1) * each], out_tokens[k * each : (k + 1) * each])
             self.leaves[i] = part
             self.chars[self.width + i], self.sums[self.width + i] = sum(part[0]), sum(part[1])
+        if each > GROWTH * LEAF:  # seldom enough that it costs each pre-token put in a bounded share
+            self.__init__(_dealt([x for a, _ in self.leaves for x in a], [x for _, b in self.leaves for x in b]))
+            return new, spent
         low, high = (self.width + first) // 2, (self.width + leaf) // 2
         while low:
             for i in range(low, high + 1):

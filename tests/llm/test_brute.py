@@ -83,6 +83,20 @@ def test_edited_counts(text, edits):
         assert tree.chars[1] == len(text)
 
 
+def test_leaves_stay_short():
+    """Edits that all fall in one place, and one long one, leave no leaf that holds most of the text."""
+    counter, text = counts.Counter(*counts.default_vocabulary()), "a start and an end"
+    tree = counts.Tree.of(text, counter)
+    for i in range(700):
+        text, _ = tree.edit(text, 7, 0, f" w{i} x", counter)
+    text, _ = tree.edit(text, 30, 5, " many words" * 2_000, counter)
+    text, _ = tree.edit(text, 40, 12_000, "", counter)
+    assert max(len(a) for a, _ in tree.leaves) <= counts.GROWTH * counts.LEAF
+    fresh = counts.Tree.of(text, counter)
+    assert [x for a, _ in tree.leaves for x in a] == [x for a, _ in fresh.leaves for x in a]
+    assert (tree.tokens, tree.chars[1]) == (fresh.tokens, len(text))
+
+
 def sets_of(texts, n):
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
