@@ -153,6 +153,11 @@ class Codec:
             self._rows, self._ids = {}, np.zeros(0, np.int32)
             self._starts, self._lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        #: What each piece stands for in a text, in UTF-8; of pieces that stand for none, a byte that no text holds.
+        spelt = [p.replace(MARK, " ").encode() if kind == NORMAL else bytes([int(p[3:5], 16)]) if kind == BYTE else b"\xff" for p, _, kind in self.model.pieces]
+        self._spelt = np.frombuffer(b"".join(spelt), np.uint8)
+        self._spelt_lengths = np.fromiter(map(len, spelt), np.int64)
+        self._spelt_starts = np.cumsum(self._spelt_lengths) - self._spelt_lengths
 
     def _learn(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Encodes words (blanks stand for markers): the words in another order, each one's number of ids, and all ids in a row."""
@@ -228,6 +233,25 @@ class Codec:
     def decode(self, ids: list) -> list[str]:
         return self.backend.decode_batch(ids, skip_special_tokens=False)
 
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 that pieces stand for, one after another."""
+        lengths = self._spelt_lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return self._spelt[np.repeat(self._spelt_starts[ids] - ends[:-1], lengths) + np.arange(ends[-1])].tobytes()
+
+    def exact(self, texts: pa.Array, ids: pa.ListArray) -> list[bool]:
+        """Whether decoding gives each text (none of them null) back.
+
+        Where a text is what its pieces stand for, but for the prefix, decoding gives just that; all others are decoded.
+        """
+        flat, ends, raw = ids.values.to_numpy(), ids.offsets.to_pylist(), texts.cast(pa.binary()).to_pylist()
+        prefix = b" " if self.model.dummy_prefix else b""
+        found = [self._bytes(flat[a:b]).removeprefix(prefix) == t for t, (a, b) in zip(raw, pairwise(ends), strict=True)]
+        other = [i for i, same in enumerate(found) if not same]
+        for i, t in zip(other, self.decode([flat[ends[i] : ends[i + 1]].tolist() for i in other]), strict=True):
+            found[i] = t.encode() == raw[i]
+        return found
+
     def parity(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
         """Whether the library that owns the format gives the same ids."""
         return [a == b for a, b in zip(self.original.encode(texts, num_threads=self.threads), ids, strict=True)]
@@ -257,9 +281,12 @@ def encode(docs: DataFrame, model: bytes | None = None, threads: int = THREADS,
             ids, texts = codec.encode_array(column), column.to_numpy(zero_copy_only=False).tolist()
             flat, ends = ids.values.to_numpy().tolist(), ids.offsets.to_pylist()
             rows = [flat[a:b] for a, b in pairwise(ends)]
-            back = codec.decode(rows)
-            out = {"doc_id": p.column("doc_id"), "token_ids": ids, "exact": [a == b for a, b in zip(texts, back, strict=True)]}
-            yield out | {"decoded": back, "parity": codec.parity(texts, rows) if verify else [None] * len(texts)}
+            out = {"doc_id": p.column("doc_id"), "token_ids": ids, "parity": codec.parity(texts, rows) if verify else [None] * len(texts)}
+            if decoded:
+                back = codec.decode(rows)
+                yield out | {"decoded": back, "exact": [a == b for a, b in zip(texts, back, strict=True)]}
+            else:
+                yield out | {"exact": codec.exact(column, ids)}
 
     schema = "doc_id long, token_ids array<int>, exact boolean, parity boolean" + ", decoded string" * decoded
     out = map_texts(docs.select("doc_id", "text"), schema, body, BATCH_CHARS)

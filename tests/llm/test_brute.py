@@ -67,6 +67,18 @@ def test_pieces_beyond_the_cache(codec, monkeypatch):
     assert len(fresh._rows) <= 4
 
 
+@given(st.lists(st.text(st.sampled_from("ab the▁é漢😀\x00\n\t<s>0x4A "), max_size=60), min_size=1, max_size=20))
+@settings(max_examples=60, deadline=None)
+def test_exact_is_what_decoding_gives(codec, texts):
+    """Also of ids that aren't a text's own, cut characters and control pieces among them."""
+    import pyarrow as pa
+
+    own = codec.encode(texts)
+    for rows in (own, own[1:] + own[:1], [r[:-1] for r in own], [[0, 1, *r] for r in own], [[2] for _ in own]):
+        expected = [a == b for a, b in zip(codec.decode(rows), texts, strict=True)]
+        assert codec.exact(pa.array(texts, pa.string()), pa.array(rows, pa.list_(pa.int32()))) == expected
+
+
 def test_pieces_on_documents(spark):
     rows = pieces.encode(read(spark, "documents"))
     assert rows.filter("NOT exact OR NOT parity").count() == 0
