@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +16,48 @@ def contains(line: Column, col: Column, begin: tuple[Column, Column], end: tuple
     return after & before
 
 
-def innermost(points: DataFrame, spans: DataFrame, keys: Sequence[str], inside: Column, prefer: Sequence[Column], take: Sequence[str], ids: Sequence[str]) -> DataFrame:
-    """For each point (by ``ids``) the span that satisfies ``inside`` and is largest by ``prefer``; points in none drop out.
+def innermost(points: DataFrame, rows: DataFrame, keys: Sequence[str], at: Column, begin: Column, end: Column, ids: Sequence[str], take: Sequence[str]) -> DataFrame:
+    """For each point (by ``ids``) the innermost span that holds it, with ``take`` of its columns; points in none drop out.
 
-    ``keys`` (the file) make it an equi-join, so only spans of one file are compared.
+    ``at`` is a point's position, ``begin`` and ``end`` are a span's: arrays of long, compared from the left, both ends
+    included. Innermost is the span that began last; of those that began together the one that ends first, and of equal
+    spans the one with the largest ``take``. Spans may nest to any depth, touch or cross.
+
+    Points and spans of a key are merged, sorted and read once: a stack holds the open spans, of which an inner one never
+    ends after an outer one, as one that does hides what lies below it for good. So the work is linear after the sort,
+    nothing is paired, and a task holds no more than the spans open at one place, whatever a key has. Equal nulls in
+    keys count as equal; points and spans without a position drop out.
     """
-    both = points.join(spans, list(keys)).filter(inside)
-    best = both.groupBy(*ids).agg(F.max_by(F.struct(*take), F.struct(*[p.alias(f"p{i}") for i, p in enumerate(prefer)])).alias("__s"))
-    return best.select(*ids, *[F.col(f"__s.{c}").alias(c) for c in take])
+    keyed = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    none = lambda df, names: F.lit(None).cast(df.select(F.struct(*names).alias("s")).schema["s"].dataType)
+    left = points.select(*keyed, at.alias("__at"), F.lit(None).cast("array<long>").alias("__end"), F.lit(1).alias("__side"), F.struct(*ids).alias("__id"), none(rows, take).alias("__take"))
+    right = rows.select(*keyed, begin.alias("__at"), end.alias("__end"), F.lit(0).alias("__side"), none(points, ids).alias("__id"), F.struct(*take).alias("__take"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    merged = left.unionByName(right.filter(F.col("__end").isNotNull())).filter(F.col("__at").isNotNull()).withColumn("__end", F.col("__end").cast("array<long>")).withColumn("__at", F.col("__at").cast("array<long>"))
+    ordered = merged.repartition(*names).sortWithinPartitions(*names, "__at", "__side", F.desc("__end"), "__take")
+    types = merged.select("__id", "__take").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, stack = None, []
+        for b in batches:
+            ids_, takes = [], []
+            where = list(zip(*[b.column(n).to_pylist() for n in names], strict=True)) if names else [()] * b.num_rows
+            for k, place, until, side, id_, took in zip(where, *[b.column(n).to_pylist() for n in ("__at", "__end", "__side", "__id", "__take")], strict=True):
+                if k != key:
+                    key, stack = k, []
+                if side:
+                    while stack and stack[-1][0] < place:
+                        stack.pop()
+                    if stack:
+                        ids_.append(id_)
+                        takes.append(stack[-1][1])
+                elif until >= place:
+                    while stack and stack[-1][0] <= until:
+                        stack.pop()
+                    stack.append((until, took))
+            yield pa.RecordBatch.from_arrays([pa.array(ids_, b.schema.field("__id").type), pa.array(takes, b.schema.field("__take").type)], names=["__id", "__take"])
+
+    return ordered.mapInArrow(run, types).select("__id.*", "__take.*")
 
 
 def latest_holding(points: DataFrame, rows: DataFrame, keys: Sequence[str], at: str, since: str, until: str, ids: Sequence[str], take: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,15 +160,37 @@ def count_tables(t: Tables) -> DataFrame:
     return sets.counts({n: getattr(t, n) for n in _NAMES})
 
 
-_SPANS = "SELECT user_id, event_id AS span_id, ts AS b, coalesce(lead(ts, 5) OVER (PARTITION BY user_id ORDER BY ts, event_id), TIMESTAMP '2100-01-01') AS e FROM events"
+_LEVELS = ("month", "day", "hour")
+_NESTED = "SELECT user_id, 0 AS level, min(ts) AS b, max(ts) AS e FROM events WHERE event_type <> 'error' GROUP BY user_id" + "".join(
+    f" UNION ALL SELECT user_id, {k}, min(ts), max(ts) FROM events WHERE event_type <> 'error' GROUP BY user_id, date_trunc('{u}', ts)" for k, u in enumerate(_LEVELS, 1)
+)
 
 
 @query(
     "scope_innermost",
+    f"""WITH s AS ({_NESTED}), p AS (SELECT user_id, event_id, ts FROM events)
+        SELECT p.event_id, arg_max(s.level, (s.b, -epoch_us(s.e), s.level)) AS level, max_by(s.b, (s.b, -epoch_us(s.e), s.level)) AS since
+        FROM p JOIN s ON p.user_id = s.user_id AND s.b <= p.ts AND p.ts <= s.e GROUP BY p.event_id""",
+)
+def scope_innermost(t: Tables) -> DataFrame:
+    """Each event in the innermost of its user's nested spans: all of the user's time, its months, days and hours, from the first to the last event there that is no error."""
+    fine = t.events.filter("event_type <> 'error'")
+    levels = [fine.groupBy("user_id").agg(F.min("ts").alias("since"), F.max("ts").alias("until")).withColumn("level", F.lit(0))]
+    levels += [fine.groupBy("user_id", F.date_trunc(u, "ts").alias("u")).agg(F.min("ts").alias("since"), F.max("ts").alias("until")).withColumn("level", F.lit(k)).drop("u") for k, u in enumerate(_LEVELS, 1)]
+    nested = reduce(DataFrame.unionByName, levels)
+    place = lambda c: F.array(F.unix_micros(F.col(c).cast("timestamp")))
+    return spans.innermost(t.events.select("user_id", "event_id", "ts"), nested, ["user_id"], place("ts"), place("since"), place("until"), ["event_id"], ["level", "since"])
+
+
+_SPANS = "SELECT user_id, event_id AS span_id, ts AS b, coalesce(lead(ts, 5) OVER (PARTITION BY user_id ORDER BY ts, event_id), TIMESTAMP '2100-01-01') AS e FROM events"
+
+
+@query(
+    "scope_latest",
     f"""WITH s AS ({_SPANS}), p AS (SELECT user_id, event_id, ts FROM events)
         SELECT p.event_id, arg_max(s.span_id, (s.b, s.span_id)) AS span_id FROM p JOIN s ON p.user_id = s.user_id AND s.b < p.ts AND p.ts <= s.e GROUP BY p.event_id""",
 )
-def scope_innermost(t: Tables) -> DataFrame:
+def scope_latest(t: Tables) -> DataFrame:
     """Each event in the latest span of its user that holds it: spans reach from an event to the fifth after it."""
     later = F.lead("ts", 5).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     far = F.to_timestamp_ntz(F.lit("2100-01-01 00:00:00"))

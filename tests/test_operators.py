@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,5 +133,20 @@ def test_latest_holding(spark):
     points = spark.createDataFrame([(1, 100, 0), (1, 101, 3), (1, 102, 4), (1, 103, 10), (2, 104, 9), (3, 105, 1)], "k int, p int, at int")
     found = spans.latest_holding(points, rows, ["k"], "at", "b", "e", ["p"], ["s"])
     assert sorted(map(tuple, found.collect())) == [(101, 10), (102, 12), (104, 13)]
-    inside = (F.col("b") < F.col("at")) & (F.col("at") <= F.col("e"))
-    assert sorted(map(tuple, spans.innermost(points, rows, ["k"], inside, [F.col("b"), F.col("s")], ["s"], ["p"]).collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_innermost_of_any_spans(spark):
+    """Nested, touching, crossing, equal and inverted spans, null keys and places, against pairing every point with every span."""
+    rng = random.Random(4)
+    rows = [(rng.choice((1, 2, None)), s, b, b + rng.choice((-1, 0, 0, 1, 3, 9, 30))) for s in range(120) for b in [rng.randrange(40)]] + [(1, 900, None, 5), (1, 901, 2, None), (4, 902, 0, 9), (4, 903, 2, 5), (4, 904, 9, 12)]
+    points = [(rng.choice((1, 2, None, 3)), p, rng.randrange(45)) for p in range(150)] + [(1, 999, None), (4, 1000, 8), (4, 1001, 9), (4, 1002, 5), (4, 1003, 6)]
+    want = []
+    for k, p, at in points:
+        held = [(b, -e, s) for j, s, b, e in rows if j == k and None not in (at, b, e) and b <= at <= e]
+        want += [(p, max(held)[2])] if held else []
+    place = lambda c: F.array(F.col(c).cast("long"), F.lit(0).cast("long"))
+    nulls = lambda c: F.when(F.col(c).isNotNull(), place(c))
+    got = spans.innermost(spark.createDataFrame(points, "k int, p int, at int"), spark.createDataFrame(rows, "k int, s int, b int, e int"), ["k"], nulls("at"), nulls("b"), nulls("e"), ["p"], ["s"])
+    assert sorted(map(tuple, got.collect())) == sorted(want) and (1000, 902) in want and (1001, 904) in want
+    empty = spark.createDataFrame([], "k int, s int, b int, e int")
+    assert spans.innermost(spark.createDataFrame(points, "k int, p int, at int"), empty, ["k"], nulls("at"), nulls("b"), nulls("e"), ["p"], ["s"]).collect() == []
