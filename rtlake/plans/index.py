@@ -7,13 +7,14 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rtlake.functions import text as T
 from rtlake.functions.code import mapped_column
-from rtlake.operators import lookup, sets, writes
-from rtlake.plans import declare, preprocess
+from rtlake.operators import closure, sets, writes
+from rtlake.plans import checks, declare, preprocess
+from rtlake.plans.checks import ERROR
 
 #: Tables of an index and the DDL of their rows; each also has ``unit``.
 TABLES = {
@@ -28,8 +29,9 @@ TABLES = {
     "metadata": "kind string, value string, file string, line int",
     "diagnostics": "file string, line int, col int, end_col int, severity int, source string, subject string, message string",
 }
-#: Severities of diagnostics (fixed values of the protocol).
-ERROR, WARNING, INFORMATION = 1, 2, 3
+#: What an index holds besides: nested rows of each unit, of which the tables are made; files and what a scan found in them;
+#: which files a unit reads; fingerprints; diagnostics of checks across units, and the names that these look up.
+KEPT = ("compiled", "files", "contents", "units", "problems", "uses")
 _NESTED = "unit string, " + ", ".join(f"{name} array<struct<{re.sub(r'(^|, )(\w+) (?=string|int|boolean|array)', r'\1\2: ', ddl)}>>" for name, ddl in TABLES.items())
 
 
@@ -69,48 +71,102 @@ def compiled(unit: str, files: dict[str, str], config: Config) -> dict:
     return {"unit": unit, "macros": out["macros"], "include_sites": out["sites"], "directives": out["directives"], "metadata": out["metadata"], "diagnostics": diagnostics} | {k: [placed(r) for r in v] for k, v in tables.items()}
 
 
-def compile_units(units: DataFrame, files: dict[str, str], config: Config) -> DataFrame:
-    """One nested row for each unit of ``units`` (column ``unit``); units run side by side, their includes come from ``files``."""
+_INCLUDE = re.compile(r'`include\s*(?:"([^"\n]*)"|<([^>\n]*)>|(`))')
+_DEFINED = re.compile(r"`define\s[^\n]*(?:\\\n[^\n]*)*")
+
+
+#: Stands in the include graph for whatever macros may name.
+_ANY = "`"
+
+
+def scanned(files: DataFrame) -> DataFrame:
+    """(path, hash, size, wanted, computed, offered) of files (path, text), by a scan of words alone.
+
+    ``wanted``: base names that its includes name; ``computed``: whether one includes what a macro stands for; ``offered``: base
+    names in its macros' bodies, which such an include may mean.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = lambda name: name.replace("\\", "/").rpartition("/")[2]
+        for b in batches:
+            wanted, computed, offered = [], [], []
+            for text in b.column("text").to_pylist():
+                found = _INCLUDE.findall(text or "")
+                wanted.append(sorted({base(q or a) for q, a, m in found if not m}))
+                computed.append(any(m for _, _, m in found))
+                offered.append(sorted({base(x) for d in _DEFINED.findall(text or "") for pair in re.findall(r'"([^"\n]*)"|<([^>\n]*)>', d) for x in pair if x}))
+            strings = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("hash"), b.column("size"), pa.array(wanted, strings), pa.array(computed, pa.bool_()), pa.array(offered, strings)], names=["path", "hash", "size", "wanted", "computed", "offered"])
+
+    hashed = files.select("path", T.content_hash(F.col("text")).alias("hash"), F.octet_length("text").cast("long").alias("size"), "text")
+    return hashed.mapInArrow(scan, "path string, hash string, size long, wanted array<string>, computed boolean, offered array<string>")
+
+
+def needed(units: DataFrame, scans: DataFrame, config: Config) -> DataFrame:
+    """(unit, path): the files that a unit may read, itself included; a superset, as includes count by their base names.
+
+    Reachability over the include graph, for all units at once. Texts take no part in it.
+    """
+    places = scans.select("path", T.base_name(F.col("path")).alias("base"))
+    given = [x.rpartition("/")[2] for v in config.defines.values() for x in re.findall(r'"([^"]*)"', v)]
+    named = lambda xs: F.explode(F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>"))
+    offers = scans.select(F.explode("offered").alias("base")).union(units.sparkSession.range(1).select(named(given).alias("base"))).distinct()
+    by_name = scans.select(F.col("path").alias("src"), F.explode("wanted").alias("base")).join(places, "base").select("src", F.col("path").alias("dst"))
+    by_macro = scans.filter("computed").select(F.col("path").alias("src"), F.lit(_ANY).alias("dst")).union(offers.join(places, "base").select(F.lit(_ANY), "path"))
+    edges = closure.cut(by_name.union(by_macro).filter("src <> dst").distinct())
+    always = units.select("unit", named([p.rpartition("/")[2] for p in config.preincludes]).alias("base")).join(places, "base").select("unit", "path")
+    first = units.select("unit", F.col("unit").alias("path")).union(always)
+    if edges.isEmpty():
+        return first.distinct()
+    reached = closure.reach(edges, first.select(F.col("path").alias("root")).distinct()).select(F.col("root").alias("path"), "node")
+    return first.join(reached, "path").select("unit", F.col("node").alias("path")).filter(F.col("path") != _ANY).distinct()
+
+
+def compile_units(units: DataFrame, files: DataFrame, scans: DataFrame, config: Config) -> DataFrame:
+    """One nested row for each unit of ``units`` (column ``unit``). Each unit is sent the files that it may read, and no other."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    shared = units.sparkSession.sparkContext.broadcast((files, config))
     schema = to_arrow_schema(StructType.fromDDL(_NESTED))
     names = {f.name: [x.name for x in f.type.value_type] for f in schema if f.name != "unit"}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for unit in batch.column("unit").to_pylist():
-                row = compiled(unit, *shared.value)
-                yield pa.RecordBatch.from_pylist([{"unit": unit} | {n: [{c: r.get(c) for c in cols} for r in row[n]] for n, cols in names.items()}], schema=schema)
+    def run(group: pa.Table) -> pa.Table:
+        unit = group["unit"][0].as_py()
+        texts = {p: t for p, t in zip(group["path"].to_pylist(), group["text"].to_pylist(), strict=True) if t is not None}
+        row = compiled(unit, texts, config)
+        return pa.Table.from_pylist([{"unit": unit} | {n: [{c: r.get(c) for c in cols} for r in row[n]] for n, cols in names.items()}], schema=schema)
 
-    return units.select("unit").mapInArrow(run, _NESTED)
+    sent = needed(units, scans, config).join(files.select("path", "text"), "path", "left")
+    return sent.select("unit", "path", "text").groupBy("unit").applyInArrow(run, _NESTED)
 
 
 def tables_of(compiled_units: DataFrame) -> dict[str, DataFrame]:
-    """Flat tables; rows of a file that several units include come from the first of these."""
-    out = {}
-    owners = None
+    """Flat tables; rows of a file that several units include come from its own unit or else from the first of these.
+
+    ``contents`` says which files each unit has rows of, and which of them it gives.
+    """
+    placed = compiled_units.select("unit", F.explode(F.array_union(F.array_union(F.array("unit"), "symbols.file"), "include_sites.file")).alias("file")).distinct()
+    giver = F.row_number().over(Window.partitionBy("file").orderBy(F.col("unit") != F.col("file"), "unit")) == 1
+    out = {"contents": placed.withColumn("gives", giver)}
+    owners = out["contents"].filter("gives").select("unit", "file")
     for name in TABLES:
         flat = compiled_units.select("unit", F.explode(name).alias("r")).select("unit", "r.*")
-        if "file" in flat.columns and name not in ("include_sites",):
-            if owners is None:
-                owners = lookup.first_wins(compiled_units.select("unit", F.explode("symbols.file").alias("file")).distinct(), ["file"], F.col("unit") != F.col("file"), "unit")
-            flat = flat if name in ("diagnostics", "metadata", "macros") else flat.join(owners, ["unit", "file"], "left_semi")
+        if name in ("symbols", "imports", "instantiations", "calls", "type_refs"):
+            flat = flat.join(owners, ["unit", "file"], "left_semi")
         out[name] = flat.dropDuplicates() if name in ("diagnostics", "metadata") else flat
     return out
 
 
 def build(files: DataFrame, units: DataFrame, config: Config, folder: str | None = None) -> dict[str, DataFrame]:
-    """The index of ``units`` over ``files`` (path, text), with a table of files and their hashes and of unit fingerprints.
+    """The index of ``units`` over ``files`` (path, text): ``TABLES`` and what ``KEPT`` names.
 
     With a ``folder`` the tables are written there as Parquet, symbols clustered by name, and read again.
     """
-    texts = {r["path"]: r["text"] for r in files.select("path", "text").collect()}  # one project's sources: each unit may include any of them
-    rows = compile_units(units, texts, config).persist()
-    out = tables_of(rows)
-    out["files"] = files.select("path", T.content_hash(F.col("text")).alias("hash"), F.octet_length("text").cast("long").alias("size"))
-    out["units"] = fingerprints(units, out["include_sites"], out["files"], config)
+    scans = closure.cut(scanned(files))
+    rows = closure.cut(compile_units(units, files, scans, config))
+    out = tables_of(rows) | {"compiled": rows, "files": scans}
+    out["units"] = fingerprints(units, out["include_sites"], scans, config)
+    out["problems"], out["uses"] = checks.problems(out), checks.uses(out)
     return write(out, folder) if folder else out
 
 
@@ -137,8 +193,9 @@ def write(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
     spark = next(iter(tables.values())).sparkSession
     version = max(versions(spark, folder, ready=False), default=0) + 1
     for name, df in tables.items():
-        df = df.repartitionByRange("name").sortWithinPartitions("name") if name == "symbols" else df
-        df.write.option("parquet.bloom.filter.enabled#name", name == "symbols").parquet(f"{folder}/v{version}/{name}")
+        by = "name" if name in ("symbols", "uses") else "unit" if "unit" in df.columns else None
+        df = df.repartitionByRange(by).sortWithinPartitions(by) if by else df
+        df.write.option("parquet.bloom.filter.enabled#name", by == "name").parquet(f"{folder}/v{version}/{name}")
     mark, store = _store(spark, f"{folder}/v{version}/_READY")
     store.create(mark).close()
     whole = versions(spark, folder)[-2:]
@@ -148,7 +205,7 @@ def write(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
     return read(spark, folder, tables)
 
 
-def read(spark: SparkSession, folder: str, names: Sequence[str] = (*TABLES, "files", "units")) -> dict[str, DataFrame]:
+def read(spark: SparkSession, folder: str, names: Sequence[str] = (*TABLES, *KEPT)) -> dict[str, DataFrame]:
     """The tables of the last whole version."""
     whole = versions(spark, folder)
     if not whole:
@@ -158,7 +215,7 @@ def read(spark: SparkSession, folder: str, names: Sequence[str] = (*TABLES, "fil
 
 def fingerprints(units: DataFrame, sites: DataFrame, files: DataFrame, config: Config) -> DataFrame:
     """(unit, fingerprint): the settings, the unit's own hash and those of all files it includes, in order of path."""
-    parts = units.select("unit", F.col("unit").alias("path")).union(sites.select("unit", F.col("file").alias("path"))).distinct()
+    parts = units.select("unit", F.col("unit").alias("path")).union(sites.join(units.select("unit"), "unit", "left_semi").select("unit", F.col("file").alias("path"))).distinct()
     hashed = parts.join(files.select("path", "hash"), "path")
     return sets.digest(hashed, ["unit"], [F.lit(config.key()), F.col("path"), F.col("hash")], ["path"], "fingerprint")
 
@@ -167,17 +224,28 @@ def refresh(index: dict[str, DataFrame], files: DataFrame, units: DataFrame, con
     """The index over changed files, and what was done to each unit: compile, keep or remove.
 
     A unit is kept if its settings, its own text and every file that it included are as they were, and no file that it
-    looked for in vain has appeared.
+    looked for in vain has appeared. Diagnostics of checks follow other units' edits: units that look up a name which is
+    declared otherwise now are checked again, they and the compiled ones alone.
     """
-    hashes = files.select("path", T.content_hash(F.col("text")).alias("hash"))
-    now = fingerprints(units, index["include_sites"], hashes, config)
+    known = index["files"].select("path", "hash", "wanted", "computed", "offered")
+    hashes = files.select("path", T.content_hash(F.col("text")).alias("hash"), F.octet_length("text").cast("long").alias("size"))
+    same = hashes.join(known, ["path", "hash"]).select("path", "hash", "size", "wanted", "computed", "offered")
+    scans = closure.cut(same.union(scanned(files.join(same.select("path"), "path", "left_anti"))))
+    now = fingerprints(units, index["include_sites"], scans, config)
     looked = index["directives"].filter("resolved = ''").select("unit", T.base_name(F.col("name")).alias("base"))
-    appeared = looked.join(files.select(T.base_name(F.col("path")).alias("base")), "base", "left_semi").select("unit").distinct()
+    appeared = looked.join(scans.select(T.base_name(F.col("path")).alias("base")), "base", "left_semi").select("unit").distinct()
     now = now.join(appeared.withColumn("again", F.lit("!")), "unit", "left").select("unit", F.concat("fingerprint", F.coalesce("again", F.lit(""))).alias("fingerprint"))
-    todo = sets.plan(now, index["units"], "unit", "fingerprint").persist()
+    todo = closure.cut(sets.plan(now, index["units"], "unit", "fingerprint"))
     changed, gone = todo.filter("action = 'compile'").select("unit"), todo.filter("action <> 'keep'").select("unit")
-    fresh = build(files, changed, config)
-    out = {n: writes.replace_by_key(index[n], fresh[n].select(*index[n].columns), ["unit"], gone) for n in TABLES}
-    out["files"] = fresh["files"]
-    out["units"] = writes.replace_by_key(index["units"], fresh["units"], ["unit"], gone)
+    fresh = closure.cut(compile_units(changed, files, scans, config))
+    rows = closure.cut(writes.replace_by_key(index["compiled"], fresh, ["unit"], gone))
+    out = tables_of(rows) | {"compiled": rows, "files": scans}
+    out["units"] = writes.replace_by_key(index["units"], fingerprints(changed, out["include_sites"], scans, config), ["unit"], gone)
+    touched = closure.cut(index["contents"].join(gone, "unit", "left_semi").select("file").union(out["contents"].join(gone, "unit", "left_semi").select("file")).distinct())
+    names = checks.changed_names(index, out, touched, gone)
+    users = index["uses"].join(names, "name", "left_semi").select("unit")
+    givers = [x["contents"].filter("gives").join(touched, "file", "left_semi").select("unit") for x in (index, out)]
+    again = closure.cut(users.union(gone).union(givers[0]).union(givers[1]).distinct())
+    out["problems"] = checks.merged(index["problems"], checks.problems(out, again, touched), again, touched)
+    out["uses"] = writes.replace_by_key(index["uses"], checks.uses({n: out[n].join(again, "unit", "left_semi") for n in ("instantiations", "calls", "type_refs", "imports")}), ["unit"], again)
     return out, todo

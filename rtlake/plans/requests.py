@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from rtlake.functions import text as T
 from rtlake.functions.code import occurrences
 from rtlake.operators import closure, lookup, spans
-from rtlake.plans.index import ERROR, INFORMATION, WARNING
+from rtlake.plans.checks import UNITS, problems
 
 Index = dict[str, DataFrame]
-UNITS = ("Module", "Interface", "Program", "Checker")
 ROUTINES = ("Function", "Task", "Constructor")
 HIDDEN = ("Block", "Constructor")
 
@@ -186,64 +185,6 @@ def signature(index: Index, callee: str, qualifier: str = "") -> DataFrame:
     return both.select("name", "scope", "file", F.concat("name", F.lit("("), F.array_join("parameters", ", "), F.lit(")")).alias("label"), "parameters")
 
 
-def _diagnostic(rows: DataFrame, severity: Column | int, source: str, subject: str, message: Column) -> DataFrame:
-    severity = severity if isinstance(severity, Column) else F.lit(severity)
-    col = F.col("col") if "col" in rows.columns else F.lit(0)
-    return rows.select("file", "line", col.alias("col"), F.lit(0).alias("end_col"), severity.alias("severity"), F.lit(source).alias("source"), F.col(subject).alias("subject"), message.alias("message"))
-
-
-def check_instances(index: Index) -> DataFrame:
-    """Instances of design units that nothing declares: errors, or warnings inside conditional generates."""
-    declared = index["symbols"].filter(F.col("kind").isin(*UNITS)).select(F.col("name").alias("type_name"))
-    missing = index["instantiations"].join(declared, "type_name", "left_anti")
-    return _diagnostic(missing, F.when(F.col("conditional"), WARNING).otherwise(ERROR), "instances", "type_name", F.concat(F.lit("unknown design unit "), "type_name"))
-
-
-def check_imports(index: Index) -> DataFrame:
-    """Imports of unknown packages, and of names that a package doesn't provide, itself or by export."""
-    packages = index["symbols"].filter("kind = 'Package'").select(F.col("name").alias("package")).distinct()
-    asked = index["imports"].filter("pkg_name <> '*'")
-    unknown = asked.join(packages.select(F.col("package").alias("pkg_name")), "pkg_name", "left_anti")
-    exports = index["imports"].filter("is_export").select(F.col("scope").alias("package"), F.col("pkg_name").alias("source"), "item")
-    own = index["symbols"].filter("scope <> '' AND instr(scope, '::') = 0").select(F.col("scope").alias("package"), "name").distinct()
-    given = closure.provided(exports, own, packages).select(F.col("package").alias("pkg_name"), F.col("name").alias("item"))
-    known = asked.filter("item <> '*'").join(packages.select(F.col("package").alias("pkg_name")), "pkg_name", "left_semi")
-    lacking = known.join(given, ["pkg_name", "item"], "left_anti")
-    first = _diagnostic(unknown, ERROR, "imports", "pkg_name", F.concat(F.lit("unknown package "), "pkg_name"))
-    return first.union(_diagnostic(lacking, ERROR, "imports", "item", F.concat(F.lit("package "), "pkg_name", F.lit(" doesn't provide "), "item")))
-
-
-def check_calls(index: Index) -> DataFrame:
-    """Calls, by names that one routine has, which leave out an argument without a default."""
-    routines = index["symbols"].filter(F.col("kind").isin("Function", "Task")).select(F.col("name").alias("callee"), F.concat_ws("::", F.nullif("scope", F.lit("")), "name").alias("inner"))
-    single = routines.groupBy("callee").agg(F.min("inner").alias("inner"), F.countDistinct("inner").alias("n")).filter("n = 1").drop("n")
-    ports = index["symbols"].filter("kind = 'Parameter'").select(F.col("scope").alias("inner"), "name", F.contains("detail", F.lit("\x1f")).alias("has_default"), (F.col("line") * 10_000 + F.col("col")).alias("nth"))
-    cut = lookup.cut_at_first_repeat(ports, ["inner"], "nth", "name")
-    listed = cut.groupBy("inner").agg(F.sort_array(F.collect_list(F.struct("nth", "name", "has_default"))).alias("ports"))
-    calls = index["calls"].join(single, "callee").join(listed, "inner")
-    named = F.transform(F.filter("args", lambda a: a["kind"] == "named"), lambda a: a["name"])
-
-    def lacks(p: Column, i: Column) -> Column:
-        slot = F.get("args", i)
-        return ~p["has_default"] & ~(F.coalesce(slot["kind"] == "positional", F.lit(False)) | F.array_contains(named, p["name"]))
-
-    missing = calls.withColumn("missing", F.transform(F.filter("ports", lacks), lambda p: p["name"])).filter(F.size("missing") > 0)
-    return _diagnostic(missing, ERROR, "calls", "callee", F.concat(F.lit("call of "), "callee", F.lit(" lacks "), F.array_join("missing", ", ")))
-
-
-def check_types(index: Index) -> DataFrame:
-    """References to types that nothing declares."""
-    kinds = ("Class", "Typedef", "Interface", "TypeParameter", "Covergroup", "Checker", "Module", "Program")
-    declared = index["symbols"].filter(F.col("kind").isin(*kinds)).select("name").distinct()
-    return _diagnostic(index["type_refs"].join(declared, "name", "left_anti"), WARNING, "types", "name", F.concat(F.lit("unknown type "), "name"))
-
-
-def check_scopes(index: Index) -> DataFrame:
-    """Files that more than one file includes (information)."""
-    often = index["include_sites"].groupBy("file").agg(F.countDistinct("includer").alias("n")).filter("n > 1")
-    return _diagnostic(often.withColumn("line", F.lit(1)), INFORMATION, "includes", "file", F.concat(F.lit("included by "), F.col("n").cast("string"), F.lit(" files")))
-
-
 def checks(index: Index) -> DataFrame:
     """All checks' diagnostics in one table."""
-    return check_instances(index).union(check_imports(index)).union(check_calls(index)).union(check_types(index)).union(check_scopes(index))
+    return problems(index).drop("unit")

@@ -1,79 +1,160 @@
-"""What a name means where it stands: scopes around a position, receivers such as ``a.b[0].c``, types, override families.
+"""What names mean where they stand, for any number of places at once, as joins over the tables of an index.
 
-A question looks at a handful of rows: each step is a filter on scope or name, which reaches the scan, and a row or none.
+A place asks for a name from its innermost scope. What it may see are arms of a union: its own scopes, what classes around
+it inherit, what is imported there, and other files' top level. Each arm is an equi-join on scope and name that says how near a
+row is; one aggregate keeps the nearest. Chains such as ``a.b[0].c`` go on segment by segment, for all places in one join a
+round: the type of what was found is an owner, whose members are the rows of its scopes.
+
+Nothing is resolved row by row or on the driver: there are as many rounds as the longest chain has segments.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rtlake.functions import names
 from rtlake.functions import text as T
-from rtlake.functions.code import occurrences
-from rtlake.plans import requests
-from rtlake.plans.requests import ROUTINES, UNITS, Index
+from rtlake.functions.code import NAME, blanked
+from rtlake.operators import closure, spans
+from rtlake.plans.checks import UNITS, path
+from rtlake.plans.requests import ROUTINES, Index, is_forward
 
 VIEWS = ("Modport", "Clocking")
 VALUES = ("Variable", "Net", "Port", "Parameter", "Member", "Instance", "EnumLiteral", "Genvar")
-#: Typedefs that are followed one after the other.
-TYPE_DEPTH = 16
-
-
-@dataclass(frozen=True)
-class Place:
-    file: str
-    line: int
-    col: int
-
-
-@dataclass(frozen=True)
-class Segment:
-    """A part of a chain: a name, whether it is called, and how many index groups follow."""
-
-    name: str
-    call: bool = False
-    depth: int = 0
-
-
-@dataclass(frozen=True)
-class Typed:
-    """What a value is: the row whose members it has, or the text of a type that has none here."""
-
-    owner: Row | None = None
-    builtin: str = ""
-
+TYPES = ("Class", "Interface", "Typedef", "TypeParameter", *VIEWS)
+#: Kinds that have members of their own, and kinds that count only from where they are declared on.
+OWNERS, ORDERED = ("Class", "Interface", *VIEWS), ("Variable", "Net", "Parameter", "Genvar", "Typedef")
+#: Doublings by which aliases of types are followed: 32 one after the other.
+ALIAS_ROUNDS = 5
+#: A declaration by its place and name, as columns of whatever refers to it.
+KEY, DECLARED = ("file", "line", "col", "name"), ("d_file", "d_line", "d_col", "d_name")
+#: A place that asks: its number, where it is, the name, what precedes it, and whether it is called.
+OCCURRENCE = "file string, line int, col int, name string, chain array<struct<name: string, call: boolean, depth: int>>, qualifier string, call boolean"
+
+
+def declared() -> list[Column]:
+    """A row's key under the names of ``DECLARED``."""
+    return [F.col(c).alias(d) for c, d in zip(KEY, DECLARED, strict=True)]
+
+
+# Places
+
+
+def segments_before(plain: str, at: int) -> list[tuple[str, bool, int]]:
+    """The chain that ends before the dot at ``at``: of each part its name, whether it is called, and how many index groups follow it."""
+    out, i = [], at
+    while True:
+        i = len(plain[:i].rstrip())
+        if not i or plain[i - 1] != ".":
+            return out[::-1]
+        found = segment_at(plain, len(plain[: i - 1].rstrip()))
+        if found is None:
+            return []
+        out.append(found[:3])
+        i = found[3]
+
+
+def segment_at(plain: str, end: int) -> tuple[str, bool, int, int] | None:
+    """The part of a chain that ends at an offset, and where it begins."""
+    depth, call, i = 0, False, end
+    while i and plain[i - 1] in ")]":
+        close, level = plain[i - 1], 0
+        while i:
+            level += (plain[i - 1] == close) - (plain[i - 1] == {")": "(", "]": "["}[close])
+            i -= 1
+            if not level:
+                break
+        call, depth = call or close == ")", depth + (close == "]")
+        i = len(plain[:i].rstrip())
+    begin = i
+    while begin and (plain[begin - 1].isalnum() or plain[begin - 1] in "_$"):
+        begin -= 1
+    return (plain[begin:i], call, depth, begin) if begin < i and not plain[begin].isdigit() else None
+
+
+def asked_in(text: str, wanted: set[str] | None = None) -> Iterator[tuple]:
+    """(line, col, name, chain, qualifier, call) of the identifiers of a text, those ``wanted`` or all.
+
+    ``new`` without a receiver has as its chain what it is assigned to.
+    """
+    plain = blanked(text)
+    starts = [0, *(m.end() for m in re.finditer("\n", plain))]
+    for m in NAME.finditer(plain):
+        if (wanted is not None and m[0] not in wanted) or (m.start() and plain[m.start() - 1] in "`$0123456789"):
+            continue
+        line = bisect_right(starts, m.start())
+        window = max(0, m.start() - 4_000)  # a receiver is shorter than that
+        before = plain[window : m.start()].rstrip()
+        chain, qualifier = [], ""
+        if before.endswith("."):
+            chain = segments_before(before, len(before)) or [("", False, 0)]
+        elif before.endswith("::"):
+            found = re.search(r"[A-Za-z_][\w$]*(?:\s*::\s*[A-Za-z_][\w$]*)*(?=\s*::\Z)", before)
+            qualifier = re.sub(r"\s", "", found[0]) if found else ""
+        elif m[0] == "new" and before.endswith("=") and not before.endswith("=="):
+            end = len(before.rstrip("<=").rstrip())
+            last = segment_at(before, end)
+            chain = [*segments_before(before, last[3]), last[:3]] if last else []
+        yield line, m.start() - starts[line - 1], m[0], chain, qualifier, plain[m.end() : m.end() + 80].lstrip().startswith("(")
+
+
+def occurrences(files: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """Identifiers of ``files`` (path, text) outside comments and strings, as ``OCCURRENCE``; those ``wanted`` or all."""
+    few = set(wanted) if wanted is not None else None
 
-def path_of(row: Row) -> str:
-    return f"{row['scope']}::{row['name']}" if row["scope"] else row["name"]
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = pa.list_(pa.struct([("name", pa.string()), ("call", pa.bool_()), ("depth", pa.int32())]))
+        types = (pa.string(), pa.int32(), pa.int32(), pa.string(), chain, pa.string(), pa.bool_())
+        for b in batches:
+            for file, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
+                rows = [(file, line, col, name, [dict(zip(("name", "call", "depth"), s, strict=True)) for s in segs], q, call) for line, col, name, segs, q, call in asked_in(text or "", few)]
+                columns = list(zip(*rows, strict=True)) or [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["file", "line", "col", "name", "chain", "qualifier", "call"])
 
+    held = files.filter(F.arrays_overlap(F.lit(wanted), T.words(F.col("text")))) if wanted else files
+    return held.select("path", "text").mapInArrow(find, OCCURRENCE)
 
-def in_scope(index: Index, scope: str, name: str | None = None) -> DataFrame:
-    found = index["symbols"].filter(F.col("scope") == scope)
-    return found if name is None else found.filter(F.col("name") == name)
 
+def include_context(index: Index) -> DataFrame:
+    """(file, scope): the scope in which a file is read, where its first include site stands; empty at the top.
 
-def earliest(rows: DataFrame) -> Row | None:
-    return rows.orderBy("line", "col", "file").first()
+    Sites that stand in no scope of their own file are read in that of the file's own site: chains of includes are
+    followed by doubling.
+    """
+    first = Window.partitionBy("file").orderBy("includer", "line", "col")
+    sites = index["include_sites"].filter("includer <> ''").withColumn("n", F.row_number().over(first)).filter("n = 1").select("file", F.col("includer").alias("up"), "line", "col")
+    inside = innermost(index, sites.select(F.col("file").alias("q"), F.col("up").alias("file"), "line", "col"))
+    out = closure.cut(sites.select("file", "up").join(inside.select(F.col("q").alias("file"), "scope"), "file", "left"))
+    for _ in range(6):
+        if out.filter("scope IS NULL AND up IS NOT NULL").isEmpty():
+            break
+        above = out.select(F.col("file").alias("up"), F.col("scope").alias("s"), F.col("up").alias("upper"))
+        out = closure.cut(out.join(above, "up", "left").select("file", F.coalesce("scope", "s").alias("scope"), F.when(F.coalesce("scope", "s").isNull(), F.col("upper")).alias("up")))
+    return out.select("file", F.coalesce("scope", F.lit("")).alias("scope"))
 
 
-def is_package(index: Index, scope: str) -> bool:
-    return not in_scope(index, "", scope).filter("kind = 'Package'").isEmpty()
+def innermost(index: Index, places: DataFrame) -> DataFrame:
+    """(q, scope, kind) of places (q, file, line, col) that lie in a scope of their file."""
+    held = index["symbols"].filter("end_line > 0").select("file", "line", "col", "end_line", "end_col", "kind", path().alias("scope")).distinct()
+    at = lambda line, col: F.array(F.col(line).cast("long"), col.cast("long"))
+    end = F.when(F.col("end_col") == 0, 1 << 40).otherwise(F.col("end_col"))
+    return spans.innermost(places, held, ["file"], at("line", F.col("col")), at("line", F.col("col")), at("end_line", end), ["q"], ["scope", "kind"])
 
 
-def package_file(index: Index, package: str) -> str | None:
-    """The file that declares a package, the first by path."""
-    found = in_scope(index, "", package).filter("kind = 'Package'").agg(F.min("file").alias("file")).first()
-    return found["file"]
+def placed(index: Index, places: DataFrame) -> DataFrame:
+    """``places`` (q, file, line, col, ...) with ``scope``, the innermost around each: of its own file, else that in which the file is read."""
+    own = innermost(index, places.select("q", "file", "line", "col")).select("q", F.col("scope").alias("own"))
+    context = include_context(index).select("file", F.col("scope").alias("outer"))
+    return places.join(own, "q", "left").join(context, "file", "left").withColumn("scope", F.coalesce("own", "outer", F.lit(""))).drop("own", "outer")
 
 
-def include_context(index: Index, file: str) -> Row | None:
-    """The first site that includes a file."""
-    return index["sites"].filter(F.col("file") == file).orderBy("includer", "line", "col").first()
+# Units
 
 
 def unit_primary(sites: DataFrame, files: DataFrame) -> DataFrame:
@@ -88,301 +169,202 @@ def unit_primary(sites: DataFrame, files: DataFrame) -> DataFrame:
         step = at.join(first.select(F.col("file").alias("primary"), "up"), "primary", "left")
         done = F.col("done") | F.col("up").isNull() | F.array_contains("seen", F.col("up"))
         at = step.select("file", F.when(done, F.col("primary")).otherwise(F.col("up")).alias("primary"), F.when(done, F.col("seen")).otherwise(F.array_append("seen", F.col("up"))).alias("seen"), done.alias("done"))
+        at = closure.cut(at)
         if at.filter("NOT done").isEmpty():
-            break
-    return at.select("file", "primary")
-
-
-def enclosing_classes(index: Index, at: Place) -> list[str]:
-    """Scopes of the classes around a position, innermost first, also from a body that lies outside its class."""
-    chain = [s for s in requests.chain_of(index, at.file, at.line, at.col) if s]
-    path = F.concat_ws("::", F.nullif("scope", F.lit("")), "name")
-    known = {r["path"] for r in index["symbols"].filter((F.col("kind") == "Class") & path.isin(chain)).select(path.alias("path")).distinct().collect()}
-    return [s for s in chain if s in known]
-
-
-def enclosing_class(index: Index, at: Place) -> Row | None:
-    found = enclosing_classes(index, at)
-    return class_row(index, found[0]) if found else None
-
-
-def class_row(index: Index, scope: str) -> Row | None:
-    parent, _, name = scope.rpartition("::")
-    return earliest(in_scope(index, parent, name).filter("kind = 'Class'"))
-
-
-def enclosing_routine(index: Index, at: Place) -> Row | None:
-    """The function, task or constructor around a position."""
-    for scope in requests.chain_of(index, at.file, at.line, at.col):
-        parent, _, name = scope.rpartition("::")
-        row = earliest(in_scope(index, parent, name).filter(F.col("kind").isin(*ROUTINES))) if name else None
-        if row is not None:
-            return row
-    return None
-
-
-def chain_rows(index: Index, row: Row) -> list[Row]:
-    """A class and those it extends, nearest first."""
-    out, seen = [row], {path_of(row)}
-    while out[-1]["detail"]:
-        parent = resolve_type(index, out[-1]["detail"], Place(out[-1]["file"], out[-1]["line"], out[-1]["col"]))
-        if parent is None or parent["kind"] != "Class" or path_of(parent) in seen:
-            break
-        seen.add(path_of(parent))
-        out.append(parent)
-    return out
-
-
-def constructor(index: Index, class_scope: str) -> Row | None:
-    """The constructor that a class itself declares; an ancestor's is none of its own."""
-    return earliest(in_scope(index, class_scope, "new").filter(F.col("kind").isin(*ROUTINES)))
-
-
-def has_members(index: Index, row: Row) -> bool:
-    return not in_scope(index, path_of(row)).filter("kind = 'Member'").isEmpty()
-
-
-def packages_seen(index: Index, name: str, file: str, scopes: Sequence[str]) -> list[str]:
-    """Packages from which a name comes into ``scopes`` of a file: imported ones, and those that these export in turn."""
-    given = F.col("item").isin("*", name)
-    own = index["imports"].filter((F.col("file") == file) & F.col("scope").isin(list(scopes)) & ~F.col("is_export") & given)
-    seen = frontier = sorted({r["pkg_name"] for r in own.select("pkg_name").collect()})
-    while frontier:  # a step a round, by packages that one position imports
-        more = index["imports"].filter(F.col("is_export") & F.col("scope").isin(frontier) & given).select("pkg_name").distinct().collect()
-        frontier = sorted({r["pkg_name"] for r in more} - set(seen))
-        seen = seen + frontier
-    return seen
-
-
-def bare(index: Index, name: str, at: Place, prefer: Sequence[str] = (), inherited: bool = True) -> Row | None:
-    """What a name alone means at a place: scopes around it, those of its class's ancestors, imports, other files' top level.
-
-    Rows of ``prefer`` kinds come first, then the nearest, then no forward typedefs.
-    """
-    scopes = requests.chain_of(index, at.file, at.line, at.col)
-    rank, kind, scope = F.lit(None).cast("int"), F.col("kind"), F.col("scope")
-    later = kind.isin("Variable", "Net", "Parameter", "Genvar", "Typedef") & (F.col("line") > at.line) & (scope != "")
-    near = [((F.col("file") == at.file) & (scope == s) & ~later, 100 * i) for i, s in enumerate(scopes)]
-    if inherited:
-        for s in enclosing_classes(index, at):
-            own = class_row(index, s)
-            near += [(scope == path_of(row), 100 * scopes.index(s) + k) for k, row in enumerate(chain_rows(index, own) if own else []) if k]
-    packages = packages_seen(index, name, at.file, scopes)
-    near += [(scope.isin(packages), 100 * len(scopes))] if packages else []
-    near += [((scope == "") & (F.col("file") != at.file), 100 * len(scopes) + 1)]
-    for found, level in sorted(near, key=lambda x: -x[1]):
-        rank = F.when(found, level).otherwise(rank)
-    rows = index["symbols"].filter(F.col("name") == name).withColumn("__rank", rank).filter("__rank IS NOT NULL")
-    order = [(~kind.isin(list(prefer))).cast("int")] if prefer else []
-    return rows.orderBy(*order, requests.is_forward(kind, F.col("detail")).cast("int"), "__rank", "file", "line", "col").drop("__rank").first()
-
-
-def _preferred(rows: DataFrame, call: bool) -> Row | None:
-    kinds = ROUTINES if call else (*VALUES, "Block", *VIEWS)
-    return rows.withColumn("__other", (~F.col("kind").isin(*kinds)).cast("int")).orderBy("__other", "line", "col", "file").drop("__other").first()
-
-
-def member(index: Index, scope: str, name: str, call: bool = False) -> Row | None:
-    """A member of a scope; of a class, the nearest in its chain, local ones of ancestors left out."""
-    owner = class_row(index, scope)
-    for k, row in enumerate(chain_rows(index, owner) if owner else [None]):
-        rows = in_scope(index, path_of(row) if row else scope, name)
-        found = _preferred(rows.filter(F.coalesce(F.col("access"), F.lit("")) != "local") if k else rows, call)
-        if found is not None:
-            return found
-    return None
-
-
-def member_of(index: Index, owner: Row, name: str, call: bool = False) -> Row | None:
-    """A member of a value's owner; a view has those it lists, as its interface or module declares them."""
-    if owner["kind"] not in VIEWS:
-        return member(index, path_of(owner), name, call)
-    listed = [x.strip() for x in (owner["detail"] or "").split(",")]
-    return _preferred(in_scope(index, owner["scope"], name), call) if name in listed else None
-
-
-def root_member(index: Index, name: str) -> Row | None:
-    """A design unit at the top, as ``$root`` names it."""
-    return earliest(in_scope(index, "", name).filter(F.col("kind").isin(*UNITS)))
-
-
-def class_in_scope(index: Index, scope: str, name: str) -> Row | None:
-    """The class that a name in a scope means, itself or through typedefs."""
-    found = earliest(in_scope(index, scope, name).filter("kind = 'Class'"))
-    if found is None:
-        alias = earliest(in_scope(index, scope, name).filter("kind = 'Typedef'").filter(~requests.is_forward(F.col("kind"), F.col("detail"))))
-        found = resolve_type(index, alias["detail"], Place(alias["file"], alias["line"], alias["col"])) if alias else None
-    return found
-
-
-def resolve_type(index: Index, type_text: str, at: Place, depth: int = TYPE_DEPTH) -> Row | None:
-    """The class, interface, view or struct that a type names at a place; typedefs are followed where they stand.
-
-    A name that scope rules don't find counts if one file alone declares it.
-    """
-    name = type_text.split("#")[0].strip()
-    if not name or depth == 0:
-        return None
-    if "." in name:  # an interface's view
-        unit, _, view = name.partition(".")
-        return earliest(in_scope(index, unit, view).filter(F.col("kind").isin(*VIEWS)))
-    qualifier, _, name = name.rpartition("::")
-    types = ("Class", "Interface", "Typedef", "TypeParameter", *VIEWS)
-    if qualifier:
-        inside = (F.col("scope") == qualifier) | F.col("scope").endswith("::" + qualifier)
-        row = earliest(index["symbols"].filter((F.col("name") == name) & inside & F.col("kind").isin(*types)))
-    else:
-        row = bare(index, name, at, types, inherited=False)
-        row = row if row is not None and row["kind"] in types else None
-    if row is None:
-        named = index["symbols"].filter((F.col("name") == name) & F.col("kind").isin("Class", "Interface")).limit(2).collect()
-        row = named[0] if len(named) == 1 else None
-    if row is None or row["kind"] in ("Class", "Interface", *VIEWS):
-        return row
-    if row["kind"] == "Typedef" and has_members(index, row):
-        return row
-    return resolve_type(index, row["detail"] or "", Place(row["file"], row["line"], row["col"]), depth - 1)
-
-
-def type_of(index: Index, row: Row, depth: int = 0) -> Typed:
-    """The type of a row's value after ``depth`` index groups, resolved where the row is declared."""
-    kind = row["kind"]
-    if kind == "Block" or kind in VIEWS or (kind in UNITS and not depth):
-        return Typed(row)
-    if kind not in VALUES and not (kind in ROUTINES and not depth):
-        return Typed()
-    one = index["symbols"].sparkSession.createDataFrame([(row["detail"] or "",)], "detail string")
-    own = names.value_type(F.col("detail")) if kind == "Port" else F.col("detail")
-    layers = one.select(T.type_layers(own).alias("layers"), T.peel(own, depth).alias("type")).first()
-    if not layers["type"]:
-        return Typed(row) if kind != "Instance" and has_members(index, row) else Typed()
-    if ":" in layers["type"].replace("::", "") or layers["type"].startswith("$"):
-        return Typed(None, layers["type"])
-    owner = resolve_type(index, layers["type"], Place(row["file"], row["line"], row["col"]))
-    if owner is None and kind == "Instance":
-        owner = root_member(index, layers["type"])
-    return Typed(owner) if owner is not None else Typed(None, layers["type"])
-
-
-def receiver_type(index: Index, segments: Sequence[Segment], at: Place) -> Typed | None:
-    """The type of the value a chain stands for; None where a part means nothing."""
-    if not segments:
-        return None
-    first, found = segments[0], None
-    plain = not first.call and not first.depth
-    if plain and first.name == "this":
-        found = Typed(enclosing_class(index, at))
-    elif plain and first.name == "$root":
-        found = Typed(None, "$root")
-    elif plain and first.name == "super":
-        own = enclosing_class(index, at)
-        chain = chain_rows(index, own) if own else []
-        if len(chain) < 2:
-            return None
-        found = Typed(chain[1])
-    else:
-        row = bare(index, first.name, at, ROUTINES if first.call else (*VALUES, "Block", *VIEWS))
-        if row is None:
-            return None
-        found = type_of(index, row, first.depth)
-    for s in segments[1:]:
-        if found.builtin == "$root" and not s.call:
-            row = root_member(index, s.name)
-        else:
-            row = member_of(index, found.owner, s.name, s.call) if found.owner is not None else None
-        if row is None:
-            return None
-        found = type_of(index, row, s.depth)
-    return found if found.owner is not None or found.builtin else None
-
-
-def resolve_member(index: Index, segments: Sequence[Segment], name: str, at: Place, call: bool = False) -> Row | None:
-    """The declaration of ``name`` behind a receiver."""
-    found = receiver_type(index, segments, at)
-    if found is None:
-        return None
-    return root_member(index, name) if found.builtin == "$root" else member_of(index, found.owner, name, call) if found.owner is not None else None
-
-
-def is_super_in_constructor(index: Index, segments: Sequence[Segment], at: Place) -> bool:
-    row = enclosing_routine(index, at)
-    return list(segments) == [Segment("super")] and row is not None and row["name"] == "new"
-
-
-def new_candidate(index: Index, parent: str) -> tuple[str, str]:
-    """``new`` behind ``super.``: the name and the detail of the parent's own constructor, or of the one that every class has."""
-    row = constructor(index, parent)
-    return "new", (row["detail"] or "") if row else ""
-
-
-def family_root(index: Index, row: Row) -> Row:
-    """The topmost method that a method overrides; constructors are never overridden."""
-    if row["kind"] not in ROUTINES:
-        return row
-    if row["name"] == "new":
-        return constructor(index, row["scope"]) or row
-    own = class_row(index, row["scope"])
-    for ancestor in chain_rows(index, own)[1:] if own else []:
-        row = earliest(in_scope(index, path_of(ancestor), row["name"]).filter(F.col("kind").isin(*ROUTINES))) or row
-    return row
-
-
-def connection_owner(index: Index, callee: str, at: Place) -> Row | None:
-    """The unit or routine whose ports a named connection behind ``callee`` means."""
-    rows = requests.definition(index, at.file, at.line, at.col, callee).filter(F.col("kind").isin(*UNITS, *ROUTINES, "Instance"))
-    row = rows.first()
-    return root_member(index, row["detail"]) if row is not None and row["kind"] == "Instance" else row
-
-
-def argument_type(index: Index, callee: Row, slot: int | str) -> Row | None:
-    """The type's row of an argument by place (from 0) or name."""
-    ports = in_scope(index, path_of(callee)).filter("kind = 'Port' OR kind = 'Parameter' AND line >= 0").orderBy("line", "col")
-    row = ports.filter(F.col("name") == slot).first() if isinstance(slot, str) else next(iter(ports.collect()[slot : slot + 1]), None)
-    return type_of(index, row).owner if row is not None else None
-
-
-def meant_occurrences(index: Index, files: DataFrame, target: Row) -> DataFrame:
-    """(file, line, col) of occurrences of a name that mean ``target`` or, for a method, one of its override family.
-
-    Decoys of the same name drop out: each occurrence, few after the filter on text, is resolved where it stands, with the
-    receiver before it.
-    """
-    name, root = target["name"], family_root(index, target)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from rtlake.functions.code import receiver
-
-        for b in batches:
-            rows = []
-            for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
-                starts = [0]
-                for line in text.split("\n"):
-                    starts.append(starts[-1] + len(line) + 1)
-                for _, line, col in occurrences(text, name):
-                    before = text[: starts[line - 1] + col].rstrip()
-                    rows.append((path, line, col, receiver(text, len(before)) if before.endswith(".") else [], before.endswith(".")))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            types = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "line", "col", "chain", "dotted"])
-
-    found = files.filter(F.contains("text", F.lit(name))).select("path", "text").mapInArrow(find, "file string, line int, col int, chain array<string>, dotted boolean")
-    kept = []
-    for r in found.toLocalIterator():  # occurrences of one name
-        at = Place(r["file"], r["line"], r["col"])
-        own = index["symbols"].filter((F.col("file") == at.file) & (F.col("line") == at.line) & (F.col("col") == at.col) & (F.col("name") == name)).first()
-        if own is not None:
-            row = own
-        elif r["dotted"]:
-            row = resolve_member(index, [Segment(n) for n in r["chain"]], name, at, call=target["kind"] in ROUTINES)
-        else:
-            row = bare(index, name, at)
-        if row is not None and _same(family_root(index, row), root):
-            kept.append((at.file, at.line, at.col))
-    return index["symbols"].sparkSession.createDataFrame(kept, "file string, line int, col int")
-
-
-def _same(a: Row, b: Row) -> bool:
-    return all(a[c] == b[c] for c in ("file", "line", "col", "name"))
+            return at.select("file", "primary")
+    raise RuntimeError("includes are more than 64 deep")
+
+
+# Meanings
+
+
+class Model:
+    """What questions about one index share, stored: rows by scope and name, packages' providers, types of values, lineage, owners' scopes."""
+
+    def __init__(self, index: Index):
+        self.index = index
+        columns = ("file", "line", "col", "name", "kind", "scope", "detail", "access")
+        self.rows = closure.cut(index["symbols"].select(*columns, path().alias("path"), is_forward(F.col("kind"), F.col("detail")).cast("int").alias("forward")))
+        exports = index["imports"].filter("is_export AND item = '*'").select(F.col("scope").alias("src"), F.col("pkg_name").alias("dst"))
+        imported = index["imports"].filter("pkg_name <> '*'").select(F.col("pkg_name").alias("root")).distinct()
+        self.providers = closure.cut(closure.reach(exports, imported).select(F.col("root").alias("pkg_name"), F.col("node").alias("provider")))
+        self.sees = closure.cut(self._sees())
+        imports = index["imports"].filter("NOT is_export").select("file", "scope", "pkg_name", "item").distinct()
+        self.given = closure.cut(imports.join(self.sees, "file").select("a_file", "scope", "pkg_name", "item").distinct())
+        self.lineage = self.owners = None
+        self.types = closure.cut(self._types())
+        parents = self.rows.filter("kind = 'Class'").join(self.types.filter("t_kind = 'Class'"), [F.col(a) == F.col(b) for a, b in zip(KEY, DECLARED, strict=True)])
+        self.lineage = closure.lineage(parents.select(F.col("path").alias("node"), F.col("t_path").alias("parent")))
+        self.owners = closure.cut(self._owners())
+
+    def _sees(self) -> DataFrame:
+        """(a_file, file): a file and those compiled with it, in its own unit or in that by which it is read first."""
+        files = self.index["contents"].select("file").distinct()
+        units = unit_primary(self.index["include_sites"], files).select(F.col("file").alias("a_file"), F.col("primary").alias("unit"))
+        return units.join(self.index["contents"].select("unit", "file"), "unit").select("a_file", "file").union(files.select("file", "file")).distinct()
+
+    def _owners(self) -> DataFrame:
+        """(owner, within, away, only): the scopes that an owner has members of, nearest first, and the names that alone it shows of them."""
+        every, none = self.rows.select(F.col("path").alias("owner")).distinct(), F.lit(None).cast("array<string>")
+        views = self.rows.filter(F.col("kind").isin(*VIEWS)).select(F.col("path").alias("owner"), F.col("scope").alias("within"), F.lit(0).alias("away"), F.transform(F.split("detail", ","), lambda x: F.trim(x)).alias("only"))
+        classes = self.lineage.select(F.col("node").alias("owner"), F.col("ancestor").alias("within"), F.col("depth").alias("away"), none.alias("only"))
+        known = views.select("owner").union(classes.select("owner")).distinct()
+        rest = every.join(known, "owner", "left_anti").select("owner", F.col("owner").alias("within"), F.lit(0).alias("away"), none.alias("only"))
+        root = self.rows.sparkSession.range(1).select(F.lit("$root").alias("owner"), F.lit("").alias("within"), F.lit(0).alias("away"), none.alias("only"))
+        return views.union(classes).union(rest).union(root)
+
+    def _types(self) -> DataFrame:
+        """Of each declaration that has a type: ``DECLARED``, ``layers`` of containers around it, and the type's row by t_kind and t_path.
+
+        Types are looked up where they are written. Aliases are followed by doubling; a struct is its own type.
+        """
+        detail = F.when(F.col("kind") == "Port", names.value_type(F.col("detail"))).otherwise(F.col("detail"))
+        layers = T.type_layers(F.coalesce(detail, F.lit("")))
+        typed = self.rows.filter(F.col("kind").isin(*VALUES, *ROUTINES, "Typedef", "TypeParameter", "Class") & (F.col("forward") == 0))
+        parts = typed.withColumns({"layers": F.size(layers) - 1, "written": F.trim(F.split_part(F.element_at(layers, -1), F.lit("#"), F.lit(1)))})
+        unit, view = F.split_part("written", F.lit("."), F.lit(1)), F.split_part("written", F.lit("."), F.lit(2))
+        asks = parts.filter("written <> ''").select(
+            F.struct(*declared()).alias("q"), "file", "line", "scope", "kind", "path", "layers",
+            F.when(view != "", view).otherwise(T.scope_tail(unit)).alias("name"), F.when(view != "", unit).otherwise(T.scope_parent(unit)).alias("qualifier"),
+        )
+        asks = closure.cut(asks)
+        kinds = F.col("kind").isin(*TYPES, *UNITS)
+        bare = self.bare(asks.filter("qualifier = ''").select("q", "file", "line", "scope", "name", F.lit("type").alias("want")), self.rows.filter(kinds), inherited=False)
+        named = self.qualified(asks.filter("qualifier <> ''").select("q", "qualifier", "name"), self.rows.filter(kinds))
+        found = closure.cut(bare.union(named))
+        alone = self.rows.filter(F.col("kind").isin("Class", "Interface")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("file", "line", "col", "name", "kind", "path")).alias("r")).filter("n = 1").select("name", "r")
+        rest = asks.join(found.select("q"), "q", "left_anti").join(alone, "name").select("q", "r.*")
+        first = found.union(rest.select(*found.columns)).select("q", F.struct(*declared()).alias("to"), F.col("kind").alias("t_kind"), F.col("path").alias("t_path"))
+        structs = self.rows.filter("kind = 'Member'").select(F.col("scope").alias("t_path")).distinct().withColumn("struct", F.lit(True))
+        at = closure.cut(first.join(structs, "t_path", "left").withColumn("ends", F.coalesce("struct", F.lit(False)) | F.col("t_kind").isin(*OWNERS, *UNITS)).drop("struct"))
+        alias = closure.cut(at.join(self.rows.filter("kind IN ('Typedef', 'TypeParameter')").select(F.struct(*declared()).alias("q")), "q", "left_semi"))
+        for _ in range(ALIAS_ROUNDS):
+            if at.filter("NOT ends").isEmpty():
+                break
+            step = alias.select(F.col("q").alias("to"), F.col("to").alias("to2"), F.col("t_kind").alias("k2"), F.col("t_path").alias("p2"), F.col("ends").alias("e2"))
+            go = lambda df: closure.cut(df.join(step, "to", "left").select("q", F.when(F.col("ends"), F.col("to")).otherwise(F.col("to2")).alias("to"), *[F.when(F.col("ends"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("t_kind", "k2"), ("t_path", "p2"))], (F.col("ends") | F.coalesce("e2", F.lit(False))).alias("ends")))
+            at, alias = go(at), go(alias)
+        known = at.filter("ends").select("q", "t_kind", "t_path")
+        own = parts.join(structs.select(F.col("t_path").alias("path")), "path", "left_semi").select(F.struct(*declared()).alias("q"), F.col("kind").alias("t_kind"), F.col("path").alias("t_path"), "layers")
+        typed_rows = known.join(asks.select("q", "layers"), "q")
+        return typed_rows.select("q.*", "layers", "t_kind", "t_path").union(own.join(known.select("q"), "q", "left_anti").select("q.*", "layers", "t_kind", "t_path"))
+
+    def bare(self, asks: DataFrame, rows: DataFrame | None = None, inherited: bool = True) -> DataFrame:
+        """(q, file, line, col, name, kind, path) of what a name alone means to ``asks`` (q, file, line, scope, name, want).
+
+        ``want`` (value, call, type or any) says which kinds go first; then the nearest: own scopes from the inside out, at
+        each what a class there inherits; imports; other files' top level. Forward declarations go last in their turn.
+        """
+        rows = (self.rows if rows is None else rows).select("file", "line", "col", "name", "kind", "path", "scope", "access", "forward")
+        at = asks.select("q", F.col("file").alias("a_file"), F.col("line").alias("a_line"), "want", F.col("name"), F.posexplode(spans.chain(F.col("scope"))).alias("level", "scope"))
+        later = F.col("kind").isin(*ORDERED) & (F.col("line") > F.col("a_line")) & (F.col("scope") != "") & (F.col("file") == F.col("a_file"))
+        shape = lambda df, arm, away: df.select("q", "want", F.lit(arm).alias("arm"), "level", away.alias("away"), "file", "line", "col", "name", "kind", "path", "forward")
+        found = shape(at.join(rows, ["scope", "name"]).filter(~later).join(self.sees, ["a_file", "file"], "left_semi"), 0, F.lit(0))
+        if inherited and self.lineage is not None:
+            up = at.join(self.lineage.select(F.col("node").alias("scope"), "ancestor", "depth"), "scope").drop("scope").withColumnRenamed("ancestor", "scope")
+            seen = up.join(rows, ["scope", "name"]).filter((F.col("depth") > 0) & (F.coalesce("access", F.lit("")) != "local"))
+            found = found.union(shape(seen, 0, F.col("depth")))
+        offered = at.join(self.given, ["a_file", "scope"]).filter("item = '*' OR item = name").join(self.providers, "pkg_name").drop("scope").withColumnRenamed("provider", "scope")
+        found = found.union(shape(offered.join(rows, ["scope", "name"]), 1, F.lit(0)))
+        top = asks.select("q", F.col("file").alias("a_file"), "want", "name", F.lit(0).alias("level")).join(rows.filter("scope = ''"), "name").filter(F.col("file") != F.col("a_file"))
+        found = found.union(shape(top, 2, F.lit(0)))
+        kinds = {"value": (*VALUES, "Block", *VIEWS), "call": ROUTINES, "type": TYPES}
+        fits = F.lit(0)
+        for want, ks in kinds.items():
+            fits = F.when((F.col("want") == want) & ~F.col("kind").isin(*ks), 1).otherwise(fits)
+        order = F.struct(fits.alias("fits"), "forward", "arm", "level", "away", "file", "line", "col")
+        return found.groupBy("q").agg(F.min_by(F.struct("file", "line", "col", "name", "kind", "path"), order).alias("r")).select("q", "r.*")
+
+    def qualified(self, asks: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+        """(q, ...) of what ``qualifier::name`` means: a row in that scope, or in one that ends so; the first by place."""
+        rows = (self.rows if rows is None else rows).select("file", "line", "col", "name", "kind", "path", "scope")
+        whole = F.col("scope") == F.col("qualifier")
+        both = asks.join(rows, "name").filter(whole | F.col("scope").endswith(F.concat(F.lit("::"), F.col("qualifier"))))
+        order = F.struct((~whole).alias("part"), "line", "col", "file")
+        return both.groupBy("q").agg(F.min_by(F.struct("file", "line", "col", "name", "kind", "path"), order).alias("r")).select("q", "r.*")
+
+    def members(self, asks: DataFrame) -> DataFrame:
+        """(q, ...) of the members that ``asks`` (q, owner, name, call) mean: the nearest of the owner's scopes, of one scope the kind that fits a call or a value.
+
+        Local ones are the owner's own; so is a constructor; of ``$root`` only design units are members.
+        """
+        both = asks.join(self.owners, "owner").join(self.rows.withColumnRenamed("scope", "within"), ["within", "name"])
+        both = both.filter((F.col("only").isNull() | F.array_contains("only", F.col("name"))) & ((F.col("away") == 0) | ((F.coalesce("access", F.lit("")) != "local") & (F.col("name") != "new"))) & ((F.col("owner") != "$root") | F.col("kind").isin(*UNITS)))
+        fits = F.when(F.col("call"), F.col("kind").isin(*ROUTINES)).otherwise(F.col("kind").isin(*VALUES, "Block", *VIEWS))
+        order = F.struct("away", (~fits).alias("other"), "line", "col", "file")
+        return both.groupBy("q").agg(F.min_by(F.struct("file", "line", "col", "name", "kind", "path"), order).alias("r")).select("q", "r.*")
+
+    def owner_of(self, found: DataFrame) -> DataFrame:
+        """(q, owner) of rows (q, file, line, col, name, kind, path, depth): the path whose members a value has after ``depth`` index groups."""
+        itself = F.col("kind").isin("Block", *VIEWS, *UNITS) & (F.col("depth") == 0)
+        keyed = found.select("q", "kind", "path", "depth", *declared())
+        typed = keyed.join(self.types.select(*DECLARED, "layers", "t_path"), list(DECLARED), "left")
+        routine = F.col("kind").isin(*ROUTINES)
+        fits = (F.col("layers") == F.col("depth")) | (routine & (F.col("depth") == 0) & (F.col("layers") == 0))
+        return typed.select("q", F.when(itself, F.col("path")).when(fits & F.col("kind").isin(*VALUES, *ROUTINES), F.col("t_path")).alias("owner")).filter("owner IS NOT NULL")
+
+    def around(self, places: DataFrame) -> DataFrame:
+        """(q, class, parent) of the innermost class around places (q, scope), and the class that it extends."""
+        at = places.select("q", F.posexplode(spans.chain(F.col("scope"))).alias("level", "class"))
+        own = at.join(self.lineage.filter("depth = 0").select(F.col("node").alias("class")), "class").groupBy("q").agg(F.min_by("class", "level").alias("class"))
+        return own.join(self.lineage.filter("depth = 1").select(F.col("node").alias("class"), F.col("ancestor").alias("parent")), "class", "left").select("q", "class", "parent")
+
+    def receivers(self, asks: DataFrame) -> DataFrame:
+        """(q, owner) of what the chains of ``asks`` (q, file, line, scope, chain) stand for, one segment of all of them a round."""
+        asks = closure.cut(asks.select("q", "file", "line", "scope", "chain"))
+        first = F.col("chain")[0]
+        plain = ~first["call"] & (first["depth"] == 0)
+        around = self.around(asks.filter(plain & first["name"].isin("this", "super")))
+        named = asks.filter(plain & first["name"].isin("this", "super")).join(around, "q").select("q", F.when(first["name"] == "this", F.col("class")).otherwise(F.col("parent")).alias("owner"))
+        root = asks.filter(plain & (first["name"] == "$root")).select("q", F.lit("$root").alias("owner"))
+        rest = asks.filter(~(plain & first["name"].isin("this", "super", "$root")))
+        bare = self.bare(rest.select("q", "file", "line", "scope", first["name"].alias("name"), F.when(first["call"], "call").otherwise("value").alias("want")))
+        found = self.owner_of(bare.join(rest.select("q", first["depth"].alias("depth")), "q"))
+        at = closure.cut(found.union(named.filter("owner IS NOT NULL")).union(root))
+        longest = asks.agg(F.max(F.size("chain")).alias("n")).first()["n"] or 0
+        done = at.join(asks.filter(F.size("chain") == 1).select("q"), "q", "left_semi")
+        for k in range(1, longest):
+            part = F.get("chain", F.lit(k))
+            going = at.join(asks.filter(F.size("chain") > k).select("q", "chain"), "q")
+            met = self.members(going.select("q", "owner", part["name"].alias("name"), part["call"].alias("call")))
+            at = closure.cut(self.owner_of(met.join(going.select("q", part["depth"].alias("depth")), "q")))
+            done = done.union(at.join(asks.filter(F.size("chain") == k + 1).select("q"), "q", "left_semi"))
+        return done
+
+    def meanings(self, found: DataFrame) -> DataFrame:
+        """``found`` (as ``OCCURRENCE``) with ``DECLARED``, the declaration that each means, and its kind; those without any drop out.
+
+        An identifier that stands at a declaration of its name means that one.
+        """
+        asks = closure.cut(placed(self.index, found.withColumn("q", F.struct(*KEY))))
+        here = self.rows.select(F.struct(*KEY).alias("q"), "kind", "path").groupBy("q").agg(F.min(F.struct("kind", "path")).alias("r")).select("q", "q.*", "r.*")
+        own = here.join(asks.select("q"), "q", "left_semi")
+        rest = closure.cut(asks.join(own.select("q"), "q", "left_anti"))
+        dotted = rest.filter(F.size("chain") > 0)
+        through = self.members(self.receivers(dotted).join(dotted.select("q", "name", "call"), "q"))
+        named = self.qualified(rest.filter("qualifier <> ''").select("q", "qualifier", "name"))
+        alone = self.bare(rest.filter((F.size("chain") == 0) & (F.col("qualifier") == "")).select("q", "file", "line", "scope", "name", F.lit("any").alias("want")))
+        every = own.union(through).union(named).union(alone)
+        return asks.drop("scope").join(every.select("q", "kind", *declared()), "q").drop("q")
+
+    def families(self) -> DataFrame:
+        """(``DECLARED``, root): of each routine of a class, the topmost that it overrides; constructors override nothing."""
+        routines = self.rows.filter(F.col("kind").isin(*ROUTINES) & (F.col("name") != "new"))
+        own = routines.select(F.col("scope").alias("node"), *declared())
+        tops = routines.select(F.col("scope").alias("ancestor"), F.col("name").alias("d_name"), F.struct(*KEY).alias("top"))
+        both = own.join(self.lineage, "node").join(tops, ["ancestor", "d_name"])
+        return both.groupBy(*DECLARED).agg(F.min_by("top", F.struct(-F.col("depth"), F.col("top.line"), F.col("top.col"), F.col("top.file"))).alias("root"))
+
+    def meant_occurrences(self, files: DataFrame, targets: DataFrame) -> DataFrame:
+        """Occurrences, by file, line, col and name, that mean one of ``targets`` (file, line, col, name) or, for a method, one of its override family."""
+        few = [r["name"] for r in targets.select("name").distinct().limit(1_001).collect()]
+        found = self.meanings(occurrences(files, few if len(few) <= 1_000 else None))
+        root = lambda df: df.join(self.families(), list(DECLARED), "left").withColumn("root", F.coalesce("root", F.struct(*[F.col(d).alias(c) for c, d in zip(KEY, DECLARED, strict=True)])))
+        wanted = root(targets.select(*declared())).select("root").distinct()
+        return root(found).join(wanted, "root", "left_semi").select("file", "line", "col", "name")
+
+
+# Macros
 
 
 def macro_occurrences(files: DataFrame, name: str) -> DataFrame:

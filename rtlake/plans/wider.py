@@ -154,17 +154,18 @@ def _built(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
 
 @query("source_receiver", rows("chain, name, file, line", "'m.peer', 'id', '/r/a.sv', 3", "'m', 'get', '/r/a.sv', 8", "'d', 'get', '/r/b.sv', 3", "'super', 'get', '/r/a.sv', 4", "'this', 'peer', '/r/a.sv', 7"))
 def source_receiver(t: Tables) -> DataFrame:
-    found, (built, _) = [], _built(t)
-    inside, outside = resolve.Place("/r/a.sv", 8, 40), resolve.Place("/r/c.sv", 7, 8)
-    for chain, name, call, at in (("m.peer", "id", False, outside), ("m", "get", True, outside), ("d", "get", True, outside), ("super", "get", True, inside), ("this", "peer", False, inside)):
-        row = resolve.resolve_member(built, [resolve.Segment(s) for s in chain.split(".")], name, at, call)
-        found.append((chain, name, row["file"] if row else None, row["line"] if row else None))
-    return t.spark.createDataFrame(found, "chain string, name string, file string, line int")
+    """What stands behind a receiver, where it stands: through a member, an inherited method, a decoy's, super and this."""
+    built, _ = _built(t)
+    asks = [("/r/c.sv", 7, 8, "id", "m.peer", False), ("/r/c.sv", 7, 9, "get", "m", True), ("/r/c.sv", 7, 10, "get", "d", True), ("/r/a.sv", 8, 40, "get", "super", True), ("/r/a.sv", 8, 41, "peer", "this", False)]
+    places = t.spark.createDataFrame(asks, "file string, line int, col int, name string, dotted string, call boolean")
+    chain = F.transform(F.split("dotted", r"\."), lambda x: F.struct(x.alias("name"), F.lit(False).alias("call"), F.lit(0).alias("depth")))
+    found = resolve.Model(built).meanings(places.select("file", "line", "col", "name", chain.alias("chain"), F.lit("").alias("qualifier"), "call"))
+    return found.select(F.array_join(F.transform("chain", lambda x: x["name"]), ".").alias("chain"), "name", F.col("d_file").alias("file"), F.col("d_line").alias("line"))
 
 
 @query("source_occurrences", rows("file, line, col", "'/r/a.sv', 4, 25", "'/r/a.sv', 8, 17", "'/r/a.sv', 8, 37", "'/r/c.sv', 8, 10"))
 def source_occurrences(t: Tables) -> DataFrame:
     """Occurrences of a method and its override, without those of the decoy."""
     built, files = _built(t)
-    target = resolve.earliest(resolve.in_scope(built, "pa::mid", "get"))
-    return resolve.meant_occurrences(built, files, target)
+    target = built["symbols"].filter("scope = 'pa::mid' AND name = 'get'").select(*resolve.KEY)
+    return resolve.Model(built).meant_occurrences(files, target).drop("name")

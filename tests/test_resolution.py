@@ -41,34 +41,90 @@ def tree(spark):
     return {name: spark.createDataFrame(t.toArrow(), t.schema) for name, t in built.items()}
 
 
-def test_scopes(tree):
-    inside = resolve.Place("/q/p.sv", 10, 40)
-    assert resolve.enclosing_classes(tree, inside) == ["p::leaf"]
-    assert resolve.enclosing_class(tree, inside)["name"] == "leaf"
-    assert resolve.enclosing_routine(tree, inside)["name"] == "get"
-    assert resolve.is_package(tree, "p") and not resolve.is_package(tree, "bus")
-    assert resolve.package_file(tree, "p") == "/q/p.sv" and resolve.package_file(tree, "none") is None
-
-
-def test_receivers(tree):
-    at, inside = resolve.Place("/q/t.sv", 5, 10), resolve.Place("/q/p.sv", 9, 22)
-    S = resolve.Segment
-    assert resolve.receiver_type(tree, [S("l")], at).owner["name"] == "leaf"  # through an export and a typedef
-    assert resolve.resolve_member(tree, [S("l")], "id", at)["line"] == 3
-    assert resolve.resolve_member(tree, [S("b")], "ack", at)["line"] == 16
-    assert resolve.resolve_member(tree, [S("$root")], "t", at)["kind"] == "Module"
-    assert resolve.resolve_member(tree, [S("nothing")], "id", at) is None
-    assert resolve.is_super_in_constructor(tree, [S("super")], inside) and not resolve.is_super_in_constructor(tree, [S("this")], inside)
-    assert resolve.new_candidate(tree, "p::none") == ("new", "")
-    view = resolve.earliest(resolve.in_scope(tree, "bus", "master"))
-    assert resolve.member_of(tree, view, "req")["line"] == 16 and resolve.member_of(tree, view, "ack") is None
-
-
-def test_families(tree):
-    own = resolve.earliest(resolve.in_scope(tree, "p::leaf", "get"))
-    assert resolve.family_root(tree, own)["line"] == 5
-    assert resolve.constructor(tree, "p::leaf")["line"] == 9 and resolve.constructor(tree, "bus") is None
-    assert resolve.class_in_scope(tree, "p", "leaf_t")["name"] == "leaf"
+@pytest.fixture(scope="module")
+def model(tree):
+    return resolve.Model(tree)
+
+
+def asked(spark, *places):
+    """Places (file, line, col, name, chain, call) as occurrences; a chain's part may be (name, call, depth)."""
+    rows = [(f, line, col, name, [(p, False, 0) if isinstance(p, str) else p for p in chain], "", call) for f, line, col, name, chain, call in places]
+    return spark.createDataFrame(rows, resolve.OCCURRENCE)
+
+
+def meant(model, places):
+    return {(r["file"], r["line"], r["col"], r["name"]): (r["d_file"], r["d_line"], r["d_col"], r["kind"]) for r in model.meanings(places).collect()}
+
+
+def test_places_and_lineage(spark, tree, model):
+    at = spark.createDataFrame([(0, "/q/p.sv", 10, 40), (1, "/q/t.sv", 5, 10), (2, "/q/t.sv", 9, 0)], "q int, file string, line int, col int")
+    placed = resolve.placed(tree, at)
+    assert {r["q"]: r["scope"] for r in placed.collect()} == {0: "p::leaf::get", 1: "t", 2: ""}
+    assert [tuple(r) for r in model.around(placed).collect()] == [(0, "p::leaf", "p::base")]
+    assert {(r["node"], r["ancestor"], r["depth"]) for r in model.lineage.collect()} == {("p::leaf", "p::leaf", 0), ("p::leaf", "p::base", 1), ("p::base", "p::base", 0)}
+
+
+def test_receivers(spark, model):
+    t = lambda n, chain, col, call=False: ("/q/t.sv", 5, col, n, chain, call)
+    got = meant(model, asked(spark, t("id", ["l"], 0), t("ack", ["b"], 1), t("t", ["$root"], 2), t("id", ["nothing"], 3), t("id", ["l", ("next", False, 1)], 4), t("id", ["l", "next"], 5), t("get", ["l"], 6, True), t("new", ["l"], 7, True), ("/q/p.sv", 9, 30, "new", ["super"], True), ("/q/p.sv", 10, 40, "next", ["this"], False), t("new", ["b"], 8, True)))
+    assert got == {
+        ("/q/t.sv", 5, 0, "id"): ("/q/p.sv", 3, 8, "Variable"),  # through an export, a typedef and the parent
+        ("/q/t.sv", 5, 1, "ack"): ("/q/p.sv", 16, 13, "Variable"), ("/q/t.sv", 5, 2, "t"): ("/q/t.sv", 1, 7, "Module"), ("/q/t.sv", 5, 4, "id"): ("/q/p.sv", 3, 8, "Variable"),
+        ("/q/t.sv", 5, 6, "get"): ("/q/p.sv", 10, 17, "Function"), ("/q/t.sv", 5, 7, "new"): ("/q/p.sv", 9, 13, "Constructor"),
+        ("/q/p.sv", 9, 30, "new"): ("/q/p.sv", 4, 13, "Constructor"), ("/q/p.sv", 10, 40, "next"): ("/q/p.sv", 8, 9, "Variable"),
+    }
+
+
+def test_every_identifier_of_a_tree(spark, model):
+    """All identifiers at once; what each means was read off the texts by hand."""
+    files = spark.createDataFrame(list(FILES.items()), "path string, text string")
+    got = meant(model, resolve.occurrences(files))
+    said = {(f, line, n): set() for f, line, _, n in got}
+    for (f, line, _, n), d in got.items():
+        said[f, line, n].add(d[:2])
+    assert said["/q/p.sv", 5, "id"] == {("/q/p.sv", 3)} and said["/q/p.sv", 5, "step"] == {("/q/p.sv", 5)}
+    assert said["/q/p.sv", 10, "get"] == {("/q/p.sv", 10), ("/q/p.sv", 5)} and said["/q/p.sv", 9, "new"] == {("/q/p.sv", 9), ("/q/p.sv", 4)}
+    assert said["/q/p.sv", 8, "base"] == {("/q/p.sv", 2)} and said["/q/p.sv", 12, "leaf"] == {("/q/p.sv", 7)}
+    assert said["/q/t.sv", 3, "leaf_t"] == {("/q/p.sv", 12)} and said["/q/t.sv", 4, "bus"] == {("/q/p.sv", 15)} and ("/q/t.sv", 5, "go") not in said
+
+
+def test_families(spark, tree, model):
+    roots = {(r["d_name"], r["d_line"]): r["root"]["line"] for r in model.families().collect()}
+    assert roots == {("get", 5): 5, ("get", 10): 5}
+
+
+def test_views_show_what_they_list(spark):
+    text = "interface bus; logic req, ack; modport m (output req); endinterface\nmodule t(bus.m p, bus w);\n  initial begin p.req = 1; p.ack = 1; w.ack = 0; end\nendmodule\n"
+    files = spark.createDataFrame([("/v.sv", text)], "path string, text string")
+    got = meant(resolve.Model(index.build(files, files.select(F.col("path").alias("unit")), index.Config())), resolve.occurrences(files))
+    line = {(c, n): d[:3] for (_, row, c, n), d in got.items() if row == 3}
+    assert line[18, "req"] == ("/v.sv", 1, 21) and (29, "ack") not in line and line[40, "ack"] == ("/v.sv", 1, 26)
+
+
+def test_names_take_the_nearest_scope(spark):
+    """Own scopes, then imports, then other files; what is declared later in a scope doesn't count; a name read in an include's context."""
+    texts = {
+        "/n/p.sv": "package p; int a; int b; int c; endpackage\nclass c0; int d; local int e; endclass\n",
+        "/n/t.sv": "module t;\n  import p::a, p::b;\n  int a;\n  initial begin : g\n    int x; x = a + b + c + y;\n    int y;\n  end\n`include \"i.svh\"\nendmodule\n",
+        "/n/i.svh": "initial a = b;\n",
+        "/n/u.sv": "class c1 extends c0; function void f(); d = 1; e = 1; endfunction endclass\nmodule a; endmodule\n",
+    }
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    built = index.build(files, files.filter("path LIKE '%.sv'").select(F.col("path").alias("unit")), index.Config())
+    assert {r["file"]: r["scope"] for r in resolve.include_context(built).collect()} == {"/n/i.svh": "t"}
+    got = meant(resolve.Model(built), resolve.occurrences(files))
+    at = lambda f, line, n: {d[:2] for (file, row, _, name), d in got.items() if (file, row, name) == (f, line, n)}
+    assert at("/n/t.sv", 5, "a") == {("/n/t.sv", 3)} and at("/n/t.sv", 5, "b") == {("/n/p.sv", 1)}
+    assert at("/n/t.sv", 5, "c") == set() and at("/n/t.sv", 5, "y") == set() and at("/n/t.sv", 6, "y") == {("/n/t.sv", 6)}
+    assert at("/n/i.svh", 1, "a") == {("/n/t.sv", 3)} and at("/n/i.svh", 1, "b") == {("/n/p.sv", 1)}
+    assert at("/n/u.sv", 1, "d") == {("/n/p.sv", 2)} and at("/n/u.sv", 1, "e") == set()
+
+
+def test_new_means_what_it_is_assigned_to():
+    text = "x = new(1); a.b[2] = new; if (y == new) z.new();\nleaf l = new;"
+    assert [(line, n, [c[0] for c in chain], call) for line, _, n, chain, _, call in resolve.asked_in(text, {"new"})] == [(1, "new", ["x"], True), (1, "new", ["a", "b"], False), (1, "new", [], False), (1, "new", ["z"], True), (2, "new", ["l"], False)]
+    ((_, _, _, chain, _, _),) = resolve.asked_in("v = top.list[i+1].get(2).y[1][2].q;", {"q"})
+    assert chain == [("top", False, 0), ("list", False, 1), ("get", True, 0), ("y", False, 2)]
 
 
 def test_unit_primary_of_a_cycle(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rtlake.functions import code
 from rtlake.functions.builtins import system_tasks
-from rtlake.plans import index, requests, signatures
+from rtlake.plans import checks, index, requests, signatures
 from rtlake.plans.declare import declared
 from rtlake.plans.preprocess import Preprocessor
 from rtlake.sources import filelist
@@ -137,6 +137,76 @@ def test_refresh_equals_fresh(built, files, units, spark):
         assert fresh[name].select(*again[name].columns).exceptAll(again[name]).count() == 0, name
 
 
+TREE = {
+    "/r/h.svh": "typedef int word_t;\nclass shared; function int f(int a, int b = 1); return a; endfunction endclass\n",
+    "/r/m.svh": "`include `PICK\n", "/r/late.svh": "class late; endclass\n", "/r/pick.svh": '`define PICK "late.svh"\n',
+    "/r/a.sv": '`include "h.svh"\npackage a; export b::*; endpackage\nmodule ma; word_t w; gone_t g; sub s(); initial x = f(); endmodule\n',
+    "/r/b.sv": '`include "h.svh"\npackage b; typedef int b_t; endpackage\nmodule sub; endmodule\n',
+    "/r/c.sv": "module c; import a::b_t; import a::none; b_t t; late l; sub s(); endmodule\n",
+    "/r/d.sv": '`include "pick.svh"\n`include "m.svh"\nmodule d; endmodule\n',
+}
+
+
+def same(got, want, names=(*index.TABLES, *index.KEPT)):
+    for name in names:
+        columns = sorted(want[name].columns)
+        a, b = (sorted(map(repr, x[name].select(*columns).collect())) for x in (got, want))
+        assert a == b, name
+
+
+@pytest.fixture(scope="module")
+def whole_tree(spark):
+    def of(texts):
+        files = spark.createDataFrame(list(texts.items()), "path string, text string")
+        return files, files.filter("path LIKE '%.sv'").select(F.col("path").alias("unit"))
+
+    return of
+
+
+def test_problems_of_a_tree(before):
+    built = before
+    assert names(built["problems"], "unit", "source", "subject") == [
+        ("/r/a.sv", "calls", "f"), ("/r/a.sv", "types", "gone_t"), ("/r/c.sv", "imports", "none"), ("/r/h.svh", "includes", "/r/h.svh"),
+    ]
+    assert names(built["contents"].filter("gives AND unit <> file"), "unit", "file") == [("/r/a.sv", "/r/h.svh"), ("/r/d.sv", "/r/late.svh"), ("/r/d.sv", "/r/m.svh"), ("/r/d.sv", "/r/pick.svh")]
+
+
+@pytest.fixture(scope="module")
+def before(spark, whole_tree):
+    built = index.build(*whole_tree(TREE), index.Config())
+    return {name: spark.createDataFrame(t.toArrow(), t.schema) for name, t in built.items()}
+
+
+@pytest.mark.parametrize(
+    "edits, again",
+    [
+        # a's export hands b's change on to c; the header's rows are given by a
+        ({"/r/b.sv": TREE["/r/b.sv"].replace("typedef int b_t;", ""), "/r/d.sv": TREE["/r/d.sv"] + "// a comment\n"}, {"/r/a.sv", "/r/c.sv"}),
+        ({"/r/b.sv": TREE["/r/b.sv"].replace("module sub;", "module other;"), "/r/late.svh": "// nothing\n", "/r/e.sv": "module e; late l; endmodule\n"}, {"/r/a.sv", "/r/c.sv"}),
+        ({"/r/a.sv": None, "/r/h.svh": TREE["/r/h.svh"].replace("int a,", "int a = 0,")}, {"/r/c.sv"}),  # b gives the header's rows now
+        ({"/r/d.sv": TREE["/r/d.sv"] + "// a comment\n"}, set()),
+    ],
+)
+def test_refresh_follows_edits_elsewhere(before, whole_tree, edits, again):
+    """A refreshed index, its diagnostics too, equals a fresh one; only units that look up what changed are checked again."""
+    texts = {p: t for p, t in (TREE | edits).items() if t is not None}
+    after, done = index.refresh(before, *whole_tree(texts), index.Config())
+    same(after, index.build(*whole_tree(texts), index.Config()))
+    gone = done.filter("action <> 'keep'").select("unit")
+    touched = before["contents"].union(after["contents"]).join(gone, "unit", "left_semi").select("file").distinct()
+    changed = checks.changed_names(before, after, touched, gone)
+    users = before["uses"].join(changed, "name", "left_semi").select("unit").distinct().join(gone, "unit", "left_anti")
+    assert {r["unit"] for r in users.collect()} <= again
+
+
+def test_units_are_sent_what_they_may_read(whole_tree):
+    files, units = whole_tree(TREE)
+    sent = index.needed(units, index.scanned(files), index.Config())
+    assert names(sent.filter("unit <> path"), "unit", "path") == [("/r/a.sv", "/r/h.svh"), ("/r/b.sv", "/r/h.svh"), ("/r/d.sv", "/r/late.svh"), ("/r/d.sv", "/r/m.svh"), ("/r/d.sv", "/r/pick.svh")]
+    early = index.needed(units, index.scanned(files), index.Config(preincludes=("/r/m.svh",), defines={"PICK": '"x/h.svh"'}))
+    assert names(early.filter("unit = '/r/c.sv'"), "path") == [("/r/c.sv",), ("/r/h.svh",), ("/r/late.svh",), ("/r/m.svh",)]
+
+
 def test_filelist():
     texts = {"/p/a.f": '+define+A=1+B\n-f sub/b.f // more\n"my file.sv"\n+incdir+inc+/abs\n-y lib +libext+.v+.sv', "/p/sub/b.f": "x.sv\n-F c.f", "/p/sub/c.f": "-v one.v", "/p/cycle.f": "-f cycle.f", "/p/bad.f": "\n-unknown"}
     project = filelist.parse_filelist("/p/a.f", texts.get)
