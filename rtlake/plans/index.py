@@ -122,6 +122,11 @@ def needed(units: DataFrame, scans: DataFrame, config: Config) -> DataFrame:
     return first.join(reached, "path").select("unit", F.col("node").alias("path")).filter(F.col("path") != _ANY).distinct()
 
 
+def sent(units: DataFrame, files: DataFrame, scans: DataFrame, config: Config) -> DataFrame:
+    """(unit, path, text) of the files that each unit may read."""
+    return needed(units, scans, config).join(files.select("path", "text"), "path", "left").select("unit", "path", "text")
+
+
 def compile_units(units: DataFrame, files: DataFrame, scans: DataFrame, config: Config) -> DataFrame:
     """One nested row for each unit of ``units`` (column ``unit``). Each unit is sent the files that it may read, and no other."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -136,8 +141,7 @@ def compile_units(units: DataFrame, files: DataFrame, scans: DataFrame, config:
         row = compiled(unit, texts, config)
         return pa.Table.from_pylist([{"unit": unit} | {n: [{c: r.get(c) for c in cols} for r in row[n]] for n, cols in names.items()}], schema=schema)
 
-    sent = needed(units, scans, config).join(files.select("path", "text"), "path", "left")
-    return sent.select("unit", "path", "text").groupBy("unit").applyInArrow(run, _NESTED)
+    return sent(units, files, scans, config).groupBy("unit").applyInArrow(run, _NESTED)
 
 
 def tables_of(compiled_units: DataFrame) -> dict[str, DataFrame]:

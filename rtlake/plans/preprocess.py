@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import posixpath
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -286,21 +286,19 @@ class Preprocessor:
         return "".join(out)
 
 
-def preprocessed(units: DataFrame, files: dict[str, str], include_dirs: Sequence[str] = (), defines: dict[str, str] | None = None, preincludes: Sequence[str] = ()) -> DataFrame:
-    """One row for each unit (column ``unit``) with its output lines, macros, include sites, directives, metadata and errors.
+def preprocessed(sent: DataFrame, include_dirs: Sequence[str] = (), defines: dict[str, str] | None = None, preincludes: Sequence[str] = ()) -> DataFrame:
+    """One row for each unit with its output lines, macros, include sites, directives, metadata and errors.
 
-    ``files`` (texts that units may include, bounded by the source tree of one project) is broadcast once.
+    ``sent``: (unit, path, text) of the files that each unit may read; a unit's texts meet in one task, and no others.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    shared = units.sparkSession.sparkContext.broadcast((files, tuple(include_dirs), dict(defines or {}), tuple(preincludes)))
     schema = to_arrow_schema(StructType.fromDDL(UNIT))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for unit in batch.column("unit").to_pylist():
-                yield pa.RecordBatch.from_pylist([Preprocessor(*shared.value).run(unit)], schema=schema)
+    def run(group: pa.Table) -> pa.Table:
+        texts = {p: t for p, t in zip(group["path"].to_pylist(), group["text"].to_pylist(), strict=True) if t is not None}
+        return pa.Table.from_pylist([Preprocessor(texts, tuple(include_dirs), dict(defines or {}), tuple(preincludes)).run(group["unit"][0].as_py())], schema=schema)
 
-    return units.select("unit").mapInArrow(run, UNIT)
+    return sent.select("unit", "path", "text").groupBy("unit").applyInArrow(run, UNIT)

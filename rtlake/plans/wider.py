@@ -1,4 +1,4 @@
-"""Queries of libraries, projects, kinds and meanings: over the driver's tables, and over a small built-in tree."""
+"""Queries of libraries, projects and kinds over the driver's tables."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from rtlake.functions import names
 from rtlake.operators import libraries, projects
-from rtlake.plans import index, resolve
+from rtlake.plans import resolve
 from rtlake.plans.registry import Tables, query
-from rtlake.plans.sample import rows
 from rtlake.streaming import schedule
 
 
@@ -136,36 +135,3 @@ def saved_cascade(t: Tables) -> DataFrame:
     path = F.col("n_nationkey").cast("string")
     includes = t.nation.filter("n_nationkey > 0").select(path.alias("included"), F.expr("CAST(n_nationkey div 2 AS STRING)").alias("includer"))
     return schedule.saved(t.nation.filter("n_nationkey % 5 = 4").select(path.alias("path")), includes)
-
-
-#: A tree with receivers, an interface's view, an override family, and decoys of the same names.
-FILES = {
-    "/r/a.sv": "package pa;\n  class root;\n    int id;\n    virtual function int get(); return id; endfunction\n  endclass\n  class mid extends root;\n    root peer;\n    function int get(); return super.get(); endfunction\n  endclass\n  typedef mid mid_t;\nendpackage\n",
-    "/r/b.sv": "class decoy;\n  int id;\n  function int get(); return 0; endfunction\nendclass\n",
-    "/r/c.sv": "module top;\n  import pa::*;\n  mid_t m;\n  decoy d;\n  int k;\n  initial begin\n    k = m.peer.id;\n    k = m.get();\n    k = d.get();\n  end\nendmodule\n",
-}
-
-
-def _built(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
-    files = t.spark.createDataFrame(list(FILES.items()), "path string, text string")
-    built = index.build(files, files.select(F.col("path").alias("unit")), index.Config())
-    return {name: t.spark.createDataFrame(table.toArrow(), table.schema) for name, table in built.items()}, files  # three files: questions then read no more than them
-
-
-@query("source_receiver", rows("chain, name, file, line", "'m.peer', 'id', '/r/a.sv', 3", "'m', 'get', '/r/a.sv', 8", "'d', 'get', '/r/b.sv', 3", "'super', 'get', '/r/a.sv', 4", "'this', 'peer', '/r/a.sv', 7"))
-def source_receiver(t: Tables) -> DataFrame:
-    """What stands behind a receiver, where it stands: through a member, an inherited method, a decoy's, super and this."""
-    built, _ = _built(t)
-    asks = [("/r/c.sv", 7, 8, "id", "m.peer", False), ("/r/c.sv", 7, 9, "get", "m", True), ("/r/c.sv", 7, 10, "get", "d", True), ("/r/a.sv", 8, 40, "get", "super", True), ("/r/a.sv", 8, 41, "peer", "this", False)]
-    places = t.spark.createDataFrame(asks, "file string, line int, col int, name string, dotted string, call boolean")
-    chain = F.transform(F.split("dotted", r"\."), lambda x: F.struct(x.alias("name"), F.lit(False).alias("call"), F.lit(0).alias("depth")))
-    found = resolve.Model(built).meanings(places.select("file", "line", "col", "name", chain.alias("chain"), F.lit("").alias("qualifier"), "call"))
-    return found.select(F.array_join(F.transform("chain", lambda x: x["name"]), ".").alias("chain"), "name", F.col("d_file").alias("file"), F.col("d_line").alias("line"))
-
-
-@query("source_occurrences", rows("file, line, col", "'/r/a.sv', 4, 25", "'/r/a.sv', 8, 17", "'/r/a.sv', 8, 37", "'/r/c.sv', 8, 10"))
-def source_occurrences(t: Tables) -> DataFrame:
-    """Occurrences of a method and its override, without those of the decoy."""
-    built, files = _built(t)
-    target = built["symbols"].filter("scope = 'pa::mid' AND name = 'get'").select(*resolve.KEY)
-    return resolve.Model(built).meant_occurrences(files, target).drop("name")
