@@ -43,20 +43,19 @@ def summary(files: Column, symbols: Column) -> Column:
 
 
 def problems(info: DataFrame) -> DataFrame:
-    """``info`` (exists, error, schema, files, missing array<string>) with ``problems``: what is wrong with a library, in fixed order."""
-    newer = F.when(F.col("schema") > SCHEMA_VERSION, F.format_string("was built by a newer version (schema %d, this one reads up to %d)", F.col("schema"), F.lit(SCHEMA_VERSION)))
-    empty = F.when(F.col("files") == 0, "holds no files")
-    gone = F.when(F.size("missing") > 0, F.concat(F.lit("records include dirs that don't exist here: "), F.array_join("missing", ", ")))
-    rest = F.filter(F.array(newer, empty, gone), lambda x: x.isNotNull())
-    broken = F.array(F.concat(F.lit("can't be read: "), "error"))
-    return info.withColumn("problems", F.when(~F.col("exists"), F.array(F.lit("does not exist"))).when(F.col("error") != "", broken).otherwise(rest))
+    """``info`` (exists, error, schema, files, missing array<string>) with ``problems``: (code, what) of all that is wrong with a library, in fixed order."""
+    one = lambda code, what: F.struct(F.lit(code).alias("code"), what.cast("string").alias("what"))
+    every = [
+        F.when(~F.col("exists"), one("absent", F.lit(""))), F.when(F.col("exists") & (F.col("error") != ""), one("unreadable", F.col("error"))),
+        *[F.when(F.col("exists") & (F.col("error") == "") & bad, one(code, what)) for code, bad, what in (("newer", F.col("schema") > SCHEMA_VERSION, F.col("schema")), ("empty", F.col("files") == 0, F.lit("")), ("lost_dirs", F.size("missing") > 0, F.array_join("missing", ", ")))],
+    ]
+    return info.withColumn("problems", F.filter(F.array(*every), lambda x: x.isNotNull()))
 
 
 def stale_message(changed: Column, missing: Column, total: Column, example: Column) -> Column:
-    """What is said of a library some of whose files changed or are gone; empty if none."""
-    gone = F.when(missing > 0, F.format_string(" (%d gone)", missing)).otherwise("")
-    shown = F.coalesce(F.concat(F.lit(", e.g. "), example), F.lit(""))
-    return F.when(changed + missing > 0, F.concat(F.format_string("%d of %d files changed since it was built", changed + missing, total), gone, shown)).otherwise("")
+    """One line on a library whose files are no longer those that it was built of; empty if all are."""
+    first = F.coalesce(F.concat(F.lit("; first: "), example), F.lit(""))
+    return F.when(changed + missing > 0, F.concat(F.format_string("out of date: %d edited, %d missing, of %d", changed, missing, total), first)).otherwise("")
 
 
 def of_version(tables: dict[str, DataFrame], built_by: str, version: str) -> dict[str, DataFrame]:
@@ -77,24 +76,6 @@ def client_paths(files: DataFrame, aliases: DataFrame) -> DataFrame:
     return files.join(found, "path", "left").withColumn("client", F.coalesce(named, "path")).drop("best")
 
 
-def settle(wanted: DataFrame, known: DataFrame, type_file: DataFrame, compiled, limit: int = 64) -> tuple[DataFrame, list[str]]:
-    """Compiles library files until no type that is wanted (name) and not known (name) has one; (known names, files in order).
-
-    ``compiled(files)`` gives (known, wanted) names of more files. A frontier of files that were not compiled yet is
-    bounded by the library's; a round without any ends it.
-    """
-    done: list[str] = []
-    for _ in range(limit):
-        open_ = wanted.select("name").distinct().join(known.select("name").distinct(), "name", "left_anti")
-        files = [r["file"] for r in open_.join(type_file, "name").select("file").distinct().orderBy("file").collect() if r["file"] not in done]
-        if not files:
-            return known, done
-        done += files
-        more_known, more_wanted = compiled(files)
-        known, wanted = known.select("name").union(more_known.select("name")), wanted.select("name").union(more_wanted.select("name"))
-    raise RuntimeError(f"no fixpoint after {limit} rounds")
-
-
 def attached(*libraries: DataFrame) -> DataFrame:
     """Files (id, path) of libraries in attach order, as ``paths`` reads them."""
     return reduce(DataFrame.unionByName, [lib.select("id", "path").withColumn("lib_ord", F.lit(k)) for k, lib in enumerate(libraries)])

@@ -95,10 +95,12 @@ def include_notes(errors: DataFrame, sites: DataFrame, depth: int = 64) -> DataF
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+    else:
+        raise RuntimeError(f"includes are more than {depth} deep")
     found = errors.withColumnRenamed("line", "at").join(reached, "file")
     said = F.concat(F.substring_index("file", "/", -1), F.lit(":"), F.col("at").cast("string"), F.lit(": "), "message")
     each = found.select("line", "col", "end_col", F.struct((~F.col("is_include")).alias("late"), "ord", said.alias("said")).alias("e"))
     grouped = each.groupBy("line", "col", "end_col").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list("e")), 1, 2).alias("first"))
-    head = F.when(F.col("n") == 1, "this `include reads a file with an error: ").otherwise(F.format_string("this `include reads files with %d errors: ", "n"))
-    rest = F.when(F.col("n") > 2, F.format_string("; and %d more", F.col("n") - 2)).otherwise("")
-    return grouped.select("line", "col", "end_col", F.concat(head, F.array_join(F.transform("first", lambda x: x["said"]), "; "), rest).alias("message"))
+    head = F.concat(F.lit("errors below this line's include ("), F.col("n").cast("string"), F.lit("): "))
+    rest = F.when(F.col("n") > 2, " | ...").otherwise("")
+    return grouped.select("line", "col", "end_col", F.concat(head, F.array_join(F.transform("first", lambda x: x["said"]), " | "), rest).alias("message"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rtlake.functions import text as T
-from rtlake.functions.code import mapped_column
+from rtlake.functions.code import blanked, mapped_column
 from rtlake.operators import closure, sets, writes
 from rtlake.plans import checks, declare, preprocess
 from rtlake.plans.checks import ERROR
@@ -75,31 +77,38 @@ _INCLUDE = re.compile(r'`include\s*(?:"([^"\n]*)"|<([^>\n]*)>|(`))')
 _DEFINED = re.compile(r"`define\s[^\n]*(?:\\\n[^\n]*)*")
 
 
+_DECLARES = re.compile(r"(?<![\w$])(?:macromodule|module|interface|program|package|class)\s+(?:automatic\s+|static\s+)?([A-Za-z_][\w$]*)")
+_NAMES = re.compile(r"(?<![\w$])(?:import|extends|implements)\s+([A-Za-z_][\w$]*)|([A-Za-z_][\w$]*)\s*::")
+SCAN = ["path", "hash", "size", "wanted", "computed", "offered", "declares", "names"]
 #: Stands in the include graph for whatever macros may name.
 _ANY = "`"
 
 
 def scanned(files: DataFrame) -> DataFrame:
-    """(path, hash, size, wanted, computed, offered) of files (path, text), by a scan of words alone.
+    """(path, hash, size, wanted, computed, offered, declares, names) of files (path, text), by a scan of words alone.
 
     ``wanted``: base names that its includes name; ``computed``: whether one includes what a macro stands for; ``offered``: base
-    names in its macros' bodies, which such an include may mean.
+    names in its macros' bodies, which such an include may mean. ``declares``: names of units, packages and classes;
+    ``names``: what it imports, extends or qualifies by.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = lambda name: name.replace("\\", "/").rpartition("/")[2]
         for b in batches:
-            wanted, computed, offered = [], [], []
+            wanted, computed, offered, declares, said = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 found = _INCLUDE.findall(text or "")
                 wanted.append(sorted({base(q or a) for q, a, m in found if not m}))
                 computed.append(any(m for _, _, m in found))
                 offered.append(sorted({base(x) for d in _DEFINED.findall(text or "") for pair in re.findall(r'"([^"\n]*)"|<([^>\n]*)>', d) for x in pair if x}))
+                plain = blanked(text or "")
+                declares.append(sorted(set(_DECLARES.findall(plain))))
+                said.append(sorted({x for pair in _NAMES.findall(plain) for x in pair if x}))
             strings = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("hash"), b.column("size"), pa.array(wanted, strings), pa.array(computed, pa.bool_()), pa.array(offered, strings)], names=["path", "hash", "size", "wanted", "computed", "offered"])
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("hash"), b.column("size"), pa.array(wanted, strings), pa.array(computed, pa.bool_()), *[pa.array(x, strings) for x in (offered, declares, said)]], names=SCAN)
 
     hashed = files.select("path", T.content_hash(F.col("text")).alias("hash"), F.octet_length("text").cast("long").alias("size"), "text")
-    return hashed.mapInArrow(scan, "path string, hash string, size long, wanted array<string>, computed boolean, offered array<string>")
+    return hashed.mapInArrow(scan, "path string, hash string, size long, wanted array<string>, computed boolean, offered array<string>, declares array<string>, names array<string>")
 
 
 def needed(units: DataFrame, scans: DataFrame, config: Config) -> DataFrame:
@@ -161,13 +170,39 @@ def tables_of(compiled_units: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def build(files: DataFrame, units: DataFrame, config: Config, folder: str | None = None) -> dict[str, DataFrame]:
+def settled(rows: DataFrame, files: DataFrame, scans: DataFrame, libraries: DataFrame, config: Config, limit: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(compiled rows, all units) after waves of library files: each compiles, in one job, the files that declare what the last one
+    names and nothing declares, until no such name is left that a library has.
+
+    ``libraries``: (path, ord); of several files that declare a name the first by ord and path counts. Only what the last wave
+    names is looked up, so a wave's work follows its own size.
+    """
+    offers = libraries.join(scans.select("path", F.explode("declares").alias("name")), "path")
+    offers = closure.cut(offers.groupBy("name").agg(F.min(F.struct("ord", "path")).alias("at")).select("name", F.col("at.path").alias("unit")))
+    done, last = closure.cut(rows.select("unit")), rows
+    for _ in range(limit):
+        parents = F.transform(F.filter("symbols", lambda x: x["kind"] == "Class"), lambda x: T.scope_tail(x["detail"]))
+        parts = (F.col("imports.pkg_name"), F.col("type_refs.name"), parents)
+        uses = last.select(F.explode(reduce(F.array_union, parts, F.col("instantiations.type_name"))).alias("name")).distinct()
+        known = rows.select(F.explode(F.transform(F.filter("symbols", lambda x: (x["scope"] == "") | x["kind"].isin("Class", "Typedef", "TypeParameter")), lambda x: x["name"])).alias("name"))
+        more = closure.cut(uses.join(known.distinct(), "name", "left_anti").join(offers, "name").select("unit").distinct().join(done, "unit", "left_anti"))
+        if more.isEmpty():
+            return rows, done
+        last = closure.cut(compile_units(more, files, scans, config))
+        rows, done = closure.cut(rows.union(last)), closure.cut(done.union(more))
+    raise RuntimeError(f"no fixpoint after {limit} waves")
+
+
+def build(files: DataFrame, units: DataFrame, config: Config, folder: str | None = None, libraries: DataFrame | None = None) -> dict[str, DataFrame]:
     """The index of ``units`` over ``files`` (path, text): ``TABLES`` and what ``KEPT`` names.
 
-    With a ``folder`` the tables are written there as Parquet, symbols clustered by name, and read again.
+    With a ``folder`` the tables are written there as Parquet, symbols clustered by name, and read again. With ``libraries``
+    (path, ord; files of ``files``) those that declare what the units name and nothing declares are units too.
     """
     scans = closure.cut(scanned(files))
     rows = closure.cut(compile_units(units, files, scans, config))
+    if libraries is not None:
+        rows, units = settled(rows, files, scans, libraries, config)
     out = tables_of(rows) | {"compiled": rows, "files": scans}
     out["units"] = fingerprints(units, out["include_sites"], scans, config)
     out["problems"], out["uses"] = checks.problems(out), checks.uses(out)
@@ -188,23 +223,49 @@ def versions(spark: SparkSession, folder: str, ready: bool = True) -> list[int]:
     return [n for n in numbers if not ready or store.exists(_store(spark, f"{folder}/v{n}/_READY")[0])]
 
 
-def write(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+class Conflict(RuntimeError):
+    """Another writer made a version after the one that this work started from."""
+
+
+def _made(store, at) -> bool:
+    """Creates an empty file that isn't there yet; of several writers one alone does."""
+    try:
+        store.create(at, False).close()
+    except Py4JJavaError as e:
+        if store.exists(at):
+            return False
+        raise e
+    return True
+
+
+def write(tables: dict[str, DataFrame], folder: str, base: int | None = None) -> dict[str, DataFrame]:
     """Writes the tables as Parquet; symbols are ranged by name, so that name lookups skip most row groups.
 
     They make a new version, which counts once its last table is there, so no reader sees a part of one. The version before
-    it stays for those who read it; older ones go. One writer at a time.
+    it stays for those who read it; older ones go, and so do parts that no writer claims.
+
+    Writers don't wait for each other. Each claims a number of its own, and commits by creating the one mark that says what
+    follows ``base``, the version its work started from (by default the last one now). If another has done so, the work
+    isn't lost in silence: its version goes and ``Conflict`` is raised, so that it may start again from the new one.
     """
     spark = next(iter(tables.values())).sparkSession
+    base = max(versions(spark, folder), default=0) if base is None else base
     version = max(versions(spark, folder, ready=False), default=0) + 1
+    while not _made((claim := _store(spark, f"{folder}/v{version}/_CLAIM"))[1], claim[0]):
+        version += 1
     for name, df in tables.items():
         by = "name" if name in ("symbols", "uses") else "unit" if "unit" in df.columns else None
         df = df.repartitionByRange(by).sortWithinPartitions(by) if by else df
         df.write.option("parquet.bloom.filter.enabled#name", by == "name").parquet(f"{folder}/v{version}/{name}")
-    mark, store = _store(spark, f"{folder}/v{version}/_READY")
-    store.create(mark).close()
-    whole = versions(spark, folder)[-2:]
+    after, store = _store(spark, f"{folder}/after-{base}")
+    if not _made(store, after):
+        store.delete(_store(spark, f"{folder}/v{version}")[0], True)
+        raise Conflict(f"{folder}: another version follows {base}")
+    _made(store, _store(spark, f"{folder}/v{version}/_READY")[0])
+    whole = versions(spark, folder)
     for n in versions(spark, folder, ready=False):
-        if n not in whole:
+        claimed = n not in whole and store.exists(_store(spark, f"{folder}/v{n}/_CLAIM")[0])
+        if n not in whole[-2:] and not claimed:
             store.delete(_store(spark, f"{folder}/v{n}")[0], True)
     return read(spark, folder, tables)
 
@@ -231,9 +292,9 @@ def refresh(index: dict[str, DataFrame], files: DataFrame, units: DataFrame, con
     looked for in vain has appeared. Diagnostics of checks follow other units' edits: units that look up a name which is
     declared otherwise now are checked again, they and the compiled ones alone.
     """
-    known = index["files"].select("path", "hash", "wanted", "computed", "offered")
+    known = index["files"].select("path", "hash", *SCAN[3:])
     hashes = files.select("path", T.content_hash(F.col("text")).alias("hash"), F.octet_length("text").cast("long").alias("size"))
-    same = hashes.join(known, ["path", "hash"]).select("path", "hash", "size", "wanted", "computed", "offered")
+    same = hashes.join(known, ["path", "hash"]).select(*SCAN)
     scans = closure.cut(same.union(scanned(files.join(same.select("path"), "path", "left_anti"))))
     now = fingerprints(units, index["include_sites"], scans, config)
     looked = index["directives"].filter("resolved = ''").select("unit", T.base_name(F.col("name")).alias("base"))

@@ -79,14 +79,17 @@ def watched_bursts(t: Tables) -> DataFrame:
 
 @query(
     "load_order",
-    "SELECT CAST(n_nationkey AS VARCHAR) AS path, CASE WHEN n_nationkey IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 4 = 3) THEN 0 WHEN n_nationkey % 4 = 0 THEN 1 ELSE 2 END AS rank FROM nation",
+    """SELECT CAST(s_suppkey AS VARCHAR) AS path, CASE WHEN s_suppkey % 4 IN (2, 3) AND s_suppkey - s_suppkey % 4 + 4 IN (SELECT s_suppkey FROM supplier) THEN 0 WHEN s_suppkey % 4 = 0 THEN 1
+       WHEN s_nationkey IN (SELECT s_nationkey + 1 FROM supplier WHERE s_suppkey % 4 = 0) THEN 2 ELSE 3 END AS rank FROM supplier""",
 )
 def load_order(t: Tables) -> DataFrame:
-    """Includers of open documents first, then these, then the rest; here each file includes the next."""
-    path = F.col("n_nationkey").cast("string")
-    opened = t.nation.filter("n_nationkey % 4 = 0").select(path.alias("path"))
-    includes = t.nation.select(path.alias("includer"), ((F.col("n_nationkey") + 1).cast("string")).alias("included"))
-    return schedule.load_order(t.nation.select(path.alias("path")), opened, includes)
+    """Includers of open documents first, then these, then declarers of what they name, then the rest. Every fourth file is open, the two before it
+    include it one through the other; a file declares its nation, and names the one before it."""
+    path, key = F.col("s_suppkey").cast("string"), F.col("s_suppkey")
+    files = t.supplier.select(path.alias("path"))
+    includes = t.supplier.filter("s_suppkey % 4 IN (2, 3)").select(path.alias("includer"), (key + 1).cast("string").alias("included"))
+    opened, names = t.supplier.filter("s_suppkey % 4 = 0").select(path.alias("path")), F.col("s_nationkey")
+    return schedule.load_order(files, opened, includes, t.supplier.select(path.alias("path"), names.alias("name")), t.supplier.select(path.alias("path"), (names + 1).alias("name")))
 
 
 @query("open_wins", "SELECT d.doc_id AS path, coalesce(c.text, d.text) AS text FROM documents d LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) c ON d.doc_id = c.conv_id")

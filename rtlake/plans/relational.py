@@ -259,8 +259,11 @@ def visible_set(t: Tables) -> DataFrame:
        SELECT DISTINCT root, node FROM w""",
 )
 def closure_walk(t: Tables) -> DataFrame:
-    edges = t.part.filter("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"))
-    return closure.reach(edges, t.part.select(F.col("p_partkey").alias("root"))).select("root", "node")
+    """Every part with what stands above it: of one parent each, so by doubling."""
+    parents = t.part.filter("p_partkey > 0").select(F.col("p_partkey").alias("node"), F.expr("p_partkey div 2").alias("parent"))
+    above = closure.lineage(parents).select(F.col("node").alias("root"), F.col("ancestor").alias("node"))
+    roots = t.part.select(F.col("p_partkey").alias("root"))
+    return above.join(roots, "root", "left_semi").union(roots.select("root", F.col("root").alias("node"))).distinct()
 
 
 @query(

@@ -67,12 +67,20 @@ def relevant_watched(changes: DataFrame, open_docs: DataFrame) -> DataFrame:
     return changes.filter("kind = 'watched'").join(open_docs.filter("open").select("path"), "path", "left_anti")
 
 
-def load_order(files: DataFrame, open_docs: DataFrame, includes: DataFrame) -> DataFrame:
-    """(path, rank): includers of open documents first, then these, then the rest."""
-    opened = open_docs.select("path").distinct().withColumn("__open", F.lit(True))
-    above = includes.join(opened.select(F.col("path").alias("included")), "included", "left_semi").select(F.col("includer").alias("path")).distinct().withColumn("__above", F.lit(True))
-    both = files.select("path").join(opened, "path", "left").join(above, "path", "left")
-    return both.select("path", F.when(F.col("__above"), 0).when(F.col("__open"), 1).otherwise(2).alias("rank"))
+def load_order(files: DataFrame, open_docs: DataFrame, includes: DataFrame, declares: DataFrame, named: DataFrame) -> DataFrame:
+    """(path, rank): files that include an open document at any depth, open documents, files that declare what these name, the rest.
+
+    ``includes``: (includer, included); ``declares`` and ``named``: (path, name), as a scan of words finds them.
+    """
+    from rtlake.operators import closure
+
+    opened = open_docs.select("path").distinct()
+    edges = includes.select(F.col("included").alias("src"), F.col("includer").alias("dst"))
+    above = closure.reach(edges, opened.select(F.col("path").alias("root"))).filter("depth > 0").select(F.col("node").alias("path")).distinct()
+    wanted = named.join(opened, "path", "left_semi").select("name").distinct()
+    gives = declares.join(wanted, "name", "left_semi").select("path").distinct()
+    ranked = above.withColumn("rank", F.lit(0)).union(opened.withColumn("rank", F.lit(1))).union(gives.withColumn("rank", F.lit(2)))
+    return files.select("path").join(ranked.groupBy("path").agg(F.min("rank").alias("rank")), "path", "left").select("path", F.coalesce("rank", F.lit(3)).alias("rank"))
 
 
 def ingest(spark: SparkSession, folder: str) -> DataFrame:

@@ -263,3 +263,32 @@ def test_versions(spark, tmp_path):
     assert again["symbols"].count() == 3 and index.versions(spark, folder) == [3, 5] and index.versions(spark, folder, ready=False) == [3, 5]
     with pytest.raises(FileNotFoundError):
         index.read(spark, str(tmp_path / "none"))
+
+
+def test_two_writers(spark, tmp_path):
+    """Both start from one version: the first to finish commits, the other is refused and may start again."""
+    folder, one = str(tmp_path / "index"), spark.range(3).selectExpr("CAST(id AS STRING) AS name")
+    index.write({"symbols": one}, folder)
+    index.write({"symbols": one.limit(1)}, folder, base=1)
+    with pytest.raises(index.Conflict):
+        index.write({"symbols": one.limit(2)}, folder, base=1)
+    assert index.read(spark, folder, ["symbols"])["symbols"].count() == 1 and index.versions(spark, folder, ready=False) == [1, 2]
+    assert index.write({"symbols": one.limit(2)}, folder, base=2)["symbols"].count() == 2
+    store, claim = index._store(spark, f"{folder}/v9/_CLAIM")[::-1]
+    store.create(claim).close()  # another writer is at work: its part stays, its number is not taken
+    index.write({"symbols": one}, folder)
+    assert index.versions(spark, folder, ready=False)[-2:] == [9, 10]
+
+
+def test_library_files_in_waves(whole_tree):
+    """A unit names one library file's module, that names another's, that one's package is a third's; what nothing names is left out."""
+    texts = {
+        "/l/top.sv": "module top; one u(); nothing v(); endmodule\n", "/l/lib/one.sv": '`include "x.svh"\nmodule one; two u(); endmodule\n', "/l/lib/x.svh": "typedef int x_t;\n", "/l/lib/two.sv": "module two; import three::*; endmodule\n",
+        "/l/lib/three.sv": "package three; class k extends far; endclass endpackage\n", "/l/lib/far.sv": "class far; endclass\n", "/l/lib/more.sv": "module more; endmodule\n", "/l/old/two.sv": "module two; wire other; endmodule\n",
+    }
+    files, _ = whole_tree(texts)
+    units = lambda *names: files.sparkSession.createDataFrame([(n,) for n in names], "unit string")
+    lib = files.filter("path LIKE '%.sv' AND path <> '/l/top.sv'").select("path", F.col("path").contains("/old/").cast("int").alias("ord"))
+    got = index.build(files, units("/l/top.sv"), index.Config(), libraries=lib)
+    same(got, index.build(files, units("/l/top.sv", "/l/lib/one.sv", "/l/lib/two.sv", "/l/lib/three.sv", "/l/lib/far.sv"), index.Config()))
+    assert names(got["problems"], "source", "subject") == [("instances", "nothing")]
