@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from rtlake.llm.common import cut, table
 
 K, QUERY_EVERY = 20, 20
-#: Rows a part aims at, bounds on parts, sample rows a part and at most, neighbours in the graph, slack of a part.
-PART_ROWS, MOST_PARTS, SAMPLE_PER_PART, SAMPLE, DEGREE, SLACK = 2_000, 128, 120, 12_000, 10, 1.1
+#: Rows a part aims at, bounds on parts (the lower one as far as a part has ``LEAST_ROWS``), sample rows a part and at most,
+#: neighbours in the graph, slack of a part.
+PART_ROWS, MOST_PARTS, LEAST_PARTS, LEAST_ROWS, SAMPLE_PER_PART, SAMPLE, DEGREE, SLACK = 2_000, 128, 8, 50, 120, 12_000, 10, 1.1
 #: Hidden units, epochs, probability that the probed parts must hold, least parts probed.
 HIDDEN, EPOCHS, MASS, LEAST_PROBES = 64, 40, 0.98, 2
 #: Rows of a block of candidates and of a block of queries.
@@ -124,7 +125,7 @@ def probabilities(model: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
 
 def fit(vectors: DataFrame, rows: int, part_rows: int = PART_ROWS, sample: int = SAMPLE) -> tuple[int, tuple[np.ndarray, ...] | None]:
     """(parts, network) from a sample of ``vectors`` chosen by hash of the id; one part needs no network."""
-    parts = min(MOST_PARTS, -(-rows // part_rows))
+    parts = min(MOST_PARTS, max(-(-rows // part_rows), min(LEAST_PARTS, rows // LEAST_ROWS)))
     wanted = min(sample, max(2_000, SAMPLE_PER_PART * parts))
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).toArrow()
     if parts < 2 or len(chosen) < 4 * parts:

@@ -278,3 +278,29 @@ def test_repair_edges(spark, tmp_path):
         frame.write.parquet(str(tmp_path / name / "conversations.parquet"))
     assert sorted(map(tuple, repair.op13_repair(spark, str(tmp_path / "some")).collect()), key=repr) == plain_repair(rows)
     assert repair.op13_repair(spark, str(tmp_path / "none")).collect() == []
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_neighbours_registered_query_against_brute_force(spark, folder):
+    """The registered query goes through learned partitions on small tables too, and finds nine in ten."""
+    import numpy as np
+
+    from rtlake.llm import neighbours
+
+    vectors = neighbours.usable(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    rows = vectors.select("vec_id", "v").collect()
+    parts, network = neighbours.fit(vectors, len(rows))
+    assert parts > 1 and network is not None
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows])
+    found = defaultdict(dict)
+    for r in registry.QUERIES["op4_neighbours"](spark, folder).collect():
+        found[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        best = np.lexsort((ids, -scores))[:20]
+        got = [found[ids[i]][k] for k in range(1, 21)]
+        assert got == sorted(got, key=lambda g: (-g[1], g[0])) and all(abs(s - scores[ids == v][0]) < 1e-12 for v, s in got)
+        hits, total = hits + len({v for v, _ in got} & set(ids[best].tolist())), total + 20
+    assert hits >= 0.9 * total
