@@ -110,3 +110,17 @@ def scope_contains(t: Tables) -> DataFrame:
     inside = spans.contains(F.col("l_linenumber"), F.col("l_quantity"), (F.lit(2), F.lit(10)), (F.lit(5), F.lit(30)))
     both = t.orders.select("o_orderkey").join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity"), "o_orderkey")
     return both.filter(inside).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_inside"))
+
+
+@query(
+    "queue_due",
+    """WITH e AS (SELECT user_id, ts, event_id, CASE WHEN value > 50 THEN 0 ELSE 1 END AS rank, value > 90 AS forced, value > 1 AS quiet, event_type = 'error' AS cancel FROM events),
+       g AS (SELECT *, CASE WHEN cancel OR coalesce(lag(cancel) OVER w, true) OR lag(ts) OVER w + INTERVAL 7200 SECOND <= ts THEN 1 ELSE 0 END AS fresh, lead(cancel) OVER w AS c, lead(ts) OVER w AS nxt FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+       r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g)
+       SELECT user_id, max(ts) + INTERVAL 7200 SECOND AS due, min(rank) AS rank, min(event_id) AS seq, max(event_id) AS last, bool_or(forced) AS forced, bool_and(quiet) AS quiet, count(*) AS n_pushes
+       FROM r WHERE NOT cancel GROUP BY user_id, run HAVING NOT bool_or(coalesce(c AND nxt < ts + INTERVAL 7200 SECOND, false))""",
+)
+def queue_due(t: Tables) -> DataFrame:
+    """Jobs of a queue: events push work for their user, errors cancel what waits, and two quiet hours make it due."""
+    work = t.events.select("user_id", "ts", F.col("event_id").alias("seq"), F.when(F.col("value") > 50, 0).otherwise(1).alias("rank"), (F.col("value") > 90).alias("forced"), (F.col("value") > 1).alias("quiet"), (F.col("event_type") == "error").alias("cancel"))
+    return schedule.queued(work, ["user_id"], 7200)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -26,6 +27,66 @@ def merged(jobs: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return jobs.groupBy(*keys).agg(F.min("rank").alias("rank"), F.max(seq).alias("last"), F.min(seq).alias("seq"), F.bool_or("forced").alias("forced"), F.bool_and("quiet").alias("quiet"))
 
 
+def queued(events: DataFrame, keys: Sequence[str], quiet: float) -> DataFrame:
+    """Jobs that a work queue runs, of events (keys, ts, seq, rank, forced, quiet, cancel): keys, due, rank, seq, last, forced, quiet, n_pushes.
+
+    Pushes of a key merge until it has been quiet for ``quiet`` seconds; then the job is due, with the best rank, the first place
+    in line, forced if any was and quiet if all were. A cancel takes back what its key still waits for. Due jobs run by
+    rank, then by seq. Equal times go by seq.
+    """
+    after, wait = Window.partitionBy(*keys).orderBy("ts", "seq"), F.expr(f"INTERVAL {quiet} SECOND")
+    fresh = F.col("cancel") | F.coalesce(F.lag("cancel").over(after), F.lit(True)) | (F.lag("ts").over(after) + wait <= F.col("ts"))
+    runs = events.withColumns({"__fresh": fresh.cast("int"), "__next": F.lead(F.struct("cancel", "ts")).over(after)}).withColumn("__run", F.sum("__fresh").over(after))
+    back = F.coalesce(F.col("__next.cancel") & (F.col("__next.ts") < F.col("ts") + wait), F.lit(False))
+    jobs = runs.filter(~F.col("cancel")).groupBy(*keys, "__run").agg(
+        (F.max("ts") + wait).alias("due"), F.min("rank").alias("rank"), F.min("seq").alias("seq"), F.max("seq").alias("last"), F.bool_or("forced").alias("forced"), F.bool_and("quiet").alias("quiet"), F.count(F.lit(1)).alias("n_pushes"), F.bool_or(back).alias("__back"),
+    )
+    return jobs.filter(~F.col("__back")).drop("__run", "__back")
+
+
+def queue_stream(events: DataFrame, quiet: float, lateness: str) -> DataFrame:
+    """The stream form of ``queued`` for events (key, ts, seq, rank, forced, quiet, cancel), which may come out of order by up to ``lateness``.
+
+    A key's state holds its events that aren't decided yet; its timer is the watermark at which the next is. What is decided
+    leaves the state, due or taken back, once the watermark says that nothing earlier can come. So a state is as large as
+    what its key waits for.
+    """
+    names = ("ts", "seq", "rank", "forced", "quiet", "cancel")
+    wait = int(quiet * 1_000_000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = [tuple(e) for e in json.loads(state.get[0])] if state.exists else []
+        if not state.hasTimedOut:
+            for rows in batches:
+                held += zip(rows["ts"].astype("datetime64[us]").astype("int64").tolist(), *[rows[c].tolist() for c in names[1:]], strict=True)
+        held.sort()
+        mark, due, at = state.getCurrentWatermarkMs() * 1000, [], 0
+        while at < len(held):  # the next run of pushes, or a cancel: nothing before the watermark can join it any more
+            to = at
+            while to < len(held) and not held[to][5] and (to == at or held[to][0] < held[to - 1][0] + wait):
+                to += 1
+            run, end = held[at:to], held[max(at, to - 1)][0] + wait * (to > at)
+            back = to < len(held) and held[to][5] and held[to][0] < end
+            if (held[to][0] if back else end) > mark:
+                break
+            if run and not back:
+                due.append((key[0], end, min(x[2] for x in run), min(x[1] for x in run), max(x[1] for x in run), any(x[3] for x in run), all(x[4] for x in run), len(run)))
+            at = max(to, at + 1)
+        held = held[at:]
+        if held:
+            state.update((json.dumps(held),))
+            state.setTimeoutTimestamp(max(held[0][0] + wait * (not held[0][5]), mark) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        columns = ("key", "due", "rank", "seq", "last", "forced", "quiet", "n_pushes")
+        out = pd.DataFrame(due, columns=columns)
+        out["due"] = pd.to_datetime(out["due"], unit="us")
+        yield out
+
+    schema = "key string, due timestamp, rank int, seq long, last long, forced boolean, quiet boolean, n_pushes long"
+    return events.withWatermark("ts", lateness).groupBy("key").applyInPandasWithState(step, schema, "events string", "append", "EventTimeTimeout")
+
+
 def debounce_stream(changes: DataFrame, quiet: float = EDIT_QUIET, lateness: str = "10 seconds") -> DataFrame:
     """The stream form: session windows by path with the last version and text of each burst, emitted when the watermark passes."""
     burst = F.session_window("ts", f"{int(quiet * 1000)} milliseconds")

@@ -1,7 +1,8 @@
 """Operators, scalar functions and streams on small tables."""
 
 import datetime as dt
-
+import json
+import os
 import random
 
 import pytest
@@ -150,3 +151,27 @@ def test_innermost_of_any_spans(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want) and (1000, 902) in want and (1001, 904) in want
     empty = spark.createDataFrame([], "k int, s int, b int, e int")
     assert spans.innermost(spark.createDataFrame(points, "k int, p int, at int"), empty, ["k"], nulls("at"), nulls("b"), nulls("e"), ["p"], ["s"]).collect() == []
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_queue_stream_equals_batch(spark, tmp_path, seed):
+    """Merged, cancelled and out-of-order jobs over several micro-batches give what the batch form gives; due ones run by rank and place."""
+    rng, start = random.Random(seed), dt.datetime(2024, 1, 1)
+    rows = []
+    for seq in range(240):
+        at = seq + rng.choice((0, 0, 0, -4, 3, 6))  # up to ten seconds out of order
+        rows.append({"key": rng.choice("abcdef"), "ts": (start + dt.timedelta(seconds=max(at, 0) + 20)).isoformat(), "seq": seq, "rank": rng.randrange(4), "forced": rng.random() < 0.2, "quiet": rng.random() < 0.6, "cancel": rng.random() < 0.15})
+    rows.append({"key": "z", "ts": (start + dt.timedelta(hours=1)).isoformat(), "seq": 999, "rank": 0, "forced": False, "quiet": True, "cancel": True})
+    schema = "key string, ts timestamp, seq long, rank int, forced boolean, quiet boolean, cancel boolean"
+    (tmp_path / "in").mkdir()
+    for k in range(0, len(rows), 30):
+        path = tmp_path / "in" / f"{k:04}.json"
+        path.write_text("\n".join(json.dumps(r) for r in rows[k : k + 30]))
+        os.utime(path, (k + 1, k + 1))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    run(schedule.queue_stream(stream, 5, "15 seconds"), f"due_jobs{seed}", "append")
+    got = spark.table(f"due_jobs{seed}")
+    want = schedule.queued(spark.read.schema(schema).json(str(tmp_path / "in")), ["key"], 5)
+    columns = ["key", "due", "rank", "seq", "last", "forced", "quiet", "n_pushes"]
+    rows_of = lambda df: sorted(map(tuple, df.select(*columns).collect()))
+    assert rows_of(got) == rows_of(want) and want.filter("n_pushes > 1").count() > 5
