@@ -72,6 +72,43 @@ def streamed_digest(df: DataFrame, keys: Sequence[str], parts: Sequence[Column],
     return rows.select(*keys, "__text").mapInArrow(run, out)
 
 
+#: Ids, or nodes, that one node of a hash tree covers, and levels above the rows.
+FAN, LEVELS = 1_024, 3
+
+
+def hash_tree(df: DataFrame, keys: Sequence[str], parts: Sequence[Column], id_: str, fan: int = FAN, levels: int = LEVELS) -> DataFrame:
+    """Nodes (keys, level, node, hash) of a hash tree over each key's rows: at level 1 for every ``fan`` ids, at the next for every
+    ``fan`` nodes, and at last, at level ``levels`` + 1, one for the key.
+
+    A key of any size is dealt out by ranges of ids: no group is larger than ``fan`` rows or nodes, but for rows that repeat an
+    id and, at the top, keys with more than ``fan`` ** (``levels`` + 1) ids. A node's hash is that of its rows, framed as in ``digest``, or of
+    its children's numbers and hashes, in order.
+    """
+    listed = lambda text: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(text)), lambda r: r["said"]), ""), 256).alias("hash")
+    node = F.floor(F.col(id_) / fan).cast("long")
+    at = df.select(*keys, F.col(id_).alias("__id"), node.alias("node"), _framed(parts).alias("said")).groupBy(*keys, "node").agg(listed(F.struct("__id", "said")))
+    out = at.select(*keys, F.lit(1).alias("level"), "node", "hash")
+    for level in range(2, levels + 2):
+        above = F.floor(F.col("node") / fan).cast("long") if level <= levels else F.lit(0).cast("long")
+        said = F.concat(F.col("node").cast("string"), F.lit(":"), F.col("hash"), F.lit(";"))
+        at = at.select(*keys, above.alias("node"), F.col("node").alias("child"), said.alias("said")).groupBy(*keys, "node").agg(listed(F.struct("child", "said")))
+        out = out.union(at.select(*keys, F.lit(level), "node", "hash"))
+    return out
+
+
+def unequal_ranges(one: DataFrame, other: DataFrame, keys: Sequence[str], fan: int = FAN, levels: int = LEVELS) -> DataFrame:
+    """(keys, node) of the ranges of ids, of ``fan`` each, in which two trees differ: only nodes below unequal ones are compared. Null keys equal none."""
+    narrow, below = None, [*keys, "node"]
+    for level in range(levels + 1, 0, -1):
+        a, b = (t.filter(F.col("level") == level).select(*below, F.col("hash").alias(n)) for t, n in ((one, "a"), (other, "b")))
+        if narrow is not None:
+            above = F.floor(F.col("node") / fan).cast("long") if level < levels else F.lit(0).cast("long")
+            a, b = (t.withColumn("above", above).join(narrow, [*keys, "above"], "left_semi").drop("above") for t in (a, b))
+        differ = a.join(b, below, "full").filter(~F.col("a").eqNullSafe(F.col("b"))).select(*below)
+        narrow = differ.withColumnRenamed("node", "above")
+    return differ
+
+
 def plan(now: DataFrame, stored: DataFrame, key: str, version: str) -> DataFrame:
     """What to do with each key: compile (new or changed), keep (same version) or remove (gone)."""
     both = now.select(key, F.col(version).alias("__now")).join(stored.select(key, F.col(version).alias("__then")), key, "full")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rtlake.functions import text as T
-from rtlake.functions.code import blanked, mapped_column
+from rtlake.functions.code import NAME, blanked, mapped_column
 from rtlake.operators import closure, sets, writes
 from rtlake.plans import checks, declare, preprocess
 from rtlake.plans.checks import ERROR
@@ -33,7 +33,8 @@ TABLES = {
 }
 #: What an index holds besides: nested rows of each unit, of which the tables are made; files and what a scan found in them;
 #: which files a unit reads; fingerprints; diagnostics of checks across units, and the names that these look up.
-KEPT = ("compiled", "files", "contents", "units", "problems", "uses")
+#: ``words`` says in which files a name stands at all, ranged by name.
+KEPT = ("compiled", "files", "contents", "units", "problems", "uses", "words")
 _NESTED = "unit string, " + ", ".join(f"{name} array<struct<{re.sub(r'(^|, )(\w+) (?=string|int|boolean|array)', r'\1\2: ', ddl)}>>" for name, ddl in TABLES.items())
 
 
@@ -79,23 +80,23 @@ _DEFINED = re.compile(r"`define\s[^\n]*(?:\\\n[^\n]*)*")
 
 _DECLARES = re.compile(r"(?<![\w$])(?:macromodule|module|interface|program|package|class)\s+(?:automatic\s+|static\s+)?([A-Za-z_][\w$]*)")
 _NAMES = re.compile(r"(?<![\w$])(?:import|extends|implements)\s+([A-Za-z_][\w$]*)|([A-Za-z_][\w$]*)\s*::")
-SCAN = ["path", "hash", "size", "wanted", "computed", "offered", "declares", "names"]
+SCAN = ["path", "hash", "size", "wanted", "computed", "offered", "declares", "names", "identifiers"]
 #: Stands in the include graph for whatever macros may name.
 _ANY = "`"
 
 
 def scanned(files: DataFrame) -> DataFrame:
-    """(path, hash, size, wanted, computed, offered, declares, names) of files (path, text), by a scan of words alone.
+    """(path, hash, size, wanted, computed, offered, declares, names, identifiers) of files (path, text), by a scan of words alone.
 
     ``wanted``: base names that its includes name; ``computed``: whether one includes what a macro stands for; ``offered``: base
     names in its macros' bodies, which such an include may mean. ``declares``: names of units, packages and classes;
-    ``names``: what it imports, extends or qualifies by.
+    ``names``: what it imports, extends or qualifies by; ``identifiers``: all names outside comments and strings.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = lambda name: name.replace("\\", "/").rpartition("/")[2]
         for b in batches:
-            wanted, computed, offered, declares, said = [], [], [], [], []
+            wanted, computed, offered, declares, said, words = [], [], [], [], [], []
             for text in b.column("text").to_pylist():
                 found = _INCLUDE.findall(text or "")
                 wanted.append(sorted({base(q or a) for q, a, m in found if not m}))
@@ -104,11 +105,17 @@ def scanned(files: DataFrame) -> DataFrame:
                 plain = blanked(text or "")
                 declares.append(sorted(set(_DECLARES.findall(plain))))
                 said.append(sorted({x for pair in _NAMES.findall(plain) for x in pair if x}))
+                words.append(sorted(set(NAME.findall(plain))))
             strings = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("hash"), b.column("size"), pa.array(wanted, strings), pa.array(computed, pa.bool_()), *[pa.array(x, strings) for x in (offered, declares, said)]], names=SCAN)
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("hash"), b.column("size"), pa.array(wanted, strings), pa.array(computed, pa.bool_()), *[pa.array(x, strings) for x in (offered, declares, said, words)]], names=SCAN)
 
     hashed = files.select("path", T.content_hash(F.col("text")).alias("hash"), F.octet_length("text").cast("long").alias("size"), "text")
-    return hashed.mapInArrow(scan, "path string, hash string, size long, wanted array<string>, computed boolean, offered array<string>, declares array<string>, names array<string>")
+    return hashed.mapInArrow(scan, "path string, hash string, size long, wanted array<string>, computed boolean, offered array<string>, declares array<string>, names array<string>, identifiers array<string>")
+
+
+def words_of(scans: DataFrame) -> DataFrame:
+    """(name, path): the files that a search for a name must open."""
+    return scans.select(F.explode("identifiers").alias("name"), "path")
 
 
 def needed(units: DataFrame, scans: DataFrame, config: Config) -> DataFrame:
@@ -205,7 +212,7 @@ def build(files: DataFrame, units: DataFrame, config: Config, folder: str | None
         rows, units = settled(rows, files, scans, libraries, config)
     out = tables_of(rows) | {"compiled": rows, "files": scans}
     out["units"] = fingerprints(units, out["include_sites"], scans, config)
-    out["problems"], out["uses"] = checks.problems(out), checks.uses(out)
+    out["problems"], out["uses"], out["words"] = checks.problems(out), checks.uses(out), words_of(scans)
     return write(out, folder) if folder else out
 
 
@@ -254,7 +261,7 @@ def write(tables: dict[str, DataFrame], folder: str, base: int | None = None) ->
     while not _made((claim := _store(spark, f"{folder}/v{version}/_CLAIM"))[1], claim[0]):
         version += 1
     for name, df in tables.items():
-        by = "name" if name in ("symbols", "uses") else "unit" if "unit" in df.columns else None
+        by = "name" if name in ("symbols", "uses", "words") else "unit" if "unit" in df.columns else None
         df = df.repartitionByRange(by).sortWithinPartitions(by) if by else df
         df.write.option("parquet.bloom.filter.enabled#name", by == "name").parquet(f"{folder}/v{version}/{name}")
     after, store = _store(spark, f"{folder}/after-{base}")
@@ -313,4 +320,5 @@ def refresh(index: dict[str, DataFrame], files: DataFrame, units: DataFrame, con
     again = closure.cut(users.union(gone).union(givers[0]).union(givers[1]).distinct())
     out["problems"] = checks.merged(index["problems"], checks.problems(out, again, touched), again, touched)
     out["uses"] = writes.replace_by_key(index["uses"], checks.uses({n: out[n].join(again, "unit", "left_semi") for n in ("instantiations", "calls", "type_refs", "imports")}), ["unit"], again)
+    out["words"] = words_of(scans)
     return out, todo

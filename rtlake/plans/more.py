@@ -74,7 +74,7 @@ def changed_scopes(t: Tables) -> DataFrame:
 
 @query("watched_bursts", "WITH g AS (SELECT event_type, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) < INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM g) SELECT event_type, max(event_id) AS event_id, count(*) AS n_events FROM s GROUP BY event_type, n")
 def watched_bursts(t: Tables) -> DataFrame:
-    return schedule.debounced(t.events, ["event_type"], "ts", 1800, ["event_id"])
+    return schedule.bursts(t.events, ["event_type"], "ts", 1800, ["event_id"])
 
 
 @query(

@@ -129,8 +129,21 @@ def digest_per_key(t: Tables) -> DataFrame:
     return sets.digest(t.events, ["user_id"], [F.col("event_id"), F.col("event_type")], ["event_id"])
 
 
-@query("fingerprint", "SELECT source, sha256(string_agg(length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR) || '64:' || sha256(text), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+@query(
+    "fingerprint",
+    """WITH l1 AS (SELECT source, doc_id // 1024 AS node, sha256(string_agg(length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR) || '64:' || sha256(text), '' ORDER BY doc_id)) AS hash FROM documents GROUP BY 1, 2),
+       l2 AS (SELECT source, node // 1024 AS node, sha256(string_agg(node || ':' || hash || ';', '' ORDER BY l1.node)) AS hash FROM l1 GROUP BY source, l1.node // 1024),
+       l3 AS (SELECT source, node // 1024 AS node, sha256(string_agg(node || ':' || hash || ';', '' ORDER BY l2.node)) AS hash FROM l2 GROUP BY source, l2.node // 1024)
+       SELECT source, sha256(string_agg(node || ':' || hash || ';', '' ORDER BY node)) AS fingerprint FROM l3 GROUP BY source""",
+)
 def fingerprint(t: Tables) -> DataFrame:
+    """The root of each source's hash tree: no task has more than a thousand of a source's documents."""
+    nodes = sets.hash_tree(t.documents.select("source", "doc_id", T.content_hash(F.col("text")).alias("hash")), ["source"], [F.col("doc_id"), F.col("hash")], "doc_id")
+    return nodes.filter(F.col("level") == sets.LEVELS + 1).select("source", F.col("hash").alias("fingerprint"))
+
+
+@query("fingerprint_ordered", "SELECT source, sha256(string_agg(length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR) || '64:' || sha256(text), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+def fingerprint_ordered(t: Tables) -> DataFrame:
     return sets.streamed_digest(t.documents.select("source", "doc_id", T.content_hash(F.col("text")).alias("hash")), ["source"], [F.col("doc_id"), F.col("hash")], ["doc_id"], "fingerprint")
 
 

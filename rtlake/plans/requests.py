@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rtlake.functions import text as T
 from rtlake.functions.code import occurrences
 from rtlake.operators import closure, lookup, spans
-from rtlake.plans.checks import UNITS, problems
+from rtlake.plans.checks import UNITS, chosen, problems
 
 Index = dict[str, DataFrame]
 ROUTINES = ("Function", "Task", "Constructor")
@@ -119,14 +119,18 @@ def macro(index: Index, name: str, file: str, line: int) -> DataFrame:
 
 
 def references(index: Index, files: DataFrame, name: str) -> DataFrame:
-    """(file, line, col, declaration) of a name's occurrences outside comments and strings, in files that hold the name at all."""
+    """(file, line, col, declaration) of a name's occurrences outside comments and strings.
+
+    Only files in which the index has seen the name are opened: few paths are a filter that reaches the scan of texts.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(p, line, col) for p, t in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True) for _, line, col in occurrences(t, name)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], names=["file", "line", "col"])
 
-    found = files.filter(F.contains("text", F.lit(name))).select("path", "text").mapInArrow(find, "file string, line int, col int")
+    holds = chosen(lookup.exact(index["words"], "name", name).select("path"), "path")
+    found = holds(files).select("path", "text").mapInArrow(find, "file string, line int, col int")
     declared = lookup.exact(index["symbols"], "name", name).select("file", "line", "col", F.lit(True).alias("__d")).distinct()
     return found.join(declared, ["file", "line", "col"], "left").select("file", "line", "col", F.coalesce("__d", F.lit(False)).alias("declaration"))
 

@@ -22,6 +22,20 @@ def debounced(events: DataFrame, keys: Sequence[str], ts: str, quiet: float, las
     return runs.groupBy(*keys, "__run").agg(*[F.max(c).alias(c) for c in last], F.count(F.lit(1)).alias("n_events")).drop("__run")
 
 
+def bursts(events: DataFrame, keys: Sequence[str], ts: str, quiet: int, last: Sequence[str], chunk: int = 86_400) -> DataFrame:
+    """``debounced`` for keys with any number of events: each ``chunk`` seconds of a key are a task's work, of which its bursts are kept,
+    and only these, in order, are joined where the first of a chunk goes on with the last of the one before."""
+    wait = F.expr(f"INTERVAL {quiet} SECOND")
+    dealt = events.select(*keys, *last, F.col(ts).alias("__t"), F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (chunk * 1_000_000)).alias("__chunk"))
+    own = Window.partitionBy(*keys, "__chunk").orderBy("__t", *last)
+    apart = F.coalesce(F.lag("__t").over(own) + wait <= F.col("__t"), F.lit(True)).cast("int")
+    runs = dealt.withColumn("__new", apart).withColumn("__run", F.sum("__new").over(own))
+    some = runs.groupBy(*keys, "__chunk", "__run").agg(F.min("__t").alias("__from"), F.max("__t").alias("__to"), *[F.max(c).alias(c) for c in last], F.count(F.lit(1)).alias("n_events"))
+    order = Window.partitionBy(*keys).orderBy("__from", "__to")
+    joined = some.withColumn("__new", F.coalesce(F.lag("__to").over(order) + wait <= F.col("__from"), F.lit(True)).cast("int")).withColumn("__burst", F.sum("__new").over(order))
+    return joined.groupBy(*keys, "__burst").agg(*[F.max(c).alias(c) for c in last], F.sum("n_events").alias("n_events")).drop("__burst")
+
+
 def merged(jobs: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """Pending jobs of a key as one: the best rank, the first place in line, forced if any is, quiet if all are."""
     return jobs.groupBy(*keys).agg(F.min("rank").alias("rank"), F.max(seq).alias("last"), F.min(seq).alias("seq"), F.bool_or("forced").alias("forced"), F.bool_and("quiet").alias("quiet"))

@@ -175,3 +175,21 @@ def test_queue_stream_equals_batch(spark, tmp_path, seed):
     columns = ["key", "due", "rank", "seq", "last", "forced", "quiet", "n_pushes"]
     rows_of = lambda df: sorted(map(tuple, df.select(*columns).collect()))
     assert rows_of(got) == rows_of(want) and want.filter("n_pushes > 1").count() > 5
+
+
+def test_hash_tree_finds_what_differs(spark):
+    rows = [("a", i, f"t{i}") for i in range(0, 300, 3)] + [("b", i, "x") for i in range(5)] + [(None, 7, None)]
+    changed = [r if r[:2] != ("a", 150) else ("a", 150, "other") for r in rows if r[:2] != ("a", 9)] + [("c", 1, "new")]
+    tree = lambda xs: sets.hash_tree(spark.createDataFrame(xs, "k string, id long, t string"), ["k"], [F.col("id"), F.coalesce("t", F.lit(""))], "id", 4, 2)
+    one, two, same = tree(rows), tree(changed), tree(rows[::-1])
+    assert {(r["k"], r["node"]) for r in sets.unequal_ranges(one, two, ["k"], 4, 2).collect() if r["k"]} == {("a", 2), ("a", 37), ("c", 0)}
+    assert [r for r in sets.unequal_ranges(one, same, ["k"], 4, 2).collect() if r["k"]] == []
+    assert one.filter("level = 3").count() == 3 and one.filter("level = 1 AND k = 'a'").count() == 75
+
+
+def test_bursts_across_chunks(spark):
+    rng, start = random.Random(1), dt.datetime(2024, 1, 1)
+    rows = [(rng.choice("ab"), start + dt.timedelta(seconds=rng.randrange(4000)), i) for i in range(300)]
+    events = spark.createDataFrame(rows, "k string, ts timestamp, id int")
+    key = lambda df: sorted(map(tuple, df.select("k", "id", "n_events").collect()))
+    assert key(schedule.bursts(events, ["k"], "ts", 20, ["id"], 60)) == key(schedule.debounced(events, ["k"], "ts", 20, ["id"]))

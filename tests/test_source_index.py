@@ -292,3 +292,15 @@ def test_library_files_in_waves(whole_tree):
     got = index.build(files, units("/l/top.sv"), index.Config(), libraries=lib)
     same(got, index.build(files, units("/l/top.sv", "/l/lib/one.sv", "/l/lib/two.sv", "/l/lib/three.sv", "/l/lib/far.sv"), index.Config()))
     assert names(got["problems"], "source", "subject") == [("instances", "nothing")]
+
+
+def test_search_opens_files_that_hold_the_name(spark, whole_tree, before, tmp_path):
+    files, _ = whole_tree(TREE)
+    files.repartitionByRange(7, "path").sortWithinPartitions("path").write.parquet(str(tmp_path / "texts"))
+    stored = spark.read.parquet(str(tmp_path / "texts"))
+    every = {(f, line, col) for f, t in TREE.items() for _, line, col in code.occurrences(t, "sub")}
+    found = requests.references(before, stored, "sub")
+    assert {tuple(r)[:3] for r in found.collect()} == every and len(every) == 3
+    plan = found._jdf.queryExecution().toString()
+    assert "In(path, [" in plan.replace("PushedFilters: [", "") and "/r/d.sv" not in plan.split("PushedFilters")[1].split("\n")[0]
+    assert requests.references(before, stored, "nowhere_at_all").count() == 0
