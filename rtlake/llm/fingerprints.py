@@ -1,9 +1,10 @@
 """Document fingerprints by threshold-scaled sketches (native).
 
-A document's sketch keeps every hash of its five-word shingles below a fixed fraction of the hash range, so sketches of
-short and long documents are samples at one rate: intersections estimate containment whatever the sizes, and the sketch
-of a union is the union of sketches. Where fewer than ``FLOOR`` hashes fall below the fraction, the ``FLOOR`` smallest are
-kept and the sketch says up to which hash it is complete; two sketches are compared up to the lower of their limits.
+A document's sketch keeps every hash of its five-word shingles below a fixed fraction of the hash range. The fractions are
+nested: all, 1/2, 1/4, 1/8, 1/16. A text takes the densest of which it has at most ``BOUND`` hashes, and the sparsest,
+``SPARSEST``, if it has more in each: so a long text is always sampled at one rate, and a short one is complete. Two sketches are
+compared at the sparser of their fractions, where both keep every hash: intersections estimate containment whatever the
+sizes, and the sketch of a union is the union of sketches there.
 """
 
 from __future__ import annotations
@@ -13,40 +14,40 @@ from pyspark.sql import functions as F
 
 from rtlake.llm.common import WORD, let, table
 
-SHINGLE, FLOOR = 5, 64
-#: One in so many hashes is kept.
-SCALE = 2
-_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
-LIMIT = _LOW + (1 << 64) // SCALE
+#: Words of a shingle; hashes that a fraction may keep before the next sparser one is taken.
+SHINGLE, BOUND = 5, 128
+#: Bits of a hash that are kept, and the sparsest fraction (one in so many, a power of two).
+BITS, SPARSEST = 32, 16
+#: What the hashes of the fractions are below, from the densest on.
+LIMITS = [(1 << BITS) >> level for level in range(SPARSEST.bit_length())]
+_LOW = -(1 << 63)
 
 
-def sketch(text: Column, shingle: int = SHINGLE, floor: int = FLOOR) -> Column:
-    """struct<limit: long, hashes: array<long>>: sorted distinct hashes up to ``limit``.
+def sketch(text: Column, shingle: int = SHINGLE, bound: int = BOUND) -> Column:
+    """struct<limit: long, hashes: array<long>>: all distinct hashes below ``limit``, in order.
 
-    Fewer words than a shingle: the whole sequence is one. No words or a null text: no hashes, complete.
+    Fewer words than a shingle: the whole sequence is one. No words or a null text: no hashes, complete. Words are hashed once
+    and shingles from their words' hashes.
     """
 
     def of(words: Column) -> Column:
         n = F.size(words)
-        at = F.sequence(F.lit(1), F.greatest(n - (shingle - 1), F.lit(1)))
-        return F.when(n > 0, F.transform(at, lambda i: F.xxhash64(F.slice(words, i, shingle)))).otherwise(F.array().cast("array<long>"))
+        at = F.sequence(F.lit(0), F.greatest(n - shingle, F.lit(0)))
+        one = lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(words, i + k) for k in range(shingle)]), 64 - BITS)
+        return F.when(n > 0, F.sort_array(F.array_distinct(F.transform(at, one)))).otherwise(F.array().cast("array<long>"))
 
     def kept(hashes: Column) -> Column:
-        return let(F.array_distinct(F.filter(hashes, lambda h: h <= LIMIT)), lambda low: F.when(F.size(low) >= floor, F.struct(F.lit(LIMIT).alias("limit"), F.sort_array(low).alias("hashes"))).otherwise(let(F.sort_array(F.array_distinct(hashes)), all_of)))
-
-    def all_of(hashes: Column) -> Column:
-        complete = F.size(hashes) <= floor
-        low = F.slice(hashes, 1, floor)
-        edge = F.when(complete, F.lit(_HIGH)).otherwise(F.greatest(F.element_at(low, -1), F.lit(LIMIT)))
-        return let(edge, lambda e: F.struct(e.alias("limit"), F.filter(hashes, lambda h: h <= e).alias("hashes")))
+        beyond = F.get(hashes, F.lit(bound))  # null if all fit
+        limit = F.coalesce(F.when(beyond.isNull(), F.lit(LIMITS[0])), *[F.when(beyond >= x, F.lit(x)) for x in LIMITS[1:]], F.lit(LIMITS[-1]))
+        return let(limit, lambda e: F.struct(e.alias("limit"), F.filter(hashes, lambda h: h < e).alias("hashes")))
 
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    return let(let(words, of), kept)
+    return let(let(F.transform(words, lambda w: F.xxhash64(w)), of), kept)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated containment of the smaller of two sketched sets in the other, 0 to 1; of equal sketches 1, of an empty and another 0."""
-    within = lambda limit: (F.filter(a["hashes"], lambda h: h <= limit), F.filter(b["hashes"], lambda h: h <= limit))
+    within = lambda limit: (F.filter(a["hashes"], lambda h: h < limit), F.filter(b["hashes"], lambda h: h < limit))
 
     def ratio(limit: Column) -> Column:
         x, y = within(limit)
@@ -59,12 +60,13 @@ def likeness(a: Column, b: Column) -> Column:
 def merge(a: Column, b: Column) -> Column:
     """The sketch of the union of two sketched sets."""
     limit = F.least(a["limit"], b["limit"])
-    return F.struct(limit.alias("limit"), F.filter(F.array_sort(F.array_union(a["hashes"], b["hashes"])), lambda h: h <= limit).alias("hashes"))
+    return F.struct(limit.alias("limit"), F.filter(F.array_sort(F.array_union(a["hashes"], b["hashes"])), lambda h: h < limit).alias("hashes"))
 
 
 def as_text(s: Column) -> Column:
-    """A sketch as text: limit and hashes in hexadecimal, joined by colon and commas."""
-    return F.concat(F.hex(s["limit"]), F.lit(":"), F.array_join(F.transform(s["hashes"], lambda h: F.hex(h)), ","))
+    """A sketch as text: the fraction (one in so many), a colon, and the hashes' four bytes each in base64 without line ends."""
+    every = F.array_join(F.transform(s["hashes"], lambda h: F.lpad(F.hex(h), BITS // 4, "0")), "")
+    return F.concat((F.lit(LIMITS[0]) / s["limit"]).cast("int").cast("string"), F.lit(":"), F.translate(F.base64(F.unhex(every)), "\r\n", ""))
 
 
 def followed(docs: DataFrame, parts: int | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators against brute force, round trips, the original library or held-out accuracy on sf0.01 or small fixtures."""
 
+import base64
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -132,37 +134,40 @@ def test_fingerprints_row_by_row(spark):
     """Every column against a plain loop: hashes, edited texts, likeness."""
     xxhash = pytest.importorskip("xxhash")
     rng = random.Random(4)
-    docs = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(n)) for _ in range(n))) for i, n in enumerate((1, 3, 40, 200, 700))] + [(9, ""), (12, "é漢 X")]
+    docs = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(n)) for _ in range(n))) for i, n in enumerate((1, 3, 40, 200, 700, 4000))] + [(9, ""), (12, "é漢 X")]
 
-    def words_hash(words):
+    def chained(parts):
         h = 42
-        for w in words:
-            h = xxhash.xxh64_intdigest(w.encode(), seed=h)
-        return h - (1 << 64) if h >> 63 else h
+        for raw in parts:
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+        return h
 
     def sketch(text):
-        words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
-        every = sorted({words_hash(words[i : i + 5]) for i in range(max(1, len(words) - 4))}) if words else []
-        low = [h for h in every if h <= fingerprints.LIMIT]
-        if len(low) >= fingerprints.FLOOR:
-            return fingerprints.LIMIT, low
-        return ((1 << 63) - 1, every) if len(every) <= fingerprints.FLOOR else (max(fingerprints.LIMIT, every[fingerprints.FLOOR - 1]), every[: fingerprints.FLOOR])
+        words = [chained([w.encode()]).to_bytes(8, "little") for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower())]
+        every = sorted({chained(words[i : i + 5]) >> 32 for i in range(max(1, len(words) - 4))}) if words else []
+        for limit in (1 << 32, 1 << 31, 1 << 30, 1 << 29, 1 << 28):
+            low = [h for h in every if h < limit]
+            if len(low) <= 128:
+                break
+        return limit, low
 
     def like(a, b):
         if a[1] == b[1]:
             return 1.0
-        x, y = ({h for h in s[1] if h <= min(a[0], b[0])} for s in (a, b))
+        x, y = ({h for h in s[1] if h < min(a[0], b[0])} for s in (a, b))
         return len(x & y) / min(len(x), len(y)) if x and y else 0.0
 
+    def shown(s):
+        return f"{(1 << 32) // s[0]}:" + base64.b64encode(b"".join(h.to_bytes(4, "big") for h in s[1])).decode()
+
     order = sorted(docs, reverse=True)
     following = {order[i][0]: order[(i + 1) % len(order)][1] for i in range(len(order))}
-    import hashlib
-
     for r in fingerprints.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect():
         text, after = dict(docs)[r["doc_id"]], following[r["doc_id"]]
         third = len(text) // 3
         edited = text[: len(text) - third] + after[:third]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(sketch(text)), shown(sketch(edited)))
         assert (r["near_edited"], r["near_next"]) == pytest.approx((like(sketch(text), sketch(edited)), like(sketch(text), sketch(after))))
 
 
