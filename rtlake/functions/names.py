@@ -101,3 +101,12 @@ def macro_names(text: str) -> list[tuple[str, int]]:
 def macro_name_at(text: str, at: int) -> str | None:
     """The macro name that holds offset ``at``, or whose backtick is there."""
     return next((n for n, i in macro_names(text) if i <= at < i + len(n) or (at == i - 1 and text[at] == "`")), None)
+
+
+# Details of forward typedefs, the words that stand before the name; "type" where there are none.
+FORWARD = ("class", "interface class", "enum", "struct", "union", "type")
+
+
+def is_forward(kind: Column, detail: Column) -> Column:
+    """Whether a row is a forward typedef, whose detail is only a keyword. A type with a body has none, or its type's name."""
+    return (kind == "Typedef") & detail.isin(*FORWARD)

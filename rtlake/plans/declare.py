@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from typing import NamedTuple
 
 from rtlake.functions.code import clean_doc
+from rtlake.functions.names import FORWARD
 
 ROW = "kind string, name string, line int, col int, parent string, detail string, end_line int, end_col int, scope string, file string, doc string, access string"
 IMPORT = "pkg_name string, item string, line int, file string, is_export boolean, scope string, col int, pkg_col int"
@@ -330,8 +331,9 @@ class Parser:
                 if not depth:
                     break
         name, rest = body[-1], body[:-1]
-        forward = len(rest) <= 2 and (not rest or rest[-1].text in ("class", "enum", "struct", "union"))
-        row = self.row("Typedef", name, scope, (rest[-1].text if rest else "forward") if forward else self.type_text(rest, scope))
+        before = " ".join(t.text for t in rest) or "type"
+        detail = before if before in FORWARD else "" if rest[0].text in ("enum", "struct", "union") else self.type_text(rest, scope)
+        row = self.row("Typedef", name, scope, detail)
         row["end_line"] = self.tokens[self.at - 1].line
         self.members(scope, rest, name.text)
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from rtlake.functions import text as T
 from rtlake.functions.code import NAME, blanked, mapped_column
-from rtlake.operators import closure, sets, writes
+from rtlake.functions.names import is_forward
+from rtlake.operators import closure, sets, subsequences, writes
 from rtlake.plans import checks, declare, preprocess
 from rtlake.plans.checks import ERROR
 
@@ -33,8 +34,9 @@ TABLES = {
 }
 #: What an index holds besides: nested rows of each unit, of which the tables are made; files and what a scan found in them;
 #: which files a unit reads; fingerprints; diagnostics of checks across units, and the names that these look up.
-#: ``words`` says in which files a name stands at all, ranged by name.
-KEPT = ("compiled", "files", "contents", "units", "problems", "uses", "words")
+#: ``words`` says in which files a name stands at all, ranged by name; ``grams`` which names of symbols hold which characters in
+#: order, ranged by gram, and ``gram_counts`` how many do.
+KEPT = ("compiled", "files", "contents", "units", "problems", "uses", "words", "grams", "gram_counts")
 _NESTED = "unit string, " + ", ".join(f"{name} array<struct<{re.sub(r'(^|, )(\w+) (?=string|int|boolean|array)', r'\1\2: ', ddl)}>>" for name, ddl in TABLES.items())
 
 
@@ -118,6 +120,11 @@ def words_of(scans: DataFrame) -> DataFrame:
     return scans.select(F.explode("identifiers").alias("name"), "path")
 
 
+def shown(symbols: DataFrame) -> DataFrame:
+    """Symbols that a search by name lists: neither blocks nor forward declarations."""
+    return symbols.filter((F.col("kind") != "Block") & ~is_forward(F.col("kind"), F.col("detail")))
+
+
 def needed(units: DataFrame, scans: DataFrame, config: Config) -> DataFrame:
     """(unit, path): the files that a unit may read, itself included; a superset, as includes count by their base names.
 
@@ -213,6 +220,8 @@ def build(files: DataFrame, units: DataFrame, config: Config, folder: str | None
     out = tables_of(rows) | {"compiled": rows, "files": scans}
     out["units"] = fingerprints(units, out["include_sites"], scans, config)
     out["problems"], out["uses"], out["words"] = checks.problems(out), checks.uses(out), words_of(scans)
+    out["grams"] = subsequences.postings(shown(out["symbols"]))
+    out["gram_counts"] = subsequences.counts(out["grams"])
     return write(out, folder) if folder else out
 
 
@@ -261,7 +270,7 @@ def write(tables: dict[str, DataFrame], folder: str, base: int | None = None) ->
     while not _made((claim := _store(spark, f"{folder}/v{version}/_CLAIM"))[1], claim[0]):
         version += 1
     for name, df in tables.items():
-        by = "name" if name in ("symbols", "uses", "words") else "unit" if "unit" in df.columns else None
+        by = "name" if name in ("symbols", "uses", "words") else "gram" if name == "grams" else "unit" if "unit" in df.columns else None
         df = df.repartitionByRange(by).sortWithinPartitions(by) if by else df
         df.write.option("parquet.bloom.filter.enabled#name", by == "name").parquet(f"{folder}/v{version}/{name}")
     after, store = _store(spark, f"{folder}/after-{base}")
@@ -321,4 +330,6 @@ def refresh(index: dict[str, DataFrame], files: DataFrame, units: DataFrame, con
     out["problems"] = checks.merged(index["problems"], checks.problems(out, again, touched), again, touched)
     out["uses"] = writes.replace_by_key(index["uses"], checks.uses({n: out[n].join(again, "unit", "left_semi") for n in ("instantiations", "calls", "type_refs", "imports")}), ["unit"], again)
     out["words"] = words_of(scans)
+    out["grams"] = subsequences.updated(index["grams"], shown(out["symbols"]))
+    out["gram_counts"] = subsequences.counts(out["grams"])
     return out, todo

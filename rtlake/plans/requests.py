@@ -10,19 +10,16 @@ from pyspark.sql import functions as F
 
 from rtlake.functions import text as T
 from rtlake.functions.code import occurrences
-from rtlake.operators import closure, lookup, spans
+from rtlake.functions.names import is_forward
+from rtlake.operators import closure, lookup, spans, subsequences
 from rtlake.plans.checks import UNITS, chosen, problems
+from rtlake.plans.index import shown
 
 Index = dict[str, DataFrame]
 ROUTINES = ("Function", "Task", "Constructor")
 HIDDEN = ("Block", "Constructor")
 
 
-def is_forward(kind: Column, detail: Column) -> Column:
-    """Whether a row is a forward typedef, whose detail is only a keyword."""
-    return (kind == "Typedef") & detail.isin("class", "enum", "struct", "union", "forward")
-
-
 def declares(kind: Column) -> Column:
     """Whether rows of this kind declare something that other files can name."""
     return kind.isin("Module", "Interface", "Program", "Package", "Class", "Function", "Task", "Typedef", "Checker", "Parameter", "Covergroup")
@@ -160,6 +157,18 @@ def workspace_symbols(index: Index, start: str) -> DataFrame:
     return rows.select("kind", "name", "file", "line", "col", T.display_scope(F.col("scope")).alias("container")).union(macros)
 
 
+def fuzzy_symbols(index: Index, pattern: str, most: int = 100) -> DataFrame:
+    """Symbols whose names hold ``pattern`` as a subsequence: those of the ``most`` best names, best first, with a rank text.
+
+    The names come from the list of the pattern's rarest pair of characters alone; few names are a filter that reaches the scan.
+    """
+    rows = shown(index["symbols"])
+    best = lookup.top(subsequences.search(rows, index["grams"], index["gram_counts"], pattern), most, F.desc("score"), "name")
+    rows = chosen(best.select("name"), "name")(rows).join(best, "name")
+    rows = rows.select("kind", "name", "file", "line", "col", T.display_scope(F.col("scope")).alias("container"), "score")
+    return lookup.ranked(rows, F.desc("score"), "name", "file", "line", "col")
+
+
 def hover(index: Index, file: str, line: int, col: int, name: str, qualifier: str = "") -> DataFrame:
     found = definition(index, file, line, col, name, qualifier)
     return found.select("kind", "name", F.replace("detail", F.lit("\x1f"), F.lit(" = ")).alias("detail"), T.doc_markdown(F.col("doc")).alias("doc"), T.display_scope(F.col("scope")).alias("scope"), "exact")
@@ -169,8 +178,8 @@ def completion(index: Index, file: str, line: int, col: int, pattern: str = "",
     """Candidates at a position: of a name and kind the nearest, scored, best first, with a rank text; all of them, or the best ``most``."""
     rows = members(index, receiver_type).withColumns({"arm": F.lit(0), "level": F.col("depth")}) if receiver_type else visible(index, file, line, col)
     rows = rows.filter(~F.col("kind").isin(*HIDDEN))
-    first = lookup.first_wins(rows, ["name", "kind"], "arm", "level", is_forward(F.col("kind"), F.col("detail")).cast("int"), "file", "line", "col")
-    scored = first.withColumn("score", T.fuzzy_score(F.col("name"), F.lit(pattern))).filter("score IS NOT NULL")
+    scored = rows.withColumn("score", T.fuzzy_score(F.col("name"), F.lit(pattern))).filter("score IS NOT NULL")  # by name, so before the exchange
+    scored = lookup.first_wins(scored, ["name", "kind"], "arm", "level", is_forward(F.col("kind"), F.col("detail")).cast("int"), "file", "line", "col")
     kept = lookup.top(scored, most, F.desc("score"), "name") if most else scored
     return lookup.ranked(kept, F.desc("score"), "name").select("name", "kind", "detail", "score", "rank_text", "file", "line")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rtlake.functions import text as T
-from rtlake.operators import spans
+from rtlake.operators import spans, subsequences
 from rtlake.plans.registry import Tables, query
 
 
@@ -108,7 +108,33 @@ def unit_order(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", spans.unit_order(F.array("o_custkey", "o_orderkey")).alias("place"))
 
 
-@query("fuzzy_rank")
+#: The greedy match of names and patterns (relation q: id, name, pattern), a character of the name a step.
+FUZZY_SQL = r"""
+, s(id, name, pattern, i, hits, place, score) AS (
+  SELECT id, name, pattern, 1, 0, 0, 0 FROM q
+  UNION ALL
+  SELECT id, name, pattern, i + 1, hits + hit, CASE WHEN hit = 1 THEN i ELSE place END,
+         score + CASE WHEN hit = 1 THEN 10 - (i - place - 1) + CASE WHEN hits > 0 AND i = place + 1 THEN 15 ELSE 0 END + begins + CASE WHEN substr(name, i, 1) = substr(pattern, hits + 1, 1) THEN 3 ELSE 0 END ELSE 0 END
+  FROM (SELECT *, CASE WHEN hits < length(pattern) AND lower(substr(name, i, 1)) = lower(substr(pattern, hits + 1, 1)) THEN 1 ELSE 0 END AS hit,
+               CASE WHEN i = 1 OR substr(name, i - 1, 1) IN ('_', '-', '.', ':') OR (regexp_matches(substr(name, i, 1), '[A-Z]') AND regexp_matches(substr(name, i - 1, 1), '[a-z0-9]')) THEN 12 ELSE 0 END AS begins
+        FROM s WHERE i <= length(name)) t)
+"""
+FUZZY_END = "score - strlen(name) // 10 AS INT) AS score FROM s WHERE i = length(name) + 1 AND hits = length(pattern)"
+
+
+@query("fuzzy_rank", f"WITH RECURSIVE q AS (SELECT p_partkey AS id, p_name AS name, 'rwd' AS pattern FROM part){FUZZY_SQL}SELECT id AS p_partkey, name AS p_name, CAST({FUZZY_END}")
 def fuzzy_rank(t: Tables) -> DataFrame:
     """Names that match a pattern as a subsequence, with their score."""
     return t.part.select("p_partkey", "p_name", T.fuzzy_score(F.col("p_name"), F.lit("rwd")).alias("score")).filter("score IS NOT NULL")
+
+
+@query(
+    "fuzzy_matches",
+    "WITH RECURSIVE p AS (SELECT DISTINCT lower(substr(n_name, 1, 3)) AS pattern FROM nation), n AS (SELECT DISTINCT p_name || ' ' || p_brand AS name FROM part), q AS (SELECT 0 AS id, name, pattern FROM p, n WHERE name ILIKE '%' || substr(pattern, 1, 1) || '%' || substr(pattern, 2, 1) || '%' || substr(pattern, 3, 1) || '%')"
+    f"{FUZZY_SQL}SELECT pattern, name, CAST({FUZZY_END}",
+)
+def fuzzy_matches(t: Tables) -> DataFrame:
+    """All names that hold any of many patterns: each pattern meets the names of its rarest pair of characters alone."""
+    posted = subsequences.postings(t.part.select(F.concat_ws(" ", "p_name", "p_brand").alias("name")))
+    patterns = t.nation.select(F.lower(F.substring("n_name", 1, 3)).alias("pattern"))
+    return subsequences.matches(patterns, posted, subsequences.counts(posted))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rtlake.functions import text as T
-from rtlake.operators import closure, lookup, sets, spans, writes
+from rtlake.operators import closure, lookup, sets, spans, subsequences, writes
 from rtlake.streaming import schedule
 
 
@@ -22,6 +22,32 @@ def test_fuzzy(spark, name, pattern, score):
     assert one(spark, T.fuzzy_score(F.lit(name), F.lit(pattern))) == score
 
 
+def test_subsequences_lose_nothing(spark):
+    """Searches by the rarest pair equal scoring all names: in either case, repeated letters, letters of two code points, blanks."""
+    rng = random.Random(8)
+    letters = "abAB_zé0 İß"
+    texts = ["", None, "aa", "a", "İ", "ẞx", "x_y"] + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(150)]
+    names = spark.createDataFrame([(n,) for n in texts + texts[:9]], "name string")
+    posted = subsequences.postings(names).cache()
+    held = subsequences.counts(posted).cache()
+    patterns = ["a", "aa", "aaa", "ab", "BA", "_0z", "é", "İ", "ß", "q", "a q", "ab_z0"]
+    every = names.distinct().crossJoin(spark.createDataFrame([(p,) for p in patterns], "pattern string"))
+    every = every.withColumn("score", T.fuzzy_score(F.col("name"), F.col("pattern"))).filter("score IS NOT NULL")
+    expected = {(r["pattern"], r["name"], r["score"]) for r in every.collect()}
+    asked = spark.createDataFrame([(p,) for p in [*patterns, "ab", "", None]], "pattern string")
+    got = [(r["pattern"], r["name"], r["score"]) for r in subsequences.matches(asked, posted, held).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    for p in ("aa", "_0z", "q"):
+        found = [(p, r["name"], r["score"]) for r in subsequences.search(names, posted, held, p).collect()]
+        assert sorted(found) == sorted(x for x in expected if x[0] == p)
+    assert subsequences.search(names, posted, held, "").filter("name IS NOT NULL").count() == len({t for t in texts if t is not None})
+    assert subsequences.candidates(posted, held, "_0z").count() < len(set(texts)) / 3
+    with pytest.raises(ValueError):
+        subsequences.candidates(posted, held, "")
+    later = names.filter("name <> 'aa'").union(spark.createDataFrame([("new_name",)], "name string"))
+    assert sorted(map(tuple, subsequences.updated(posted, later).collect())) == sorted(map(tuple, subsequences.postings(later).collect()))
+
+
 def test_fuzzy_properties(spark):
     score = lambda n, p: one(spark, T.fuzzy_score(F.lit(n), F.lit(p)))
     assert score("uvm_report_object", "rep") > score("uvm_report_object", "rpo")

@@ -90,6 +90,13 @@ def test_declared():
     assert declared("module a; wire x;", "f").errors
 
 
+def test_typedefs():
+    """Forward typedefs have the words before their name as detail; types with a body have none."""
+    text = "package p; typedef class c; typedef interface class i; typedef t; typedef enum e; typedef enum {A} e; typedef enum logic [1:0] {B} f;\ntypedef struct packed {int a;} s; typedef union {int b;} u; typedef q::r v; endpackage"
+    found = [(r["name"], r["detail"]) for r in declared(text, "f").rows if r["kind"] == "Typedef"]
+    assert found == [("c", "class"), ("i", "interface class"), ("t", "type"), ("e", "enum"), ("e", ""), ("f", ""), ("s", ""), ("u", ""), ("v", "q::r")]
+
+
 def test_code():
     text = 'int a; // a in a comment\nstring s = "a"; a.b[3].c('
     assert code.occurrences(text, "a") == [("a", 1, 4), ("a", 2, 16)]
@@ -116,6 +123,10 @@ def test_requests(built, files):
     assert requests.signature(built, "get").first()["label"] == "get(input int a, input int b)"
     assert ("Macro", "WIDTH") in names(requests.workspace_symbols(built, "`wid"), "kind", "name")
     assert requests.completion(built, "/p/top.sv", 5, 2, "stt").first()["name"] == "state_t"
+    assert ("state_t", "Typedef") in names(requests.document_symbols(built, "/p/pkg.sv"), "name", "kind")
+    assert names(requests.fuzzy_symbols(built, "stt"), "name", "kind", "rank_text") == [("state_t", "Typedef", "00000")]
+    assert requests.fuzzy_symbols(built, "qq").isEmpty()
+    assert len(names(requests.fuzzy_symbols(built, "", 5).select("name").distinct(), "name")) == 5
     assert requests.macro(built, "WIDTH", "/p/top.sv", 5).first()["body"] == "8"
     with pytest.raises(ValueError):
         requests.rename(built, files, "top", "1bad")
