@@ -367,3 +367,79 @@ def test_components_across_pieces(spark, monkeypatch):
     edges = [(i + 1, i) for i in range(100)] + [(201 + 2 * i, 200) for i in range(50)]
     got = near.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
     assert {r.node: r.component for r in got} == {a: 0 if a <= 100 else 200 for a, _ in edges}
+
+
+def test_quality_row_by_row():
+    """Scores against a plain loop over features, one look-up table after another; additive tables and pairs both weigh."""
+    rng = random.Random(12)
+    texts = ["", None, "one", "A b! C? d.\nA b! C? d.\n\nshort\n", "x" * 300] + [" ".join(rng.choice([*WORDS, "LOUD!!", "42", "é漢", "a_b"]) + rng.choice(["", ".", "\n"]) for _ in range(rng.randrange(1, 120))) for _ in range(120)]
+    x = np.array([quality.features(t) for t in texts])
+    assert x.shape == (len(texts), len(quality.FEATURES)) and np.isfinite(x).all()
+    y = np.array([float((t or "").count("!") > 4 and len((t or "").split()) > 30) for t in texts])
+    model = quality.fit(x, y)
+    assert 0 < y.sum() < len(y) and len(model["pairs"]) == quality.PAIRS and any(t.any() for _, _, t in model["pairs"])
+
+    def place(cuts, value):
+        return sum(value >= c for c in cuts)
+
+    def plain(row):
+        z = model["bias"]
+        for j, table in enumerate(model["tables"]):
+            z += table[place(model["cuts"][j], row[j])]
+        for i, j, table in model["pairs"]:
+            z += table[place(model["coarse"][i], row[i])][place(model["coarse"][j], row[j])]
+        return 1 / (1 + np.exp(-z))
+
+    assert quality.predict(model, x).tolist() == pytest.approx([plain(r) for r in x], rel=1e-9)
+    value = dict(zip(quality.FEATURES, quality.features("A b! C? d.\nA b! C? d.\n\nshort\n"), strict=True))
+    assert value["words"] == pytest.approx(np.log1p(9)) and value["lines"] == pytest.approx(np.log1p(3)) and value["repeated_lines"] == pytest.approx(1 / 3)
+    assert value["distinct_words"] == pytest.approx(5 / 9) and value["bangs"] == pytest.approx(4 / 29) and value["mixed_ends"] == pytest.approx(6 / 9)
+
+
+def test_language_posterior_row_by_row(spark):
+    """Every row's posterior against plain loops: text, host in its domain without the row's own share, both channels, nulls."""
+    rng = np.random.default_rng(6)
+    langs = ["aa", "bb", "cc"]
+    logs = np.log(rng.dirichlet(np.ones(1 << language.BITS), 3)).astype(np.float32)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    rows = []
+    for i in range(60):
+        text = pick(["", None, "12 34", "ab", "the cat", "le chat noir", "é漢", "x y z w"])
+        domain = pick(["d.aa", "e.bb", None])
+        host = None if domain is None else pick(["", "www."]) + domain
+        rows.append((i, text, host, domain, pick(["aa", "bb", "zz", None]), pick(["cc", "qq", None])))
+    softmax = lambda v: [x / sum(np.exp(v - max(v))) for x in np.exp(v - max(v))]
+    evidence, share, letters = [], [], []
+    for _, text, *_ in rows:
+        codes = language.trigrams(text)
+        ll = np.array([sum(float(logs[k][c]) for c in codes) / 3 for k in range(3)])
+        e = np.maximum(ll - ll.max(), -language.MOST)
+        evidence.append(e)
+        letters.append(len(codes))
+        share.append(np.array(softmax(e)) if len(codes) else np.zeros(3))
+    total = sum(share)
+    overall = (total + 1) / (total.sum() + 3)
+
+    def channel(column, row):
+        if row[column] is None:
+            return np.zeros(3)
+        code = lambda r: r[column] if r[column] in langs else "?"
+        known = [(code(r), s) for r, s in zip(rows, share, strict=True) if r[column] is not None]
+        cell = sum((s for c, s in known if c == code(row)), np.zeros(3)) + language.CHANNEL
+        return np.log(cell) - np.log(sum(s for _, s in known) + language.CHANNEL * 4)
+
+    def others(column, row, own):
+        return np.maximum(sum((s for r, s in zip(rows, share, strict=True) if row[column] is not None and r[column] == row[column]), np.zeros(3)) - (own if row[column] is not None else 0), 0)
+
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, host string, domain string, declared string, address string"), (langs, logs)).collect()}
+    assert len(got) == len(rows)
+    for row, e, s, n in zip(rows, evidence, share, letters, strict=True):
+        d = others(3, row, s)
+        prior = (d + language.DOMAIN * overall) / (d.sum() + language.DOMAIN)
+        h = others(2, row, s)
+        prior = (h + language.HOST * prior) / (h.sum() + language.HOST)
+        post = softmax(e + np.log(prior) + channel(4, row) + channel(5, row))
+        r = got[row[0]]
+        assert r["confidence"] == pytest.approx(max(post), rel=1e-6)
+        assert r["language"] == langs[int(np.argmax(post))] and r["letters"] == n
+        assert r["accepted"] == (n > 0 and max(post) >= language.SURE)
